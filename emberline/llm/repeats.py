@@ -163,7 +163,8 @@ def repeated_spans(
         .select("doc_id", "start", (F.col("start") + F.col("count") - 1 + windows.width).alias("stop"))
     )
     later = stored(later, "later")
-    several = firsts.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1")
+    # written before it is joined: adaptive execution then splits a fingerprint of very many contexts
+    several = stored(firsts.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     scale = F.lit(1 << 32).cast("decimal(11,0)")
     doc_id = F.floor(F.col("first") / scale).cast("long")
     contexts = (
@@ -272,7 +273,7 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
 
 
 #: Bytes of contexts that are resolved together in a task.
-RESOLVE_BYTES = 4 << 20
+RESOLVE_BYTES = 1 << 19
 
 
 def _spans(fp, hashes, doc, start, stop, is_open: bool) -> pa.RecordBatch:

@@ -28,59 +28,67 @@ WIDTH = 100
 GRAM = 24
 
 
-def _names(keys: list[np.ndarray]) -> tuple[np.ndarray, bool]:
-    """Dense ranks (from 1) of the rows of ``keys``, first key first; whether all differ."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        key = key[order]
-        new[1:] |= key[1:] != key[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) + 1
-    return out, len(order) == 0 or int(out[order[-1]]) == len(order)
+def _order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``keys`` in order, first key first, and which rows of it differ from the one before. Keys are under 2**21
+    where there are several, so that three fit in one number."""
+    key = keys[0].astype(U64)
+    for more in keys[1:]:
+        key = key << U64(21) | more.astype(U64)
+    order = np.argsort(key)
+    key = key[order]
+    return order, key[1:] != key[:-1]
+
+
+def dense(values: np.ndarray, least: int = 1) -> np.ndarray:
+    """Values as ranks from ``least``; equal ones share a rank."""
+    order, new = _order([values])
+    out = np.empty(len(values), np.int64)
+    if len(values):
+        out[order[0]] = least
+        out[order[1:]] = np.cumsum(new) + least
+    return out
 
 
 def suffix_ranks(text: np.ndarray, covers: int, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of ``text``, ordered by their first ``depth`` original units at least.
+    """Ranks of all suffixes of ``text`` (fewer than 2**20 numbers, from 1 to its length), ordered by their first ``depth``
+    original units at least.
 
-    ``covers``: units that a symbol of ``text`` stands for. Suffixes that agree in ``depth`` units keep any order
-    among themselves, equal to that of whole suffixes where those were compared.
+    ``covers``: units that a symbol of ``text`` stands for. Suffixes that agree in ``depth`` units may come in any
+    order among themselves.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(3, text.dtype)))
+    padded = np.concatenate((text, np.zeros(3, np.int64)))
     at = np.arange(n)
     sampled = np.concatenate((at[at % 3 == 1], at[at % 3 == 2]))
-    names, unique = _names([padded[sampled], padded[sampled + 1], padded[sampled + 2]])
-    if not unique and 3 * covers < depth:
-        # The names at 1 modulo 3, then those at 2 modulo 3; a zero parts the two.
+    order, new = _order([padded[sampled], padded[sampled + 1], padded[sampled + 2]])
+    names = np.ones(len(sampled), np.int64)
+    names[order[1:]] = np.cumsum(new) + 1
+    if not new.all() and 3 * covers < depth:
+        # The names at 1 modulo 3, then those at 2 modulo 3, parted by a symbol below all.
         ones = int((sampled % 3 == 1).sum())
         inner = suffix_ranks(np.concatenate((names[:ones], [0], names[ones:])) + 1, 3 * covers, depth)
         names = np.concatenate((inner[:ones], inner[ones + 1 :]))
+        order = np.argsort(names)
+    place = np.empty(len(sampled), np.int64)
+    place[order] = np.arange(len(order))
     rank = np.zeros(n + 3, np.int64)
-    order = sampled[np.argsort(names, kind="stable")]
-    rank[order] = np.arange(1, len(order) + 1)
-    if not unique:  # equal names share a rank, so that the merge below sees them as equal
-        same = np.sort(names, kind="stable")
-        first = np.concatenate(([True], same[1:] != same[:-1])) if len(same) else np.zeros(0, bool)
-        rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1] + 1
+    rank[sampled] = names + 1
     zeros = at[at % 3 == 0]
     out = np.empty(n, np.int64)
-    before_sampled = np.zeros(n, np.int64)
-    before_zero = np.zeros(len(zeros), np.int64)
+    out[sampled] = place
+    before = np.zeros(len(zeros), np.int64)
     for residue in (1, 2):
         others = at[at % 3 == residue]
         both = np.concatenate((zeros, others))
         keys = [padded[both], rank[both + 1]] if residue == 1 else [padded[both], padded[both + 1], rank[both + 2]]
-        merged = np.lexsort(keys[::-1])
+        merged, _ = _order(keys)
         is_zero = merged < len(zeros)
-        before_zero[merged[is_zero]] += np.cumsum(~is_zero)[is_zero]
-        before_sampled[both[merged[~is_zero]]] = np.cumsum(is_zero)[~is_zero]
+        ahead = np.cumsum(is_zero)
+        before[merged[is_zero]] += (np.arange(len(merged)) + 1 - ahead)[is_zero]
+        out[both[merged[~is_zero]]] += ahead[~is_zero]
         if residue == 1:
-            out[both[merged[is_zero]]] = np.arange(int(is_zero.sum()))
-    out[zeros] += before_zero
-    dense = np.empty(n + 3, np.int64)
-    dense[order] = np.arange(len(order))
-    out[sampled] = dense[sampled] + before_sampled[sampled]
+            out[both[merged[is_zero]]] = np.arange(len(zeros))
+    out[zeros] += before
     return out
 
 
@@ -98,8 +106,8 @@ def suffix_classes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, window
     places = np.concatenate([np.arange(r, n, PACK) for r in range(PACK)])
     order_in = np.empty(n, np.int64)
     order_in[places] = np.arange(n)
-    ranks = suffix_ranks(symbols[places], PACK, windows.width)[order_in]
-    order = np.argsort(ranks[at], kind="stable")
+    ranks = suffix_ranks(dense(symbols[places]), PACK, windows.width)[order_in]
+    order = np.argsort(ranks[at])
     hashes = Hashed(data, offsets, windows).window_hashes(at)
     sortd = hashes[order]
     names = np.empty(len(at), np.int64)
