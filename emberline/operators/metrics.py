@@ -21,7 +21,7 @@ def reliability(rows: DataFrame) -> DataFrame:
     """Ten bins of probability: how many, what they claim and how often they are right."""
     bin_ = F.least(F.floor(F.col("probability") * 10), F.lit(9)).cast("int")
     right = (F.col("label") == F.col("predicted")).cast("int")
-    return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 6).alias("mean_probability"), F.round(F.avg(right), 6).alias("right_share"))
+    return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 5).alias("mean_probability"), F.round(F.avg(right), 5).alias("right_share"))
 
 
 def roc(rows: DataFrame) -> DataFrame:

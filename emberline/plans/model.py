@@ -166,19 +166,19 @@ SCORED_SQL = f"""{DET_SQL}, {FAC_SQL}, {HOT_SQL}, {BOX_SQL}, {INFRA_SQL}, {VAL_S
 latest AS (SELECT site_id, arg_max(status, validation_id) AS validation FROM val GROUP BY site_id),
 times AS (SELECT det.site_id, det.acq_us AS us, hot.acq_us AS now_us FROM det JOIN hot USING (site_id)),
 {sql_patterns('times', 'site_id', 14, 'pat')},
-joined AS (SELECT hot.*, infra.* EXCLUDE (site_id), n AS n_detections, active_days, mean_gap, std_gap, persistence_score, pattern,
+joined AS MATERIALIZED (SELECT hot.*, infra.* EXCLUDE (site_id), n AS n_detections, active_days, mean_gap, std_gap, persistence_score, pattern,
   coalesce(validation, 'NOT VALIDATED') AS validation, printf('HX-%04d', hot.site_id) AS code, make_timestamp(hot.acq_us) AS acq_ts, n / 14e0 AS historical_frequency,
   {_LEAST('d_refinery', 'd_factory', 'd_power_plant', 'd_mine')} AS d_industrial, {_LEAST('d_refinery', 'd_factory', 'd_power_plant', 'd_mine', 'd_area')} AS d_any,
   greatest(0e0, least(1e0, 1e0 - abs(hour(make_timestamp(hot.acq_us)) + minute(make_timestamp(hot.acq_us)) / 6e1 - 12) / 12e0)) AS tod
   FROM hot JOIN infra USING (site_id) JOIN pat USING (site_id) LEFT JOIN latest USING (site_id)),
-covered AS (SELECT * EXCLUDE (d_any), CASE WHEN d_any BETWEEN 0 AND 3 THEN 'Industrial' WHEN in_forest THEN 'Forest' WHEN in_agriculture THEN 'Agriculture'
+covered AS MATERIALIZED (SELECT * EXCLUDE (d_any), CASE WHEN d_any BETWEEN 0 AND 3 THEN 'Industrial' WHEN in_forest THEN 'Forest' WHEN in_agriculture THEN 'Agriculture'
   WHEN d_settlement BETWEEN 0 AND 5 THEN 'Urban' ELSE 'Other' END AS land_cover FROM joined),
-ruled AS (SELECT *, {', '.join(f'{s} AS s{k}' for k, s in enumerate(_S))} FROM covered),
+ruled AS MATERIALIZED (SELECT *, {', '.join(f'{s} AS s{k}' for k, s in enumerate(_S))} FROM covered),
 topped AS (SELECT *, greatest(s0, s1, s2, s3, s4, s5) AS top FROM ruled),
-probs AS (SELECT *, {', '.join(f"CASE WHEN top <= 0.1 THEN {0.75 if k == 5 else 0.05}::DOUBLE ELSE {e} / ({' + '.join(_E)}) END AS p{k}" for k, e in enumerate(_E))} FROM topped),
+probs AS MATERIALIZED (SELECT *, {', '.join(f"CASE WHEN top <= 0.1 THEN {0.75 if k == 5 else 0.05}::DOUBLE ELSE {e} / ({' + '.join(_E)}) END AS p{k}" for k, e in enumerate(_E))} FROM topped),
 best AS (SELECT *, greatest(p0, p1, p2, p3, p4, p5) AS class_confidence FROM probs),
-named AS (SELECT *, {_TOP} AS classification FROM best),
-risky AS (SELECT *, {_CLAMP(_RISK)} AS risk FROM named),
+named AS MATERIALIZED (SELECT *, {_TOP} AS classification FROM best),
+risky AS MATERIALIZED (SELECT *, {_CLAMP(_RISK)} AS risk FROM named),
 scored AS (SELECT *, {_LEVEL} AS risk_level FROM risky)"""
 
 

@@ -256,7 +256,7 @@ def agg_27_scores(spark, d):
     return class_scores(judged(spark, d))
 
 
-@query("agg_27_reliability", f"WITH {_PRED} SELECT least(floor(probability * 10), 9)::INT AS bin, count(*) AS n, round(avg(probability), 6) AS mean_probability, round(avg((label = predicted)::INT), 6) AS right_share FROM both_ GROUP BY bin")
+@query("agg_27_reliability", f"WITH {_PRED} SELECT least(floor(probability * 10), 9)::INT AS bin, count(*) AS n, round(avg(probability), 5) AS mean_probability, round(avg((label = predicted)::INT), 5) AS right_share FROM both_ GROUP BY bin")
 def agg_27_reliability(spark, d):
     from emberline.operators.metrics import reliability
 
