@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
 
 
 def band_keys(classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """(key, rep): a row for each band of each class."""
+    """(key, band, rep): a row for each band of each class."""
 
     def run(batches):
         salt = mix(np.arange(1, sketch.bands + 1, dtype=U64))
@@ -135,9 +135,10 @@ def band_keys(classes: DataFrame, sketch: Sketch) -> DataFrame:
             for k in range(sketch.rows):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + regs[:, :, k])
             reps = np.repeat(batch.column(0).to_numpy(), sketch.bands)
-            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(reps)], names=["key", "rep"])
+            band = np.tile(np.arange(sketch.bands, dtype=np.int32), len(batch))
+            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), pa.array(reps)], names=["key", "band", "rep"])
 
-    return classes.select("rep", "regs").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "regs").mapInArrow(run, "key long, band int, rep long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
@@ -181,44 +182,72 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
 
 
 #: Members of a bucket that are compared at once, with themselves or with as many others.
-BLOCK = 256
+BLOCK = 128
 
 
-def apart_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sketch: Sketch, every: bool) -> DataFrame:
-    """Likely pairs (a, b) of a bucket that aren't in one component: the likeliest of two components in a block, or every one."""
+def linked_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """Verified links (a, b) between different components that meet in a bucket: enough to join all that any pair there joins.
+
+    A bucket's members go to blocks, and blocks meet in pairs; a task holds two blocks with their texts, so neither a
+    bucket nor its pairs are ever in one place or in a table. A pair is compared only in the first band that it shares,
+    only if sizes and registers allow the similarity, likeliest first, and only while its ends are still apart.
+    """
     known = labels.select(F.col("id").alias("rep"), "component")
     placed = members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = mixed.filter("x <> y").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = (
-        placed.join(mixed, "key")
+        placed.join(stored(mixed, "mixed"), "key")
+        .join(classes.select("rep", "n", "regs"), "rep")
+        .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component")
-        .join(classes.select("rep", "n", "regs"), "rep")
+        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "regs", "text")
     )
+    percent = round(sketch.similarity * 100)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = group[group["mine"] == i], group[group["mine"] == j]
-        x, y = (np.frombuffer(b"".join(map(bytes, g["regs"])), np.uint16).reshape(len(g), -1) for g in (left, right))
-        found = []
-        for r in range(len(left)):
-            apart = right["component"].to_numpy() != left["component"].iloc[r]
-            above, below = (x[r] > y[apart]).sum(axis=1), (x[r] < y[apart]).sum(axis=1)
-            n_b = right["n"].to_numpy()[apart]
-            s = likely_similarity(np.full(len(n_b), left["n"].iloc[r]), n_b, above, below, sketch) if len(n_b) else np.zeros(0)
-            keep = s >= sketch.doubtful
-            near = right[apart][keep]
-            found.append(pd.DataFrame({"a": left["rep"].iloc[r], "b": near["rep"], "p": left["component"].iloc[r], "q": near["component"], "s": s[keep]}))
-        out = pd.concat(found) if found else pd.DataFrame(columns=["a", "b", "p", "q", "s"])
-        if not every:
-            out = out.assign(lo=out[["p", "q"]].min(axis=1), hi=out[["p", "q"]].max(axis=1))
-            out = out.sort_values("s", ascending=False, kind="stable").drop_duplicates(["lo", "hi"])
-        return out[["a", "b"]].astype("int64")
-
-    pairs = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        mine, comp, n, rep = (group[c].to_numpy() for c in ("mine", "component", "n", "rep"))
+        i, j, band = group["i"].iloc[0], group["j"].iloc[0], group["band"].iloc[0]
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        regs = np.frombuffer(b"".join(map(bytes, group["regs"])), np.uint16).reshape(len(group), sketch.m)
+        equal = regs[left][:, None, :] == regs[right][None, :, :]
+        first = equal.reshape(len(left), len(right), sketch.bands, sketch.rows).all(axis=3).argmax(axis=2)
+        n_a, n_b = n[left][:, None], n[right][None, :]
+        ok = (comp[left][:, None] != comp[right][None, :]) & (first == band) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+        ok &= equal.sum(axis=2) >= sketch.m * (sketch.doubtful - 0.1)
+        if i == j:
+            ok &= left[:, None] < right[None, :]
+        p, q = (side[k] for side, k in zip((left, right), np.nonzero(ok), strict=True))
+        above, below = (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1)
+        s = likely_similarity(n[p], n[q], above, below, sketch) if len(p) else np.zeros(0)
+        order = np.argsort(-s, kind="stable")
+        order = order[s[order] >= sketch.doubtful]
+        root: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        links = []
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                _, _, data, offsets = next(text_blocks(pa.array([group["text"].iloc[k]])))
+                sets[k] = shingle_sets(data, offsets, sketch.shingle)[0]
+            return sets[k]
+
+        for x, y in zip(p[order].tolist(), q[order].tolist(), strict=True):
+            u, v = find(int(comp[x])), find(int(comp[y]))
+            if u != v:
+                both = len(np.intersect1d(set_of(x), set_of(y), assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    root[max(u, v)] = min(u, v)
+                    links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
@@ -240,14 +269,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     texts = stored(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     free_shuffles(spark)
     links = stored(verified(star, texts, sketch), "links")
-    for every in (False, True):
-        labels = components(links)
-        more = stored(apart_in_buckets(members, labels, classes, sketch, every), "candidates")
-        if more.isEmpty():
-            break
-        links = stored(links.unionByName(verified(more, texts, sketch)), "links")
-    else:
-        labels = components(links)
+    more = stored(linked_in_buckets(members, components(links), classes, texts, sketch), "links")
+    labels = components(links.unionByName(more))
     free_shuffles(spark)
     found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
