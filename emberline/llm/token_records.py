@@ -31,7 +31,7 @@ from emberline.session import scratch_path, stored
 
 MAGIC = b"TOKREC"
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Bytes of Unicode white space outside ASCII, and ASCII separators that aren't blanks: these rows are encoded whole.
 OTHER_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80"] + [
     b"\xe2\x80" + bytes([k]) for k in range(0x80, 0x8B)
@@ -65,11 +65,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Hashes of the pieces, sorted, and for each its slot in start and count, which cut its ids out of flat.
+        self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, f"u{self.width}")
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes new pieces: those of white space and a word strung together as one text, which is cut by the tokens'
         lengths, the others one by one."""
         plain = [k for k, piece in enumerate(pieces) if BLANKS[piece[0]] and not BLANKS[piece[-1]]]
@@ -80,10 +81,13 @@ class Encoder:
         single = [self.tokenizer.encode(pieces[k].decode(), add_special_tokens=False).ids for k in rest]
         counts = np.concatenate((counts, np.array([len(x) for x in single], np.int64)))
         ids = np.concatenate((ids, np.array([i for x in single for i in x], np.uint32)))
-        self.known.update(zip([keys[k] for k in plain + rest], range(len(self.count), len(self.count) + len(keys)), strict=True))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
-        self.count = np.concatenate((self.count, counts))
-        self.flat = np.concatenate((self.flat, ids))
+        slot = np.empty(len(keys), np.int32)
+        slot[plain + rest] = np.arange(len(self.count), len(self.count) + len(keys))
+        at = np.searchsorted(self.known, keys)
+        self.known, self.slot = np.insert(self.known, at, keys), np.insert(self.slot, at, slot)
+        self.start = np.concatenate((self.start, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32)))
+        self.count = np.concatenate((self.count, counts.astype(np.int32)))
+        self.flat = np.concatenate((self.flat, ids.astype(self.flat.dtype)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row."""
@@ -108,12 +112,12 @@ class Encoder:
         distinct, first, each = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
-        names = distinct.tolist()
-        new = [k for k, key in enumerate(names) if key not in self.known]
-        if new:
-            self._learn([names[k] for k in new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        slot = np.fromiter((self.known[key] for key in names), np.int64, len(names))
-        start, count = self.start[slot][each], self.count[slot][each]
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        slot = self.slot[np.searchsorted(self.known, distinct)]
+        start, count = self.start[slot][each].astype(np.int64), self.count[slot][each].astype(np.int64)
         ids = self.flat[ranges(start, count)]
         bounds = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(begin, offsets)]
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
