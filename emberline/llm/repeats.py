@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,31 +58,38 @@ class Hashed:
     """A block's units under both rolling hashes."""
 
     def __init__(self, symbols: np.ndarray, offsets: np.ndarray, windows: Windows):
-        self.offsets, self.windows = offsets, windows
-        other = symbols if symbols.dtype == np.uint8 else mix(symbols ^ U64(0x9E3779B97F4A7C15))
-        self.first, self.second = ROLLING.prefix(symbols), SECOND.prefix(other)
+        self.symbols, self.offsets, self.windows = symbols, offsets, windows
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        plain = self.symbols.dtype == np.uint8
+        return SECOND.prefix(self.symbols if plain else mix(self.symbols ^ U64(0x9E3779B97F4A7C15)))
 
     def window_hashes(self, starts: np.ndarray) -> np.ndarray:
         return mix(SECOND.spans(self.second, starts, starts + self.windows.width))
 
-    def groups(self) -> Groups:
-        w, n = self.windows, len(self.first) - 1
+    def groups(self, contexts: bool = True) -> Groups:
+        """``contexts``: whether ctx is wanted; else it's empty."""
+        w, n = self.windows, len(self.symbols)
         rooms = np.maximum(np.diff(self.offsets) - w.width + 1, 0)
         at = ranges(self.offsets[:-1], rooms)
         if not len(at):
             empty = np.zeros(0, np.int64)
             return Groups(empty, empty, empty, empty.astype(U64), empty.astype(U64))
         spots = np.arange(n - w.gram + 1)
-        grams = mix(ROLLING.spans(self.first, spots, spots + w.gram))
+        grams = ROLLING.spans(ROLLING.prefix(self.symbols), spots, spots + w.gram)  # ordered by their high bits, which are mixed
         bits = U64(max(1, int(n).bit_length()))
         anchors = _sliding_min((grams >> bits << bits) | spots.astype(U64), w.reach)
         anchors = (anchors[at] & ((U64(1) << bits) - U64(1))).astype(np.int64)
         heads = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
         count = np.diff(np.append(heads, len(at)))
         start, anchors = at[heads], anchors[heads]
+        row, fp = np.searchsorted(self.offsets, start, "right") - 1, mix(grams[anchors])
+        if not contexts:
+            return Groups(row, start, count, fp, fp[:0])
         place = (anchors - start).astype(U64) * U64(0x100000001B3) + count.astype(U64)
         ctx = mix(SECOND.spans(self.second, start, start + count - 1 + w.width) ^ mix(place))
-        return Groups(np.searchsorted(self.offsets, start, "right") - 1, start, count, mix(grams[anchors]), ctx)
+        return Groups(row, start, count, fp, ctx)
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -131,7 +139,7 @@ def fingerprints(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
-                fp, n = np.unique(Hashed(*units_of(data, offsets, unit), windows).groups().fp, return_counts=True)
+                fp, n = np.unique(Hashed(*units_of(data, offsets, unit), windows).groups(contexts=False).fp, return_counts=True)
                 yield pa.record_batch([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
     rows = docs.filter("doc_id is not null and text is not null").select("text").mapInArrow(run, "fp long, n long")
