@@ -252,21 +252,30 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
         if len(open_):
             yield _spans(fps[row[open_]], hashes[open_].view(np.int64), docs[row[open_]], place[open_], place[open_] + windows.width, True)
 
+    def chunks(rows: pa.Table, final: bool) -> tuple[list[pa.Table], pa.Table]:
+        """``rows`` cut where fingerprint or salt change, into parts of little over RESOLVE_BYTES; and what may go on."""
+        fp, salt = rows.column("fp").to_numpy(), rows.column("salt").to_numpy()
+        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(rows.column("units")).to_numpy())))
+        parts, start = [], 0
+        for cut in (np.flatnonzero((fp[1:] != fp[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist():
+            if sizes[cut] - sizes[start] >= RESOLVE_BYTES:
+                parts.append(rows.slice(start, cut - start))
+                start = cut
+        if final and start < len(rows):
+            parts.append(rows.slice(start))
+            start = len(rows)
+        return parts, rows.slice(start)
+
     def run(batches):
-        held, size = [], 0
-        for batch in batches:  # sorted by fingerprint and salt: a task's chunk ends where these change
-            held.append(batch)
-            size += batch.nbytes
-            if size >= RESOLVE_BYTES:
-                rows = pa.Table.from_batches(held)
-                fp, salt = rows.column("fp").to_numpy(), rows.column("salt").to_numpy()
-                cuts = np.flatnonzero((fp[1:] != fp[:-1]) | (salt[1:] != salt[:-1]))
-                if len(cuts):
-                    yield from local(rows.slice(0, cuts[-1] + 1))
-                    held = rows.slice(cuts[-1] + 1).to_batches()
-                    size = sum(x.nbytes for x in held)
-        if sum(len(x) for x in held):
-            yield from local(pa.Table.from_batches(held))
+        rest = None
+        for batch in batches:  # sorted by fingerprint and salt
+            rows = pa.Table.from_batches([batch])
+            parts, rest = chunks(rows if rest is None else pa.concat_tables([rest, rows]), False)
+            for part in parts:
+                yield from local(part)
+        if rest is not None and len(rest):
+            for part in chunks(rest, True)[0]:
+                yield from local(part)
 
     def resolve(contexts: DataFrame) -> DataFrame:
         n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

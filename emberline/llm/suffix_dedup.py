@@ -29,8 +29,14 @@ GRAM = 24
 
 
 def _order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of ``keys`` in order, first key first, and which rows of it differ from the one before. Keys are under 2**21
-    where there are several, so that three fit in one number."""
+    """The rows of ``keys`` in order, first key first, and which rows of it differ from the one before. Where several keys are
+    all under 2**21, three fit in one number and are sorted as such."""
+    if len(keys) > 1 and max(int(k.max(initial=0)) for k in keys) >= 1 << 21:
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(max(len(order) - 1, 0), bool)
+        for k in keys:
+            new |= k[order][1:] != k[order][:-1]
+        return order, new
     key = keys[0].astype(U64)
     for more in keys[1:]:
         key = key << U64(21) | more.astype(U64)
@@ -50,7 +56,7 @@ def dense(values: np.ndarray, least: int = 1) -> np.ndarray:
 
 
 def suffix_ranks(text: np.ndarray, covers: int, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of ``text`` (fewer than 2**20 numbers, from 1 to its length), ordered by their first ``depth``
+    """Ranks of all suffixes of ``text`` (numbers from 1 to its length), ordered by their first ``depth``
     original units at least.
 
     ``covers``: units that a symbol of ``text`` stands for. Suffixes that agree in ``depth`` units may come in any
