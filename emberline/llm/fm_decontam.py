@@ -253,10 +253,12 @@ def _shard(sent):
             owner = np.searchsorted(base, first, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array((x - base[owner]).astype(np.int32)) for x in (first, last)], names=["start", "stop"])
             bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-            yield pa.record_batch(
+            found = pa.record_batch(
                 [batch.column(0), text, pa.array(sizes), pa.ListArray.from_arrays(bounds, spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                 names=["doc_id", "text", "n_words", "hits", "items"],
             )
+            for k in range(0, n, 256):  # what goes back to Spark is small
+                yield found.slice(k, 256)
 
     return run
 
@@ -280,7 +282,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFr
                             kept.append(raw[at : starts[words[k - lo] + s["start"]]])
                             at = int(ends[words[k - lo] + s["stop"] - 1])
                         out[k] = b"".join((*kept, raw[at : offsets[k - lo + 1]])).decode()
-            yield pa.record_batch([pa.array(out, pa.string()), batch.column(2)], names=["text", "rest"])
+            for k in range(0, len(out), 256):  # what goes back to Spark is small
+                yield pa.record_batch([pa.array(out[k : k + 256], pa.string()), batch.column(2).slice(k, 256)], names=["text", "rest"])
 
     rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("rest")
     found = _with_rest(docs.select("text", rest), benchmark, width)

@@ -165,17 +165,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     def run(batches):
         model = sent.value
         for batch in batches:
-            names, scores = [], []
-            for _, _, data, offsets in text_blocks(batch.column(0)):
+            for lo, hi, data, offsets in text_blocks(batch.column(0)):  # what goes back is as small as a block, too
                 letters = has_letter(data, offsets)
                 if model is None:
                     letters[:] = False
                 p = model.probabilities(data, offsets) if model is not None else np.zeros((len(letters), 1))
                 best = p.argmax(axis=1)
-                names += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                scores.append(np.where(letters, p[np.arange(len(best)), best], 0.0))
-            scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["text", "rest", "lang_pred", "score"])
+                names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+                scores = np.where(letters, p[np.arange(len(best)), best], 0.0)
+                part = batch.slice(lo, hi - lo)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["text", "rest", "lang_pred", "score"])
 
     kind = packed.schema["rest"].dataType.simpleString()
     found = packed.mapInArrow(run, f"text string, rest {kind}, lang_pred string, score double")
