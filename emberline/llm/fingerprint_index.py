@@ -7,7 +7,7 @@ windows of ``width`` words whose smallest ``gram``-word gram it is (``repeats``)
 word sequences of the windows themselves, never decided by the index alone.
 
 Documents with null text have no words. A row without doc_id takes no part and loses nothing. Rows that repeat a
-doc_id are the same document. Words are kept unchanged.
+doc_id with the same text are the same document; with other texts they are documents of their own. Words are kept unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.blocks import BLANKS, find_words, text_blocks
-from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans
+from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans, with_versions
 from emberline.session import free_shuffles, scratch_path, stored
 
 #: Words in a window, and in the grams whose smallest is its anchor.
@@ -111,7 +111,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
     blank).
     """
     windows, spark = Windows(width, min(gram, width)), docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = with_versions(docs)
     index = FingerprintIndex(spark, windows)
     hits = None
     for part in in_batches(docs, batches):

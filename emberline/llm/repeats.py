@@ -93,14 +93,35 @@ class Hashed:
 
 
 # ---------------------------------------------------------------------------------------------------------
-# Spark side. ``pos`` orders all places of the corpus: doc_id * 2**32 + start, as a decimal.
+# Spark side. ``pos`` orders all places of the corpus: by doc_id, version and start.
 # ---------------------------------------------------------------------------------------------------------
 
-GROUP_SCHEMA = "fp long, ctx long, doc_id long, start int, count int"
+GROUP_SCHEMA = "fp long, ctx long, doc_id long, version long, start int, count int"
 #: Contexts of one fingerprint that one task resolves; a fingerprint with more is split into salts.
 CONTEXTS_A_TASK = 4096
 
 
+#: Slots into which the doc_ids with several texts are hashed; bounds what is broadcast.
+VERSION_SLOTS = 1 << 16
+
+
+def with_versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): rows equal in doc_id and version are one document.
+
+    Rows that repeat a doc_id with the same text share a version. Where a doc_id comes with several texts, each text is a
+    document of its own: its version is a 64-bit hash of it, which also orders the texts of a doc_id. Others have version 0,
+    but for some doc_ids that share a slot with such a one.
+    """
+    text_hash, slot = F.xxhash64(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("doc_id"), F.lit(VERSION_SLOTS)).cast("int")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    ends = docs.filter("doc_id is not null").select("doc_id", text_hash.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    slots = stored(ends.filter("a <> b").select(slot.alias("slot")).distinct(), "slots")
+    if slots.isEmpty():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("version"), "text")
+    marked = docs.withColumn("slot", slot).join(F.broadcast(slots.withColumn("several", F.lit(True))), "slot", "left")
+    return marked.select("doc_id", F.when(F.col("several"), text_hash).otherwise(F.lit(0).cast("long")).alias("version"), "text")
+
+
 def units_of(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and row offsets of a block: its bytes, or the hashes of its words."""
     if unit == "byte":
@@ -115,7 +136,8 @@ def group_rows(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            versions = batch.column(1).to_numpy()
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 symbols, offsets = units_of(data, offsets, unit)
                 g = Hashed(symbols, offsets, windows).groups()
                 yield pa.record_batch(
@@ -123,13 +145,14 @@ def group_rows(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
                         pa.array(g.fp.view(np.int64)),
                         pa.array(g.ctx.view(np.int64)),
                         pa.array(ids[lo:hi][g.row].astype(np.int64)),
+                        pa.array(versions[lo:hi][g.row]),
                         pa.array((g.start - offsets[g.row]).astype(np.int32)),
                         pa.array(g.count.astype(np.int32)),
                     ],
-                    names=["fp", "ctx", "doc_id", "start", "count"],
+                    names=["fp", "ctx", "doc_id", "version", "start", "count"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
+    rows = docs.select("doc_id", "version", "text").filter("doc_id is not null and text is not null")
     return rows.mapInArrow(run, GROUP_SCHEMA)
 
 
@@ -147,57 +170,53 @@ def fingerprints(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
 
 
 def _pos() -> Column:
-    return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("start")
+    return F.struct("doc_id", "version", "start")
 
 
 def repeated_spans(
     docs: DataFrame, repeated_fps: DataFrame, unit: str, windows: Windows, resolve: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """(doc_id, start, stop) in units: covers all that lies in a window which also starts earlier.
+    """(doc_id, version, start, stop) in units: covers all that lies in a window which also starts earlier.
 
-    ``repeated_fps`` (fp) holds every fingerprint of more than one group. Groups equal as a whole are settled by
+    ``docs`` has versions. ``repeated_fps`` (fp) holds every fingerprint of more than one group. Groups equal as a whole are settled by
     their hashes; where a fingerprint comes in several contexts, ``resolve`` compares those contexts window by
-    window: it gets (fp, salt, salts, doc_id, start, count, units) and returns spans.
+    window: it gets (fp, salt, salts, doc_id, version, start, count, units) and returns spans.
     """
     spark = docs.sparkSession
-    hot = stored(
-        group_rows(docs, unit, windows).join(repeated_fps.select("fp"), "fp", "left_semi").withColumn("pos", _pos()), "groups"
-    )
+    hot = stored(group_rows(docs, unit, windows).join(repeated_fps.select("fp"), "fp", "left_semi"), "groups")
+    free_shuffles(spark)
+    firsts = stored(hot.groupBy("fp", "ctx").agg(F.min(_pos()).alias("first"), F.min("count").alias("count")), "firsts")
     free_shuffles(spark)
-    firsts = stored(hot.groupBy("fp", "ctx").agg(F.min("pos").alias("first"), F.min("count").alias("count")), "firsts")
     later = (
         hot.join(firsts.select("fp", "ctx", "first"), ["fp", "ctx"])
-        .filter("pos <> first")
-        .select("doc_id", "start", (F.col("start") + F.col("count") - 1 + windows.width).alias("stop"))
+        .filter(_pos() != F.col("first"))
+        .select("doc_id", "version", "start", (F.col("start") + F.col("count") - 1 + windows.width).alias("stop"))
     )
     later = stored(later, "later")
+    free_shuffles(spark)
     # written before it is joined: adaptive execution then splits a fingerprint of very many contexts
     several = stored(firsts.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1"), "several")
-    scale = F.lit(1 << 32).cast("decimal(11,0)")
-    doc_id = F.floor(F.col("first") / scale).cast("long")
     contexts = (
         firsts.join(several, "fp")
-        .withColumn("doc_id", doc_id)
-        .withColumn("start", (F.col("first") - F.col("doc_id").cast("decimal(20,0)") * scale).cast("int"))
         .withColumn("salts", F.ceil(F.col("m") / CONTEXTS_A_TASK).cast("int"))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("fp", "salts", "start", "count")).alias("at"))
+        .groupBy("first.doc_id", "first.version")
+        .agg(F.collect_list(F.struct("fp", "salts", "first.start", "count")).alias("at"))
     )
     found = resolve(_context_units(docs, contexts, unit, windows))
     return later.unionByName(found)
 
 
 def _context_units(docs: DataFrame, contexts: DataFrame, unit: str, windows: Windows) -> DataFrame:
-    """The units that each context covers, cut from the documents' texts: bytes, or word hashes as bytes."""
-    schema = "fp long, salt int, salts int, doc_id long, start int, count int, units binary"
+    """The units that each context covers, cut from one row of each document: bytes, or word hashes as bytes."""
+    schema = "fp long, salt int, salts int, doc_id long, version long, start int, count int, units binary"
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            at = batch.column(2)
+            versions, at = batch.column(1).to_numpy(), batch.column(3)
             inner, bounds = at.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(at).to_numpy())))
             fps, salts, starts, counts = (inner.field(k).to_numpy() for k in ("fp", "salts", "start", "count"))
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 symbols, offsets = units_of(data, offsets, unit)
                 raw, size = symbols.tobytes(), symbols.dtype.itemsize
                 mine = slice(bounds[lo], bounds[hi])
@@ -205,30 +224,31 @@ def _context_units(docs: DataFrame, contexts: DataFrame, unit: str, windows: Win
                 begin = offsets[row] + starts[mine]
                 end = begin + counts[mine] - 1 + windows.width
                 cut = [raw[a * size : b * size] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                doc = ids[lo:hi][row]
-                salt = (mix(doc.astype(np.int64).view(U64)) % salts[mine].astype(U64)).astype(np.int32)
+                doc, version = ids[lo:hi][row].astype(np.int64), versions[lo:hi][row]
+                salt = (mix(doc.view(U64) ^ version.view(U64)) % salts[mine].astype(U64)).astype(np.int32)
                 yield pa.record_batch(
-                    [fps[mine], salt, salts[mine], doc, starts[mine], counts[mine], pa.array(cut, pa.binary())],
-                    names=["fp", "salt", "salts", "doc_id", "start", "count", "units"],
+                    [fps[mine], salt, salts[mine], doc, version, starts[mine], counts[mine], pa.array(cut, pa.binary())],
+                    names=["fp", "salt", "salts", "doc_id", "version", "start", "count", "units"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(contexts, "doc_id")
+    once = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", "version").agg(F.first("text").alias("text"))
+    rows = once.join(contexts, ["doc_id", "version"])
     return rows.mapInArrow(run, schema)
 
 
-LOCAL_SCHEMA = "fp long, hash long, doc_id long, start int, stop int, open boolean"
+LOCAL_SCHEMA = "fp long, hash long, doc_id long, version long, start int, stop int, open boolean"
 
 
 def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[DataFrame], DataFrame]:
     """Resolves contexts in tasks that hold all contexts of a (fingerprint, salt).
 
-    ``classes(units, lengths, starts)`` numbers equal windows alike within a task. A window that isn't the first of
-    its class in its task is a repeat. The firsts of fingerprints with several salts are compared once more,
+    ``classes(units, lengths, starts)`` numbers equal windows alike within a task. A window at another place than
+    the first of its class in its task is a repeat. The firsts of fingerprints with several salts are compared once more,
     across salts, by two hashes.
     """
 
     def local(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        fps, salts, docs, starts, counts = (table.column(k).to_numpy() for k in ("fp", "salts", "doc_id", "start", "count"))
+        fps, salts, docs, versions, starts, counts = (table.column(k).to_numpy() for k in ("fp", "salts", "doc_id", "version", "start", "count"))
         units = table.column("units").combine_chunks().cast(pa.large_binary())
         buffers = units.buffers()
         size = 1 if unit == "byte" else 8
@@ -239,18 +259,21 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
         row = np.repeat(np.arange(len(counts)), counts)
         place = starts[row] + (at - offsets[row])
         names, hashes = classes(symbols, offsets, at, windows)
-        order = np.lexsort((place, docs[row], names))
+        order = np.lexsort((place, versions[row], docs[row], names))
+        new = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         repeat = np.zeros(len(at), bool)
-        repeat[order[1:]] = names[order[1:]] == names[order[:-1]]
+        repeat[order] = (place[order] != place[first]) | (docs[row[order]] != docs[row[first]]) | (versions[row[order]] != versions[row[first]])
         # adjacent repeats of a context become one span
         joined = repeat[1:] & repeat[:-1] & (row[1:] == row[:-1])
         heads = np.flatnonzero(repeat & ~np.concatenate(([False], joined)))
         tails = np.flatnonzero(repeat & ~np.concatenate((joined, [False])))
         none = np.zeros(len(heads), np.int64)
-        yield _spans(none, none, docs[row[heads]], place[heads], place[tails] + windows.width, False)
+        yield _spans(none, none, docs[row[heads]], versions[row[heads]], place[heads], place[tails] + windows.width, False)
         open_ = np.flatnonzero(~repeat & (salts[row] > 1))
         if len(open_):
-            yield _spans(fps[row[open_]], hashes[open_].view(np.int64), docs[row[open_]], place[open_], place[open_] + windows.width, True)
+            own = row[open_]
+            yield _spans(fps[own], hashes[open_].view(np.int64), docs[own], versions[own], place[open_], place[open_] + windows.width, True)
 
     def chunks(rows: pa.Table, final: bool) -> tuple[list[pa.Table], pa.Table]:
         """``rows`` cut where fingerprint or salt change, into parts of little over RESOLVE_BYTES; and what may go on."""
@@ -284,7 +307,7 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
         firsts = found.filter("open").withColumn("pos", _pos())
         least = firsts.groupBy("fp", "hash").agg(F.min("pos").alias("first"), F.count("*").alias("k")).filter("k > 1")
         across = firsts.join(least, ["fp", "hash"]).filter("pos <> first")
-        return found.filter("not open").unionByName(across.select(*found.columns)).select("doc_id", "start", "stop")
+        return found.filter("not open").unionByName(across.select(*found.columns)).select("doc_id", "version", "start", "stop")
 
     return resolve
 
@@ -293,24 +316,25 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
 RESOLVE_BYTES = 1 << 19
 
 
-def _spans(fp, hashes, doc, start, stop, is_open: bool) -> pa.RecordBatch:
+def _spans(fp, hashes, doc, version, start, stop, is_open: bool) -> pa.RecordBatch:
     return pa.record_batch(
         [
             pa.array(fp, pa.int64()),
             pa.array(hashes, pa.int64()),
             pa.array(doc, pa.int64()),
+            pa.array(version, pa.int64()),
             pa.array(start.astype(np.int32)),
             pa.array(stop.astype(np.int32)),
             pa.array(np.full(len(doc), is_open)),
         ],
-        names=["fp", "hash", "doc_id", "start", "stop", "open"],
+        names=["fp", "hash", "doc_id", "version", "start", "stop", "open"],
     )
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans): every document with the spans found in it, in any order."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.select("doc_id", "text").join(by_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    by_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return docs.join(by_doc, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
 
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ recursion on the names, the remaining suffixes are merged in by one symbol and a
 that agree in ``width`` bytes form a class. A symbol is eight bytes, so triples cover 24, 72, 216, ... bytes.
 
 Documents with null text count as empty. A row without doc_id takes no part and loses nothing. Rows that repeat a
-doc_id are the same document. Matches never cross documents.
+doc_id with the same text are the same document; with other texts they are documents of their own. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.blocks import U64, text_blocks
-from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans
+from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans, with_versions
 from emberline.session import free_shuffles, stored
 
 #: Bytes in a repeated string that is removed.
@@ -173,7 +173,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     """
     windows = Windows(width, min(gram, width))
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = with_versions(docs)
     hot = stored(fingerprints(docs, "byte", windows).filter("n > 1").select("fp"), "fingerprints")
     free_shuffles(spark)
     found = stored(repeated_spans(docs, hot, "byte", windows, resolve_by(suffix_classes, "byte", windows)), "spans")

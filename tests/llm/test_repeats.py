@@ -74,6 +74,32 @@ def test_words(spark, seed, a_task, monkeypatch):
         assert (got[doc_id].n_units, got[doc_id].n_removed) == (len(units), sum(gone))
 
 
+@pytest.mark.parametrize("a_task", [4096, 1])
+def test_repeated_ids(spark, a_task, monkeypatch):
+    monkeypatch.setattr(repeats, "CONTEXTS_A_TASK", a_task)
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passages = [text(60) for _ in range(4)]
+    docs = [(i, f"{text(30)} {passages[i % 4]} {text(30)}") for i in range(12)]
+    rows = docs + docs[:8] + docs[:3]
+    rows += [(20, f"{text(25)} {passages[k % 4]} {text(40 + k)}") for k in range(9)]  # a doc_id of several texts
+    rows += [rows[-1], (20, None), (20, ""), (None, docs[0][1])]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranked = frame.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h").distinct().collect()
+    order = sorted((r.doc_id, r.h, r.text or "") for r in ranked if r.doc_id is not None)
+    number = {(d, t): k for k, (d, _, t) in enumerate(order)}
+    of = lambda d, t: number.get((d, t or ""))
+    for found, width, split, join, glue in (
+        (suffix_dedup, 100, lambda t: list(t.encode()), bytes, bytes),
+        (fingerprint_index, 20, lambda t: t.split(), " ".join, " ".join),
+    ):
+        flags = brute([(k, t) for (_, t), k in number.items()], width, split, join)
+        want = [(d, glue(u for u, g in zip(*flags[of(d, t)]) if not g) if d is not None else glue(split(t))) for d, t in rows]
+        got = [(r.doc_id, bytes(r.kept) if glue is bytes else r.kept) for r in found.deduplicate(frame).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_nothing_to_read(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.deduplicate(empty).count() == 0
