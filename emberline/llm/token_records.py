@@ -1,16 +1,17 @@
 """Token ids in files of length-delimited records, with a separate offset index.
 
-A record file ``part-NNNNN.rec`` starts with the eight bytes ``TOKREC`` + width (2 or 4, bytes of an id) + 0. A record is
+A record file ``part-NNNNN-KKKKK.rec`` (the task's partition and a count, since a new one is begun after FILE_BYTES) starts with the eight bytes ``TOKREC`` + width (2 or 4, bytes of an id) + 0. A record is
 
     length of the payload (8 bytes), masked crc32 of those 8 bytes (4), payload, masked crc32 of the payload (4)
 
 little-endian throughout, and its payload is 1 byte (1: doc_id known, 0: null), doc_id (8 bytes), then the ids. A
 checksum c is masked as ((c >> 15 | c << 17) + 0xA282EAD8) modulo 2**32, so that a checksum of data that holds
-checksums stays sound. ``part-NNNNN.idx`` has 24 bytes for each record: doc_id, offset of the record, number of ids; a
-reader that shuffles needs only this to seek. Parts hold ascending ranges of doc_id, nulls first.
+checksums stays sound. The ``.idx`` file of the same name has 24 bytes for each record: doc_id, offset of the record, number of
+ids. It is the reader's table of work: ranges of about RANGE_BYTES of records are dealt to tasks, which seek to them. Parts
+hold ascending ranges of doc_id, nulls first; rows of an equal or null doc_id spread over parts by a hash of the text.
 
-Null text is empty. Every document ends with ``end_id``. Rows that repeat a doc_id each have a record, in any order. A
-task that is run again writes the same bytes under a name of its own and moves them into place.
+Null text is empty. Every document ends with ``end_id``. Rows that repeat a doc_id each have a record, in the order of that
+hash. A task that is run again writes the same bytes under a name of its own and moves them into place.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from emberline.llm.blocks import BLANKS, ROLLING, U64, mix, ranges, text_blocks
 from emberline.session import scratch_path, stored
 
 MAGIC = b"TOKREC"
+#: Bytes of records after which a new file is begun, and that a task reads at once.
+FILE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
 #: Words whose ids a worker remembers.
 REMEMBERED = 2_000_000
 #: Bytes of Unicode white space outside ASCII, and ASCII separators that aren't blanks: these rows are encoded whole.
@@ -170,62 +173,102 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int =
     folder = spark._jvm.org.apache.hadoop.fs.Path(out)  # there even if no document is written
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("doc_id").asc_nulls_first()
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, order).sortWithinPartitions(order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(n, *order, "row").sortWithinPartitions(*order).select("doc_id", "text")
+
+    def files(batches):
+        """(frames, index) of the encoded blocks, each of little over FILE_BYTES at most; None where a file ends."""
+        size, code = 0, encoder(tokenizer_json)
+        for batch in batches:
+            docs_, known = batch.column(0).fill_null(0).to_numpy(), np.asarray(batch.column(0).is_valid())
+            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+                if size >= FILE_BYTES:
+                    yield None
+                    size = 0
+                frames, index = [], np.zeros((hi - lo, 3), np.int64)
+                for k, ids in enumerate(code.encode(data, offsets)):
+                    ids = np.append(ids, np.uint32(end_id)).astype(f"<u{code.width}")
+                    frames.append(framed(bytes([int(known[lo + k])]) + int(docs_[lo + k]).to_bytes(8, "little", signed=True) + ids.tobytes()))
+                    index[k] = docs_[lo + k], len(MAGIC) + 2 + size, len(ids)
+                    size += len(frames[-1])
+                yield frames, index
 
     def run(batches):
-        part, code = TaskContext.get().partitionId(), encoder(tokenizer_json)
+        task, width = TaskContext.get().partitionId(), encoder(tokenizer_json).width
         store, root = pafs.FileSystem.from_uri(out)
         store.create_dir(root, recursive=True)
-        mine = f"{root}/.{uuid.uuid4().hex}"
-        n_docs = n_tokens = 0
-        offset = len(MAGIC) + 2
-        with store.open_output_stream(f"{mine}.rec") as rec, store.open_output_stream(f"{mine}.idx") as idx:
-            rec.write(MAGIC + bytes([code.width, 0]))
-            for batch in batches:
-                docs_, known = batch.column(0).fill_null(0).to_numpy(), np.asarray(batch.column(0).is_valid())
-                for lo, hi, data, offsets in text_blocks(batch.column(1)):
-                    rows = code.encode(data, offsets)
-                    frames, index = [], np.zeros((hi - lo, 3), np.int64)
-                    for k, ids in enumerate(rows):
-                        ids = np.append(ids, np.uint32(end_id)).astype(f"<u{code.width}")
-                        frames.append(framed(bytes([int(known[lo + k])]) + int(docs_[lo + k]).to_bytes(8, "little", signed=True) + ids.tobytes()))
-                        index[k] = docs_[lo + k], offset, len(ids)
-                        offset += len(frames[-1])
+        blocks, more, k = files(batches), True, 0
+        while more:
+            mine, more = f"{root}/.{uuid.uuid4().hex}", False
+            n_docs = n_tokens = 0
+            with store.open_output_stream(f"{mine}.rec") as rec, store.open_output_stream(f"{mine}.idx") as idx:
+                rec.write(MAGIC + bytes([width, 0]))
+                for block in blocks:
+                    if block is None:
+                        more = True
+                        break
+                    frames, index = block
                     rec.write(b"".join(frames))
                     idx.write(index.astype("<i8").tobytes())
-                    n_docs, n_tokens = n_docs + hi - lo, n_tokens + int(index[:, 2].sum())
-        for kind in ("idx", "rec"):
-            store.move(f"{mine}.{kind}", f"{root}/part-{part:05d}.{kind}")
-        yield pa.record_batch([pa.array([part]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "n_docs", "n_tokens"])
+                    n_docs, n_tokens = n_docs + len(index), n_tokens + int(index[:, 2].sum())
+            for kind in ("idx", "rec"):
+                store.move(f"{mine}.{kind}", f"{root}/part-{task:05d}-{k:05d}.{kind}")
+            yield pa.record_batch([pa.array([task << 32 | k]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "n_docs", "n_tokens"])
+            k += 1
 
     return stored(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long"), "parts")
 
 
+def read_ranges(spark: SparkSession, out: str) -> DataFrame:
+    """(part, name, at, stop, before, n): ranges of about RANGE_BYTES of records, from the index files. ``before`` counts the
+    part's ids before a range, ``n`` its records; ``stop`` is null where the file's end is meant."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.idx").load(out)
+    name = F.regexp_extract("path", r"(part-\d+-\d+)\.idx$", 1)
+    number = lambda k: F.split_part(name, F.lit("-"), F.lit(k)).cast("long")
+    names = ["part", "name", "at", "stop", "before", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for part, name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                index = np.frombuffer(content.as_buffer(), "<i8").reshape(-1, 3)
+                if not len(index):
+                    continue
+                first = np.unique((index[:, 1] - index[0, 1]) // RANGE_BYTES, return_index=True)[1]
+                at = index[first, 1]
+                before = (np.cumsum(index[:, 2]) - index[:, 2])[first]
+                columns = [pa.array(at), pa.array([*at[1:].tolist(), None], pa.int64()), pa.array(before), pa.array(np.diff(np.append(first, len(index))))]
+                yield pa.record_batch([pa.array([part] * len(at), pa.int64()), pa.array([name] * len(at)), *columns], names=names)
+
+    part = F.shiftleft(number(2), 32).bitwiseOR(number(3)).alias("part")
+    return files.select(part, name.alias("name"), "content").mapInArrow(run, "part long, name string, at long, stop long, before long, n long")
+
+
 def read_records(spark: SparkSession, out: str) -> DataFrame:
     """(part, doc_id, before, n_tokens, ids) of every record: ``before`` counts the part's ids before it, ``ids`` are
     little-endian unsigned 32-bit integers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.rec").load(out)
-    part = F.regexp_extract("path", r"part-(\d+)\.rec$", 1).cast("long").alias("part")
 
     def run(batches):
+        store, root = pafs.FileSystem.from_uri(out)
         for batch in batches:
-            for part, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                content = content.as_buffer().to_pybytes()
-                if content[: len(MAGIC)] != MAGIC:
-                    raise ValueError(f"part {part} is no record file")
-                kind, before, held, size = f"<u{content[len(MAGIC)]}", 0, [], 0
-                for _, payload in records(content):
+            for part, name, at, stop, before, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{root}/{name}.rec") as rec:
+                    head = rec.read_at(len(MAGIC) + 2, 0)
+                    content = rec.read_at((stop or rec.size()) - at, at)
+                if head[: len(MAGIC)] != MAGIC:
+                    raise ValueError(f"{name} is no record file")
+                kind, held = f"<u{head[len(MAGIC)]}", []
+                for _, payload in records(content, 0):
                     ids = np.frombuffer(payload, kind, offset=9)
                     doc_id = int.from_bytes(payload[1:9], "little", signed=True) if payload[0] else None
                     held.append((part, doc_id, before, len(ids), ids.astype("<u4").tobytes()))
-                    before, size = before + len(ids), size + 4 * len(ids)
-                    if size >= 4 << 20:
-                        yield _rows(held)
-                        held, size = [], 0
+                    before += len(ids)
+                if len(held) != n:
+                    raise ValueError(f"{name} has {len(held)} records from byte {at}, its index {n}")
                 yield _rows(held)
 
-    return files.select(part, "content").mapInArrow(run, "part long, doc_id long, before long, n_tokens long, ids binary")
+    ranges_ = read_ranges(spark, out).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ranges_.mapInArrow(run, "part long, doc_id long, before long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

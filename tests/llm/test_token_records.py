@@ -76,6 +76,44 @@ def test_index_seeks_and_damage(spark, tmp_path):
     assert token_records.masked(head) == ((c >> 15 | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def test_parts_and_ranges_are_bounded(spark, tmp_path):
+    docs = [(None, f"null {i} " + "word " * 50) for i in range(300)] + [(7, f"same {i}") for i in range(300)] + [(8, "twin")] * 300 + [(i, "x") for i in range(9, 40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    out = f"file://{tmp_path}/rec"
+    parts = token_records.write_records(frame, tokenizer_path(), out)
+    assert all(r.n_docs < 400 for r in parts.collect())  # of 931 in four parts
+    got = token_records.with_starts(token_records.read_records(spark, out), parts).collect()
+    assert sorted((repr(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((repr(d), reference(t)) for d, t in docs)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id or -1 for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id or -1 for r in got)
+
+
+def test_files_roll(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_records, "FILE_BYTES", 3000)
+    monkeypatch.setattr(token_records, "RANGE_BYTES", 1000)
+    cloudpickle = __import__("pyspark.cloudpickle", fromlist=["x"])
+    cloudpickle.register_pickle_by_value(token_records)
+    docs = [(i, f"{i} " + "word " * 300) for i in range(60)]
+    out = f"file://{tmp_path}/rec"
+    try:
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        parts = token_records.write_records(frame, tokenizer_path(), out)
+        assert parts.count() > 8
+        assert token_records.read_ranges(spark, out).count() > 24
+        got = token_records.with_starts(token_records.read_records(spark, out), parts).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        cloudpickle.unregister_pickle_by_value(token_records)
+    at = 0
+    for (doc_id, text), r in zip(docs, sorted(got, key=lambda r: r.start), strict=True):
+        assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (doc_id, at, reference(text))
+        at += r.n_tokens
+
+
 def test_empty(spark):
     assert token_records.round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
