@@ -2,8 +2,8 @@
 
 Cues are at-signs, scheme marks, digits and identifier words. At each, a deterministic parser expands to both sides
 and validates: e-mail addresses, dotted IPv4 addresses, card numbers (Luhn), phone numbers, and beyond these base
-kinds web addresses (``url``) and bank accounts (``account``: an IBAN with a valid checksum, or 6 to 20 digits after an
-account word). Spans of one kind never overlap and are found leftmost first; a failing match is dropped and not
+kinds web addresses (``url``) and bank accounts (``account``: an IBAN with a valid checksum wherever it stands, or 6 to 20
+digits after an account word). Two capitals and a digit are an IBAN's cue; of its possible ends the last with a valid checksum counts. Spans of one kind never overlap and are found leftmost first; a failing match is dropped and not
 tried again inside.
 
 Null text is empty. Spans count code points, end exclusive, and are ordered by start, then kind as listed in KINDS.
@@ -31,7 +31,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?::[0-9]{1,5}+)?(?:[/?#][A-Za-z0-9/?#&=_.~%+:@!$'()*,;-]*)?")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 AFTER_CUE = re.compile(r"[ \t:#.]{0,3}(?:n[ro]\.?|no\.?|number|nummer)?[ \t:#.]{0,3}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
 
 
@@ -63,6 +63,18 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int) -> int:
+    """The end of the longest IBAN with a valid checksum that starts at ``start``, or 0."""
+    m = IBAN.match(text, start)
+    if not m or not m[0].isascii():
+        return 0
+    for end in range(m.end(), start + 14, -1):
+        whole = text[end - 1] != " " and not (end < len(text) and text[end].isascii() and text[end].isalnum())
+        if whole and iban_valid(text[start:end]):
+            return end
+    return 0
+
+
 def _numbers(text: str, at: int, low: int, spans: list[tuple[int, int, int]]) -> int:
     """The numbers of the island around ``at``; islands don't reach below ``low``. Returns the island's end."""
     start = at
@@ -90,6 +102,11 @@ def find_spans(text: str, cues) -> list[tuple[int, int, int]]:
     island = email = url = account = 0
     for last, (what, length) in cues.iter(text):
         if what == "digit":
+            if last - 2 >= account and "A" <= text[last - 1] <= "Z" and "A" <= text[last - 2] <= "Z":
+                end = _iban_end(text, last - 2)
+                if end:
+                    spans.append((last - 2, 5, end))
+                    account = end
             if last >= island:
                 island = _numbers(text, last, island, spans)
         elif what == "at":
@@ -115,11 +132,6 @@ def find_spans(text: str, cues) -> list[tuple[int, int, int]]:
             if m:
                 account = m.end(1)
                 spans.append((m.start(1), 5, account))
-            else:
-                m = IBAN.search(text, last + 1, last + 48)
-                if m and iban_valid(m[0]):
-                    account = m.end()
-                    spans.append((m.start(), 5, account))
     return sorted(spans)
 
 

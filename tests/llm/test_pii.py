@@ -42,6 +42,19 @@ def test_added_kinds():
     assert found("://x nothing://x") == []
 
 
+def test_ibans_anywhere():
+    cues = automaton()
+    found = lambda text: [text[a:b] for a, k, b in find_spans(text, cues) if k == 5]
+    fr, de, gb = "FR76 3000 6000 0112 3456 7890 189", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    assert found(f"IBAN of the recipient: {fr}") == [fr]
+    assert found("IBAN, as given by the recipient in the letter of the third of May: " + fr) == [fr]
+    assert found(f"iban {de}, {gb} or {fr}") == [de, gb, fr]
+    assert found(f"iban {de} {fr}") == [de, fr]
+    assert found(f"IBAN DE88 3704 0044 0532 0130 00, rather {de}") == [de]
+    assert found(f"IBAN {de} NOT LATER") == [de] and found(f"pay to {gb}") == [gb]
+    assert found(f"x{gb} {gb}x A{de}") == []
+
+
 def test_long_texts_are_linear():
     cues = automaton()
     for text in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 100_000, "1." * 100_000, " " * 200_000 + "1", "@" * 200_000):
