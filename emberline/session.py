@@ -36,7 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the files of stored frames that nothing reads any more. What was made from them must be stored itself."""
+    for df in frames:
+        path = getattr(df, "stored_at", None) if df is not None else None
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

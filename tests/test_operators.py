@@ -50,6 +50,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    """Rising, falling and in random order, all in one list: the rounds are those of the slowest."""
+    mixed = random.Random(3).sample(range(2000, 3000), 1000)
+    pairs = [(k, k + 1) for k in range(999)] + [(k + 1, k) for k in reversed(range(1000, 1999))] + list(zip(mixed, mixed[1:]))
+    rounds: list[int] = []
+    found = components(spark.createDataFrame(pairs, "a long, b long"), finish=0, rounds=rounds)
+    assert sorted(found.groupBy("component").count().collect()) == [(0, 1000), (1000, 1000), (2000, 1000)]
+    assert len(rounds) <= 12
+
+
+def test_components_by_contraction_and_in_one_task_agree(spark):
+    rng = random.Random(5)
+    pairs = [(f"v{rng.randrange(90):02}", f"v{rng.randrange(90):02}") for _ in range(70)] + [("hub", f"v{k:02}") for k in range(80, 90)]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    assert sorted(components(edges, finish=0).collect()) == sorted(components(edges).collect())
+
+
 SCHEMA = "det_id long, lat double, lon double, acq_us long, frp double, brightness double, daynight string, satellite string"
 
 
