@@ -6,16 +6,46 @@ arrays made from it stay small however large a batch is; a row is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Bytes of an Arrow batch that goes to Python, unless the session sets another number; a longer row goes alone.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system. Workers are used again by later stages and would keep the most they ever held."""
+    for rolling in (ROLLING, SECOND):
+        rolling.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by bytes; a worker gives its memory back when the task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into these bytes) for each block; a null row is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -82,6 +112,9 @@ class Rolling:
         self.letters = rng.integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
         self.base = U64(int(rng.integers(1 << 60, 1 << 62)) | 5)
         self.inverse = U64(pow(int(self.base), -1, 1 << 64))
+        self.forget()
+
+    def forget(self) -> None:
         self.powers = self.inverses = np.ones(1, U64)
 
     def _grow(self, n: int) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, byte_set, find_words, text_blocks, word_hashes
+from emberline.llm.blocks import BLANKS, byte_set, find_words, map_batches, text_blocks, word_hashes
 
 LABELLED = 20_000
 TREES, DEPTH, BINS, SHRINK, SEED = 24, 3, 24, 0.3, 3
@@ -91,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in found.T)], names=["doc_id", *STATISTICS])
 
     columns = ", ".join(f"{x} double" for x in STATISTICS)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {columns}")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {columns}")
 
 
 #: A condition: number of the statistic, whether it must exceed, threshold. A rule holds if all of its conditions do.
