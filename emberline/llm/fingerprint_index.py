@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, find_words, text_blocks
+from emberline.llm.blocks import BLANKS, find_words, map_batches, text_blocks
 from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans, with_versions
 from emberline.session import free_shuffles, scratch_path, stored
 
@@ -87,10 +87,17 @@ class FingerprintIndex:
         self.runs = []
 
 
-def window_classes(symbols: np.ndarray, offsets: np.ndarray, at: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers equal windows of a task alike, by the hashes of their word sequences."""
+def window_classes(symbols: np.ndarray, offsets: np.ndarray, at: np.ndarray, windows: Windows) -> np.ndarray:
+    """Numbers equal windows of a task alike: in the order of their hashes, neighbours are compared word by word."""
     hashes = Hashed(symbols, offsets, windows).window_hashes(at)
-    return np.unique(hashes, return_inverse=True)[1], hashes
+    order = np.argsort(hashes)
+    here, before = at[order[1:]], at[order[:-1]]
+    new = hashes[order[1:]] != hashes[order[:-1]]
+    for k in range(windows.width):
+        new |= symbols[here + k] != symbols[before + k]
+    names = np.empty(len(at), np.int64)
+    names[order] = np.cumsum(np.concatenate(([True], new)))
+    return names
 
 
 def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
@@ -159,4 +166,4 @@ def kept_words(docs_spans: DataFrame) -> DataFrame:
                     names=["doc_id", "n_units", "n_removed", "kept"],
                 )
 
-    return docs_spans.mapInArrow(run, "doc_id long, n_units long, n_removed long, kept string")
+    return map_batches(docs_spans, run, "doc_id long, n_units long, n_removed long, kept string")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, ROLLING, SECOND, U64, find_words, mix, ranges, text_blocks, word_hashes
+from emberline.llm.blocks import BLANKS, ROLLING, SECOND, U64, find_words, map_batches, mix, ranges, text_blocks, word_hashes
 from emberline.session import free_shuffles, stored
 
 
@@ -153,7 +153,7 @@ def group_rows(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "version", "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, GROUP_SCHEMA)
+    return map_batches(rows, run, GROUP_SCHEMA)
 
 
 def fingerprints(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, unit: str, windows: Windows) -> DataFrame:
                 fp, n = np.unique(Hashed(*units_of(data, offsets, unit), windows).groups(contexts=False).fp, return_counts=True)
                 yield pa.record_batch([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
-    rows = docs.filter("doc_id is not null and text is not null").select("text").mapInArrow(run, "fp long, n long")
+    rows = map_batches(docs.filter("doc_id is not null and text is not null").select("text"), run, "fp long, n long")
     return rows.groupBy("fp").agg(F.sum("n").alias("n"))
 
 
@@ -233,10 +233,10 @@ def _context_units(docs: DataFrame, contexts: DataFrame, unit: str, windows: Win
 
     once = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", "version").agg(F.first("text").alias("text"))
     rows = once.join(contexts, ["doc_id", "version"])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
-LOCAL_SCHEMA = "fp long, hash long, doc_id long, version long, start int, stop int, open boolean"
+LOCAL_SCHEMA = "fp long, content binary, doc_id long, version long, start int, stop int, open boolean"
 
 
 def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[DataFrame], DataFrame]:
@@ -244,7 +244,7 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
 
     ``classes(units, lengths, starts)`` numbers equal windows alike within a task. A window at another place than
     the first of its class in its task is a repeat. The firsts of fingerprints with several salts are compared once more,
-    across salts, by two hashes.
+    across salts, by all their units.
     """
 
     def local(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
         at = ranges(offsets[:-1], counts)
         row = np.repeat(np.arange(len(counts)), counts)
         place = starts[row] + (at - offsets[row])
-        names, hashes = classes(symbols, offsets, at, windows)
+        names = classes(symbols, offsets, at, windows)
         order = np.lexsort((place, versions[row], docs[row], names))
         new = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
         first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
@@ -269,11 +269,12 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
         heads = np.flatnonzero(repeat & ~np.concatenate(([False], joined)))
         tails = np.flatnonzero(repeat & ~np.concatenate((joined, [False])))
         none = np.zeros(len(heads), np.int64)
-        yield _spans(none, none, docs[row[heads]], versions[row[heads]], place[heads], place[tails] + windows.width, False)
+        yield _spans(none, [None] * len(heads), docs[row[heads]], versions[row[heads]], place[heads], place[tails] + windows.width, False)
         open_ = np.flatnonzero(~repeat & (salts[row] > 1))
         if len(open_):
-            own = row[open_]
-            yield _spans(fps[own], hashes[open_].view(np.int64), docs[own], versions[own], place[open_], place[open_] + windows.width, True)
+            own, raw = row[open_], data.tobytes()
+            content = [raw[a * size : (a + windows.width) * size] for a in at[open_].tolist()]
+            yield _spans(fps[own], content, docs[own], versions[own], place[open_], place[open_] + windows.width, True)
 
     def chunks(rows: pa.Table, final: bool) -> tuple[list[pa.Table], pa.Table]:
         """``rows`` cut where fingerprint or salt change, into parts of little over RESOLVE_BYTES; and what may go on."""
@@ -303,10 +304,10 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
     def resolve(contexts: DataFrame) -> DataFrame:
         n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = contexts.repartition(n, "fp", "salt").sortWithinPartitions("fp", "salt")
-        found = stored(dealt.mapInArrow(run, LOCAL_SCHEMA), "resolved")
+        found = stored(map_batches(dealt, run, LOCAL_SCHEMA), "resolved")
         firsts = found.filter("open").withColumn("pos", _pos())
-        least = firsts.groupBy("fp", "hash").agg(F.min("pos").alias("first"), F.count("*").alias("k")).filter("k > 1")
-        across = firsts.join(least, ["fp", "hash"]).filter("pos <> first")
+        least = firsts.groupBy("fp", "content").agg(F.min("pos").alias("first"), F.count("*").alias("k")).filter("k > 1")
+        across = firsts.join(least, ["fp", "content"]).filter("pos <> first")
         return found.filter("not open").unionByName(across.select(*found.columns)).select("doc_id", "version", "start", "stop")
 
     return resolve
@@ -316,18 +317,18 @@ def resolve_by(classes: Callable, unit: str, windows: Windows) -> Callable[[Data
 RESOLVE_BYTES = 1 << 19
 
 
-def _spans(fp, hashes, doc, version, start, stop, is_open: bool) -> pa.RecordBatch:
+def _spans(fp, content, doc, version, start, stop, is_open: bool) -> pa.RecordBatch:
     return pa.record_batch(
         [
             pa.array(fp, pa.int64()),
-            pa.array(hashes, pa.int64()),
+            pa.array(content, pa.binary()),
             pa.array(doc, pa.int64()),
             pa.array(version, pa.int64()),
             pa.array(start.astype(np.int32)),
             pa.array(stop.astype(np.int32)),
             pa.array(np.full(len(doc), is_open)),
         ],
-        names=["fp", "hash", "doc_id", "version", "start", "stop", "open"],
+        names=["fp", "content", "doc_id", "version", "start", "stop", "open"],
     )
 
 

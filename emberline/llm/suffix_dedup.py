@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import U64, text_blocks
-from emberline.llm.repeats import Hashed, Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans, with_versions
+from emberline.llm.blocks import U64, map_batches, text_blocks
+from emberline.llm.repeats import Windows, covered, fingerprints, repeated_spans, resolve_by, with_spans, with_versions
 from emberline.session import free_shuffles, stored
 
 #: Bytes in a repeated string that is removed.
@@ -102,8 +102,8 @@ def suffix_ranks(text: np.ndarray, covers: int, depth: int) -> np.ndarray:
 PACK = 8
 
 
-def suffix_classes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers equal windows alike, by a suffix array of all strings of a task."""
+def suffix_classes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, windows: Windows) -> np.ndarray:
+    """Numbers equal windows alike: by a suffix array of all strings of a task, whose neighbours are compared over the window's width."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(2 * PACK, np.uint8)))
     eight = np.lib.stride_tricks.sliding_window_view(padded, PACK)[:n]
@@ -114,11 +114,15 @@ def suffix_classes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, window
     order_in[places] = np.arange(n)
     ranks = suffix_ranks(dense(symbols[places]), PACK, windows.width)[order_in]
     order = np.argsort(ranks[at])
-    hashes = Hashed(data, offsets, windows).window_hashes(at)
-    sortd = hashes[order]
+    here, before = at[order[1:]], at[order[:-1]]
+    new = np.zeros(len(here), bool)  # where a suffix and its neighbour differ within the window's width
+    for k in (*range(0, windows.width - PACK, PACK), windows.width - PACK) if windows.width >= PACK else ():
+        new |= symbols[here + k] != symbols[before + k]
+    for k in range(windows.width if windows.width < PACK else 0):
+        new |= data[here + k] != data[before + k]
     names = np.empty(len(at), np.int64)
-    names[order] = np.cumsum(np.concatenate(([True], sortd[1:] != sortd[:-1])))
-    return names, hashes
+    names[order] = np.cumsum(np.concatenate(([True], new)))
+    return names
 
 
 KEPT_SCHEMA = "doc_id long, n_units long, removed array<struct<start:int,stop:int>>, kept binary"
@@ -163,7 +167,7 @@ def kept_bytes(docs_spans: DataFrame, windows: Windows) -> DataFrame:
                     names=["doc_id", "n_units", "removed", "kept"],
                 )
 
-    return docs_spans.mapInArrow(run, KEPT_SCHEMA)
+    return map_batches(docs_spans, run, KEPT_SCHEMA)
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
