@@ -4,7 +4,9 @@ A source's size is the number of words of its documents. Sources, in code point
 weights in turn and share ``share`` times all words; no target exceeds ``limit`` times its source's size, and the
 excess is shared again by weight. To meet a target, documents are counted by exact length; each length first gives
 documents in proportion, what remains of the budget is filled from the longest lengths down, and the last part by a
-bounded knapsack over the lengths left. Which documents of a length are taken follows a seeded hash of doc_id.
+bounded knapsack over the lengths left. That part is at least twice the longest document (documents are given back for it if
+need be), so that few long documents are combined anew rather than left as the proportion had them. Which documents of a
+length are taken follows a seeded hash of doc_id.
 
 A document's length is its number of words; null text has none. A source without words has target 0. Rows that
 repeat a doc_id count each and are taken alike only by chance; a row without doc_id counts as well.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from emberline.session import stored
 
 WEIGHTS, SHARE, LIMIT, SEED = (5, 2, 1), 1.5, 2, 17
-#: Words of a budget that are left to the knapsack.
-KNAPSACK = 1 << 13
+#: Words of a budget that are left to the knapsack at least, and bytes that its steps may hold.
+KNAPSACK, KNAPSACK_BYTES = 1 << 13, 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,22 +63,29 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         k = int(np.flatnonzero(taken * sizes)[-1])
         taken[k] -= 1
         left += int(sizes[k])
+    room = max(KNAPSACK, 2 * int(sizes.max(initial=0)))
     for k, size in enumerate(sizes.tolist()):
-        if size and left > KNAPSACK:
-            more = min(int(counts[k] - taken[k]), (left - KNAPSACK) // size)
+        if size and left > room:
+            more = min(int(counts[k] - taken[k]), (left - room) // size)
             taken[k] += more
             left -= more * size
+    for k, size in enumerate(sizes.tolist()):
+        if size and left < room:
+            fewer = min(int(taken[k]), -(-(room - left) // size))
+            taken[k] -= fewer
+            left += fewer * size
     # Reachable sums as the bits of an integer; each step adds a power of two of one size's items.
-    mask, bits, steps = (1 << (left + 1)) - 1, 1, []
+    mask, bits, steps, held = (1 << (left + 1)) - 1, 1, [], 0
     for k in np.flatnonzero((sizes > 0) & (sizes <= left) & (counts > taken)).tolist():
         spare, piece = int(min(counts[k] - taken[k], left // sizes[k])), 1
         while spare and not bits >> left & 1:
             piece = min(piece, spare)
             grown = (bits | bits << piece * int(sizes[k])) & mask
             if grown != bits:
+                held += bits.bit_length() // 8
                 steps.append((bits, k, piece))
             bits, spare, piece = grown, spare - piece, piece * 2
-        if bits >> left & 1:
+        if bits >> left & 1 or held > KNAPSACK_BYTES:
             break
     at = bits.bit_length() - 1
     for old, k, piece in reversed(steps):
@@ -96,9 +105,12 @@ def _fit(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": cells["source"], "size": sizes, "n": counts, "base": base, "extra": extra, "source_size": cells["source_size"], "target": cells["target"]})
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of ``docs``: copies are 0 to ``limit``."""
-    each = stored(docs.select("doc_id", F.col("source").cast("string"), n_words().alias("size")), "sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of ``docs``: copies are 0 to ``limit``.
+
+    ``carry``: columns of ``docs`` that are returned as well."""
+    each = stored(docs.select("doc_id", F.col("source").cast("string"), n_words().alias("size"), *carry), "sizes")
+    carried = each.columns[3:]
     counts = stored(each.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(totals, weights, share, limit)
@@ -128,15 +140,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
         offset,
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("salt") == F.col("_salt")),
     )
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", *carried]
     some = ranked.select(*columns, (F.col("base") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
     rest = placed.filter(~part).select(*columns, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
     return some.unionByName(rest)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs``, each row as often as the mix takes it; rows that repeat a doc_id go by the most of them."""
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_doc_id")
-    columns = docs.columns
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    """``docs``, each row as often as the mix takes it. Rows that agree in every column share what they are taken for, so it
+    makes no difference which of them stands in the result. Columns of ``docs`` can't be maps."""
+    # two hashes of the whole row name it; equal rows meet again under them, other rows of a doc_id don't
+    names = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"_row_{k}") for k in (1, 2)]
+    keys = [f"_row_{k}" for k in (1, 2)]
+    copies = mix(docs, carry=tuple(names), **how).groupBy(*keys).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    rows = docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).groupBy(*keys).agg(F.first("_row").alias("_row"))
+    taken = rows.join(copies, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

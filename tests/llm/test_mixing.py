@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from emberline.llm.mixing import mix, mixed_documents, subset_counts, targets
 
 
@@ -47,6 +49,25 @@ def test_subset_counts():
         assert best - got <= 60
 
 
+def test_few_long_documents():
+    """The proportion alone would leave a sixth of the budget."""
+    sizes, counts = np.array([20000, 30000]), np.array([3, 2])
+    for budget in (0, 20000, 50000, 60000, 80000, 120000):
+        assert int((subset_counts(sizes, counts, budget) * sizes).sum()) == budget
+
+
+def test_mixed_rows_of_one_id(spark):
+    """Rows of a doc_id aren't taken by the largest of their copies."""
+    rows = [(i // 4, " ".join(["w"] * (1 + i % 90)), "abc"[i % 3], i, 0) for i in range(400)] + [(1, "same row", "a", 1, 0)] * 9 + [(None, "no id", "b", k % 2, 0) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int, _copies int")
+    goal = {r.source: r.target for r in mix(docs).collect()}
+    got = mixed_documents(docs)
+    assert got.columns == docs.columns
+    for source, target in goal.items():
+        assert abs(sum(len(r.text.split()) for r in got.filter(F.col("source") == source).collect()) - target) <= 1
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, rng.randint(1, 300)])), rng.choice(["a", "b", "c", None, "a", "a"]), 7) for i in range(900)]
