@@ -12,14 +12,19 @@ length only. A vec_id that is repeated is never a candidate for itself. Scores b
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.llm.blocks import map_batches
+from emberline.session import stored
+
 #: Bytes of query vectors that are sent to the executors at once.
-WAVE_BYTES = 4 << 20
+WAVE_BYTES = 8 << 20
 #: Dimensions in a block, candidates and queries compared at once.
 DIMENSIONS, CANDIDATES, QUERIES = 16, 2048, 256
 
@@ -103,29 +108,34 @@ class Best:
         self.score[part], self.vec[part] = s[best], v[best]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
-    """(query_id, rank, vec_id, score) from frames of (vec_id, embedding): the k best, ties to the smaller vec_id."""
-    parts = []
-    for ids, x in _waves(queries, scale):
-        parts.append(candidates.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_search(ids, x, k, scale), "query_id long, vec_id long, score long"))
-    if not parts:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+RESULT = "query_id long, rank int, vec_id long, score long"
+
 
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
+    """(query_id, rank, vec_id, score) from frames of (vec_id, embedding): the k best, ties to the smaller vec_id.
 
-def _waves(queries: DataFrame, scale: float):
-    """The queries' ids and vectors, in parts of about WAVE_BYTES."""
+    Queries that fit in one wave are searched as the result is read. With more, each wave is searched and written before the
+    next is gathered, so that the driver, the executors and a plan hold one wave whatever their number.
+    """
     queries = queries.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
     size = queries.agg(F.sum(F.size("embedding") * 8 + 8)).first()[0] or 0
     waves = -(-size // WAVE_BYTES)
+    if waves > 1:
+        queries = stored(queries.withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(waves))).repartition("wave"), "queries")
+    done = []
     for wave in range(waves):
-        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).toArrow()
-        if len(rows):
-            yield from vectors(rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), scale)
+        rows = (queries.filter(F.col("wave") == wave) if waves > 1 else queries).select("vec_id", "embedding").toArrow()
+        for ids, x in vectors(rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), scale) if len(rows) else ():
+            found = _ranked(map_batches(candidates.select(F.col("vec_id").cast("long"), "embedding"), _search(ids, x, k, scale), "query_id long, vec_id long, score long"), k)
+            done.append(stored(found, "wave") if waves > 1 else found)
+    if not done:
+        return candidates.sparkSession.createDataFrame([], RESULT)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _search(ids: np.ndarray, x: np.ndarray, k: int, scale: float):
