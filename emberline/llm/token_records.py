@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, ROLLING, U64, mix, ranges, text_blocks
+from emberline.llm.blocks import BLANKS, ROLLING, U64, map_batches, mix, ranges, text_blocks
 from emberline.session import scratch_path, stored
 
 MAGIC = b"TOKREC"
 #: Bytes of records after which a new file is begun, and that a task reads at once.
 FILE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Bytes of Unicode white space outside ASCII, and ASCII separators that aren't blanks: these rows are encoded whole.
 OTHER_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80"] + [
     b"\xe2\x80" + bytes([k]) for k in range(0x80, 0x8B)
@@ -56,11 +56,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # Rows that hold one of these are encoded whole: they aren't split like other text.
+        self.marks = OTHER_SPACE + [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
         # Bytes of each id's token: a byte-level token has one character for each byte.
         self.lengths = np.zeros(max(self.tokenizer.get_vocab_size(), 1), np.int64)
         for token, id_ in self.tokenizer.get_vocab().items():
@@ -99,7 +100,7 @@ class Encoder:
         if not self.by_word:
             whole[:] = True
         else:
-            for mark in OTHER_SPACE:
+            for mark in self.marks:
                 at = raw.find(mark)
                 while at >= 0:
                     row = int(np.searchsorted(offsets, at, "right")) - 1
@@ -111,6 +112,9 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(data))
+        if whole.any():
+            pieces = ~whole[np.searchsorted(offsets, begin, "right") - 1]
+            begin, end = begin[pieces], end[pieces]
         keys = mix(ROLLING.spans(ROLLING.prefix(data), begin, end) + (end - begin).astype(U64))
         distinct, first, each = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
@@ -217,7 +221,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int =
             yield pa.record_batch([pa.array([task << 32 | k]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "n_docs", "n_tokens"])
             k += 1
 
-    return stored(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long"), "parts")
+    return stored(map_batches(ordered, run, "part long, n_docs long, n_tokens long"), "parts")
 
 
 def read_ranges(spark: SparkSession, out: str) -> DataFrame:
@@ -241,7 +245,7 @@ def read_ranges(spark: SparkSession, out: str) -> DataFrame:
                 yield pa.record_batch([pa.array([part] * len(at), pa.int64()), pa.array([name] * len(at)), *columns], names=names)
 
     part = F.shiftleft(number(2), 32).bitwiseOR(number(3)).alias("part")
-    return files.select(part, name.alias("name"), "content").mapInArrow(run, "part long, name string, at long, stop long, before long, n long")
+    return map_batches(files.select(part, name.alias("name"), "content"), run, "part long, name string, at long, stop long, before long, n long")
 
 
 def read_records(spark: SparkSession, out: str) -> DataFrame:
@@ -268,7 +272,7 @@ def read_records(spark: SparkSession, out: str) -> DataFrame:
                 yield _rows(held)
 
     ranges_ = read_ranges(spark, out).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return ranges_.mapInArrow(run, "part long, doc_id long, before long, n_tokens long, ids binary")
+    return map_batches(ranges_, run, "part long, doc_id long, before long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

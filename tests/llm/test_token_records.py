@@ -30,9 +30,7 @@ def corpus():
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def reference(text):
@@ -114,6 +112,19 @@ def test_files_roll(spark, tmp_path, monkeypatch):
         at += r.n_tokens
 
 
+def test_names_of_special_tokens():
+    """As by the plain call: 50256 for a name in a text, also beside texts that only come close."""
+    texts = ["a<|endoftext|>b", "a <|endoftext|", "|> b", "x <|endoftext|> <|endoftext|>", "<|end oftext|>"]
+    data = "".join(texts).encode()
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_records.Encoder(f.read())
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    for _ in range(2):
+        got = [x.tolist() for x in encoder.encode(np.frombuffer(data, np.uint8), offsets)]
+        assert got == [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 50256, 65]
+
+
 def test_empty(spark):
     assert token_records.round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
