@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.blocks import map_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
-SCHEMES = ("http", "https", "ftp", "mailto")
+SCHEMES = ("http", "https", "ftp")
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "kontonummer", "compte", "cuenta")
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -32,7 +34,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?::[0-9]{1,5}+)?(?:[/?#][A-Za-z0-9/?#&=_.~%+:@!$'()*,;-]*)?")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-AFTER_CUE = re.compile(r"[ \t:#.]{0,3}(?:n[ro]\.?|no\.?|number|nummer)?[ \t:#.]{0,3}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
+AFTER_CUE = re.compile(r"[ \t:#.]{0,3}(?:n[ro]\.?|no\.?|number|nummer)?[ \t:#.]{0,3}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
 
 
 def automaton():
@@ -152,7 +154,7 @@ def find(docs: DataFrame) -> DataFrame:
             )
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def joined(spans: Column) -> Column:

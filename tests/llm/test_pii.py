@@ -42,6 +42,12 @@ def test_added_kinds():
     assert found("://x nothing://x") == []
 
 
+def test_account_words_in_any_case():
+    cues = pii.automaton()
+    for text in ("Account Number: 12345678", "Account No: 12345678", "ACCOUNT NO: 12345678", "account number 12345678"):
+        assert [(text[a:b], pii.KINDS[k]) for a, k, b in pii.find_spans(text, cues)] == [("12345678", "account")]
+
+
 def test_ibans_anywhere():
     cues = automaton()
     found = lambda text: [text[a:b] for a, k, b in find_spans(text, cues) if k == 5]
