@@ -7,13 +7,16 @@ rest, strung together with separators, the Burrows-Wheeler transform is held in
 searched backward through its ranks, all phrases of a shard at once; places come from the suffix positions sampled,
 and overlapping places merge into removal spans.
 
-The benchmark reaches the tasks in portions of bounded size; with several, a document's spans are merged portion after
-portion in the same row. Null text has no words. An item without words or without item_id takes no part.
+The benchmark reaches the tasks in portions of bounded size, one at a time; with several, the spans that each finds are
+written and then merged. Null text has no words. An item without words or without item_id takes no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import LOWER, NON_ALNUM, U64, find_words, mix, ranges, text_blocks, word_hashes
+from emberline.llm.blocks import LOWER, NON_ALNUM, U64, find_words, map_batches, mix, ranges, text_blocks, word_hashes
 from emberline.llm.repeats import covered
+from emberline.session import stored
 
 WIDTH = 10
 #: Words of the benchmark that are sent to the executors at once.
@@ -201,103 +205,126 @@ def find_phrases(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.nda
     return np.array(rows)[piece], start, start + phrases.lengths[phrase], phrase
 
 
-FOUND_SCHEMA = "doc_id long, text string, n_words long, hits array<struct<start:int,stop:int>>, items array<string>"
+SPANS, ITEMS = "array<struct<start:int,stop:int>>", "array<string>"
 
 
-def portions(benchmark: DataFrame, width: int) -> list[Phrases]:
-    """The benchmark in portions of about PORTION_WORDS words; one fits all but very large ones."""
+def portions(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
+    """The benchmark in portions of about PORTION_WORDS words, one at a time; one fits all but very large ones."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // (6 * PORTION_WORDS))
-    out = []
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().combine_chunks()
-        if len(part):
-            out.append(phrases_of(part.column(0).to_pylist(), part.column(1).combine_chunks(), width))
-    return [x for x in out if x is not None]
+        found = phrases_of(part.column(0).to_pylist(), part.column(1).combine_chunks(), width) if len(part) else None
+        if found is not None:
+            yield found
+
+
+def hits_of(text: pa.Array, phrases: Phrases | None) -> tuple[np.ndarray, pa.Array, list[set[str]]]:
+    """For each row of a shard: its number of words, its merged spans of hit words, and its items."""
+    n = len(text)
+    sizes, items = np.zeros(n, np.int64), [set() for _ in range(n)]
+    for lo, hi, _, words, _, _ in words_of(text):
+        sizes[lo:hi] = np.diff(words)
+    row = start = stop = np.zeros(0, np.int64)
+    if phrases is not None:
+        row, start, stop, phrase = find_phrases(text, phrases)
+        for doc, p in set(zip(row.tolist(), phrase.tolist(), strict=True)):
+            items[doc].update(phrases.items[phrases.item_bounds[p] : phrases.item_bounds[p + 1]])
+    # one more word for each row parts the spans of different rows
+    base = np.concatenate(([0], np.cumsum(sizes + 1)))
+    gone = covered(int(base[-1]), base[row] + start, base[row] + stop)
+    edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    owner = np.searchsorted(base, first, "right") - 1
+    spans = pa.StructArray.from_arrays([pa.array((x - base[owner]).astype(np.int32)) for x in (first, last)], names=["start", "stop"])
+    bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return sizes, pa.ListArray.from_arrays(bounds, spans), items
+
+
+def without_spans(text: pa.Array, hits: pa.Array) -> list[str | None]:
+    """The texts without their spans, each cut from its first word's start to its last word's end."""
+    out = text.to_pylist()
+    for lo, hi, data, offsets in text_blocks(text):
+        starts, ends, words = find_words(LOWER[data], offsets, NON_ALNUM)
+        raw = data.tobytes()
+        for k in range(lo, hi):
+            spans = hits[k].as_py()
+            if spans:
+                at, kept = int(offsets[k - lo]), []
+                for s in spans:
+                    kept.append(raw[at : starts[words[k - lo] + s["start"]]])
+                    at = int(ends[words[k - lo] + s["stop"] - 1])
+                out[k] = b"".join((*kept, raw[at : offsets[k - lo + 1]])).decode()
+    return out
+
+
+def _search(docs: DataFrame, phrases: Phrases | None, cut: bool) -> DataFrame:
+    """(rest, text, n_words, hits, items) from (rest, text), for one portion; the text without its hits where ``cut``."""
+    kind = docs.schema["rest"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text, n_words, hits, items) for each row: merged spans of hit words, and the items (as text, sorted)."""
-    spark = docs.sparkSession
-    found = docs.select(F.col("doc_id").cast("long"), "text")
-    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,stop:int>>").alias("hits"), F.array().cast("array<string>").alias("items")]
-    found = found.select("doc_id", "text", *none)
-    for phrases in portions(benchmark, width) or [None]:
-        found = found.mapInArrow(_shard(spark.sparkContext.broadcast(phrases)), FOUND_SCHEMA)
-    return found
-
-
-def _shard(sent):
     def run(batches):
-        phrases = sent.value
         for batch in batches:
-            text, n = batch.column(1), len(batch)
-            sizes = np.zeros(n, np.int64)
-            for lo, hi, _, words, _, _ in words_of(text):
-                sizes[lo:hi] = np.diff(words)
-            old = batch.column(3)
-            row = np.repeat(np.arange(n), pc.list_value_length(old).to_numpy())
-            start, stop = (old.flatten().field(k).to_numpy().astype(np.int64) for k in ("start", "stop"))
-            items = [set(x) for x in batch.column(4).to_pylist()]
-            if phrases is not None:
-                r, a, b, phrase = find_phrases(text, phrases)
-                row, start, stop = (np.concatenate(x) for x in ((row, r), (start, a), (stop, b)))
-                for doc, p in set(zip(r.tolist(), phrase.tolist(), strict=True)):
-                    items[doc].update(phrases.items[phrases.item_bounds[p] : phrases.item_bounds[p + 1]])
-            # one more word for each row parts the spans of different rows
+            text = batch.column(1)
+            sizes, hits, items = hits_of(text, sent.value)
+            if cut:
+                text = pa.array(without_spans(text, hits), pa.string())
+            columns = [batch.column(0), text, pa.array(sizes), hits, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            found = pa.record_batch(columns, names=["rest", "text", "n_words", "hits", "items"])
+            for k in range(0, len(found), 256):  # what goes back to Spark is small
+                yield found.slice(k, 256)
+
+    return map_batches(docs.select("rest", "text"), run, f"rest {kind}, text string, n_words long, hits {SPANS}, items {ITEMS}")
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, width: int, cut: bool) -> DataFrame:
+    """As _search(), for the whole benchmark. One portion is searched as the result is read. With more, what each finds is written
+    by the text's SHA-256 before the next is made, and merged, so that neither the driver nor a plan holds more than one."""
+    stream = portions(benchmark, width)
+    first, second = next(stream, None), next(stream, None)
+    if second is None:
+        return _search(docs, first, cut)
+    texts, found = docs.select(F.sha2("text", 256).alias("rest"), "text").filter("text is not null"), []
+    for phrases in chain((first, second), stream):
+        hits = _search(texts, phrases, False).filter(F.size("hits") > 0).select("rest", F.explode("hits").alias("span"), "items").distinct()
+        found.append(stored(hits, "hits"))
+    every = reduce(DataFrame.unionByName, found).groupBy(F.col("rest").alias("_name"))
+    every = every.agg(F.collect_set("span").alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    plain = _search(docs, None, False).drop("hits", "items").withColumn("_name", F.sha2("text", 256))
+    joined = plain.join(every, "_name", "left")
+    kind = docs.schema["rest"].dataType.simpleString()
+
+    def merge(batches):
+        for batch in batches:
+            text, sizes = batch.column(1), batch.column(2).to_numpy()
             base = np.concatenate(([0], np.cumsum(sizes + 1)))
-            gone = covered(int(base[-1]), base[row] + start, base[row] + stop)
+            inner = batch.column(3).flatten()
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(3)).to_numpy())
+            gone = covered(int(base[-1]), *(base[row] + inner.field(k).to_numpy() for k in ("start", "stop")))
             edge = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
-            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            owner = np.searchsorted(base, first, "right") - 1
-            spans = pa.StructArray.from_arrays([pa.array((x - base[owner]).astype(np.int32)) for x in (first, last)], names=["start", "stop"])
-            bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-            found = pa.record_batch(
-                [batch.column(0), text, pa.array(sizes), pa.ListArray.from_arrays(bounds, spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "hits", "items"],
-            )
-            for k in range(0, n, 256):  # what goes back to Spark is small
-                yield found.slice(k, 256)
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            owner = np.searchsorted(base, begin, "right") - 1
+            spans = pa.StructArray.from_arrays([pa.array((x - base[owner]).astype(np.int32)) for x in (begin, end)], names=["start", "stop"])
+            hits = pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32), spans)
+            if cut:
+                text = pa.array(without_spans(text, hits), pa.string())
+            out = pa.record_batch([batch.column(0), text, batch.column(2), hits, batch.column(4)], names=["rest", "text", "n_words", "hits", "items"])
+            for k in range(0, len(out), 256):
+                yield out.slice(k, 256)
+
+    rows = joined.select("rest", "text", "n_words", F.coalesce("_spans", F.array().cast(SPANS)), F.coalesce("_items", F.array().cast(ITEMS)))
+    return map_batches(rows, merge, f"rest {kind}, text string, n_words long, hits {SPANS}, items {ITEMS}")
 
-    return run
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text, n_words, hits, items) for each row: merged spans of hit words, and the items (as text, sorted)."""
+    found = _searched(docs.select(F.col("doc_id").cast("long").alias("rest"), "text"), benchmark, width, False)
+    return found.withColumnRenamed("rest", "doc_id")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with each hit span cut from the text, from its first word's start to its last word's end."""
-    columns = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            out = batch.column(0).to_pylist()
-            hits = batch.column(1)
-            for lo, hi, data, offsets in text_blocks(batch.column(0)):
-                starts, ends, words = find_words(LOWER[data], offsets, NON_ALNUM)
-                raw = data.tobytes()
-                for k in range(lo, hi):
-                    spans = hits[k].as_py()
-                    if spans:
-                        at, kept = int(offsets[k - lo]), []
-                        for s in spans:
-                            kept.append(raw[at : starts[words[k - lo] + s["start"]]])
-                            at = int(ends[words[k - lo] + s["stop"] - 1])
-                        out[k] = b"".join((*kept, raw[at : offsets[k - lo + 1]])).decode()
-            for k in range(0, len(out), 256):  # what goes back to Spark is small
-                yield pa.record_batch([pa.array(out[k : k + 256], pa.string()), batch.column(2).slice(k, 256)], names=["text", "rest"])
-
-    rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("rest")
-    found = _with_rest(docs.select("text", rest), benchmark, width)
-    kind = found.schema["rest"].dataType.simpleString()
-    kept = found.select("text", "hits", "rest").mapInArrow(run, f"text string, rest {kind}")
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns])
-
-
-def _with_rest(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """As contamination(), with another column in the place of doc_id."""
-    spark, kind = docs.sparkSession, docs.schema["rest"].dataType.simpleString()
-    found = docs.select(
-        F.col("rest"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,stop:int>>").alias("hits"), F.array().cast("array<string>").alias("items")
-    )
-    for phrases in portions(benchmark, width) or [None]:
-        found = found.toDF("doc_id", *found.columns[1:]).mapInArrow(_shard(spark.sparkContext.broadcast(phrases)), FOUND_SCHEMA.replace("doc_id long", f"doc_id {kind}"))
-    return found.withColumnRenamed("doc_id", "rest")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    found = _searched(docs.select(rest, "text"), benchmark, width, True)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
