@@ -7,26 +7,27 @@ of a candidate pair give a joint maximum-likelihood estimate, and pairs that it
 whole sets.
 
 Copies (equal sets) are one class and have one vertex. In a bucket all classes are compared with the smallest first;
-the components that this leaves apart are compared with each other in blocks of bounded size, whatever the bucket's
-size, so that no link between different texts depends on which class a bucket happens to start with.
+the components that this leaves apart are compared with each other by registers, in blocks of bounded size, whatever the
+bucket's size, so that no link between different texts depends on which class a bucket happens to start with. Texts are
+fetched only for pairs that the registers leave.
 
 Null text has no words; a document without words links with nothing. A row without doc_id links with nothing and is
-kept. Rows that repeat a doc_id are the same document.
+kept. Rows that repeat a doc_id are one document: what links one of their texts links all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, LOWER, U64, find_words, mix, text_blocks, word_hashes
+from emberline.llm.blocks import BLANKS, LOWER, U64, find_words, map_batches, mix, ranges, text_blocks, word_hashes
 from emberline.operators.graph import components
-from emberline.session import free_shuffles, stored
+from emberline.session import discard, free_shuffles, stored
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ def sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
                     names=["doc_id", "n", "set_a", "set_b", "regs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_a long, set_b long, regs binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, set_a long, set_b long, regs binary")
 
 
 def band_keys(classes: DataFrame, sketch: Sketch) -> DataFrame:
@@ -138,7 +139,7 @@ def band_keys(classes: DataFrame, sketch: Sketch) -> DataFrame:
             band = np.tile(np.arange(sketch.bands, dtype=np.int32), len(batch))
             yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), pa.array(reps)], names=["key", "band", "rep"])
 
-    return classes.select("rep", "regs").mapInArrow(run, "key long, band int, rep long")
+    return map_batches(classes.select("rep", "regs"), run, "key long, band int, rep long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
@@ -156,7 +157,7 @@ def likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
     for end in ("a", "b"):
         side = classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("regs").alias(f"regs_{end}"))
         pairs = pairs.join(side, end)
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_batches(pairs, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
@@ -178,19 +179,18 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
 
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_batches(pairs, run, "a long, b long")
 
 
-#: Members of a bucket that are compared at once, with themselves or with as many others.
-BLOCK = 128
+#: Members of a bucket that are compared at once, with themselves or with as many others; pairs looked at in one step.
+BLOCK, PAIRS = 128, 1 << 16
 
 
-def linked_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
-    """Verified links (a, b) between different components that meet in a bucket: enough to join all that any pair there joins.
+def likely_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
+    """Pairs (a, b) between different components that meet in a bucket and that sizes and registers don't rule out.
 
-    A bucket's members go to blocks, and blocks meet in pairs; a task holds two blocks with their texts, so neither a
-    bucket nor its pairs are ever in one place or in a table. A pair is compared only in the first band that it shares,
-    only if sizes and registers allow the similarity, likeliest first, and only while its ends are still apart.
+    A bucket's members go to blocks, and blocks meet in pairs; a task holds two blocks' registers, so neither a
+    bucket nor its pairs are ever in one place. A pair is looked at only in the first band that it shares.
     """
     known = labels.select(F.col("id").alias("rep"), "component")
     placed = members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -199,55 +199,60 @@ def linked_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame,
     rows = (
         placed.join(stored(mixed, "mixed"), "key")
         .join(classes.select("rep", "n", "regs"), "rep")
-        .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "regs", "text")
+        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "regs")
     )
     percent = round(sketch.similarity * 100)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        mine, comp, n, rep = (group[c].to_numpy() for c in ("mine", "component", "n", "rep"))
-        i, j, band = group["i"].iloc[0], group["j"].iloc[0], group["band"].iloc[0]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        regs = np.frombuffer(b"".join(map(bytes, group["regs"])), np.uint16).reshape(len(group), sketch.m)
-        equal = regs[left][:, None, :] == regs[right][None, :, :]
-        first = equal.reshape(len(left), len(right), sketch.bands, sketch.rows).all(axis=3).argmax(axis=2)
-        n_a, n_b = n[left][:, None], n[right][None, :]
-        ok = (comp[left][:, None] != comp[right][None, :]) & (first == band) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-        ok &= equal.sum(axis=2) >= sketch.m * (sketch.doubtful - 0.1)
-        if i == j:
-            ok &= left[:, None] < right[None, :]
-        p, q = (side[k] for side, k in zip((left, right), np.nonzero(ok), strict=True))
-        above, below = (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1)
-        s = likely_similarity(n[p], n[q], above, below, sketch) if len(p) else np.zeros(0)
-        order = np.argsort(-s, kind="stable")
-        order = order[s[order] >= sketch.doubtful]
-        root: dict[int, int] = {}
-        sets: dict[int, np.ndarray] = {}
-        links = []
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        def set_of(k: int) -> np.ndarray:
-            if k not in sets:
-                _, _, data, offsets = next(text_blocks(pa.array([group["text"].iloc[k]])))
-                sets[k] = shingle_sets(data, offsets, sketch.shingle)[0]
-            return sets[k]
-
-        for x, y in zip(p[order].tolist(), q[order].tolist(), strict=True):
-            u, v = find(int(comp[x])), find(int(comp[y]))
-            if u != v:
-                both = len(np.intersect1d(set_of(x), set_of(y), assume_unique=True))
-                if 100 * both >= percent * (n[x] + n[y] - both):
-                    root[max(u, v)] = min(u, v)
-                    links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("key", "band", "i", "j").applyInPandas(compare, "a long, b long")
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """``rows``: whole meetings of two blocks, sorted; those of block i stand before those of block j."""
+        key, i, j, mine, band, rep, comp, n = (rows.column(c).to_numpy() for c in ("key", "i", "j", "mine", "band", "rep", "component", "n"))
+        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(rows), sketch.m)
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        head = np.flatnonzero(new)
+        meeting = np.cumsum(new) - 1
+        end = np.append(head[1:], len(rows))[meeting]
+        at = np.arange(len(rows))
+        lefts = head + np.add.reduceat((mine == i).astype(np.int64), head)
+        first = np.where(i == j, at + 1, lefts[meeting])
+        count = np.where(mine == i, end - first, 0)
+        total = np.cumsum(count)
+        start = 0
+        while start < len(rows):
+            stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")), start + 1)
+            p = np.repeat(at[start:stop], count[start:stop])
+            q = ranges(first[start:stop], count[start:stop])
+            start = stop
+            ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            p, q = p[ok], q[ok]
+            if not len(p):
+                continue
+            equal = regs[p] == regs[q]
+            ok = equal.reshape(len(p), sketch.bands, sketch.rows).all(axis=2).argmax(axis=1) == band[p]
+            ok &= equal.sum(axis=1) >= sketch.m * (sketch.doubtful - 0.1)
+            p, q = p[ok], q[ok]
+            if len(p):
+                s = likely_similarity(n[p], n[q], (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), sketch)
+                p, q = p[s >= sketch.doubtful], q[s >= sketch.doubtful]
+                yield pa.record_batch([pa.array(np.minimum(rep[p], rep[q])), pa.array(np.maximum(rep[p], rep[q]))], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            whole = int(cuts[-1]) if len(cuts) else 0
+            if whole:
+                yield from compare(rows.slice(0, whole).combine_chunks())
+            rest = rows.slice(whole)
+        if rest is not None and len(rest):
+            yield from compare(rest.combine_chunks())
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "mine")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
@@ -269,13 +274,18 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     texts = stored(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     free_shuffles(spark)
     links = stored(verified(star, texts, sketch), "links")
-    more = stored(linked_in_buckets(members, components(links), classes, texts, sketch), "links")
-    labels = components(links.unionByName(more))
+    likely_pairs = stored(likely_in_buckets(members, components(links), classes, sketch), "candidates")
+    more = stored(verified(likely_pairs, texts, sketch), "links")
+    discard(members, star, texts, likely_pairs)
+    rows = stored(each.select("doc_id", "n", "set_a", "set_b").join(classes.drop("regs"), ["n", "set_a", "set_b"], "left").select("doc_id", "n", "rep"), "rows")
+    discard(each, classes)
+    named = rows.filter("doc_id is not null and rep is not null")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
+    same = named.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    labels = components(links.unionByName(more).unionByName(same))
     free_shuffles(spark)
-    found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "n", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
-    )
-    return each.join(found, ["n", "set_a", "set_b"], "left").select(
+    found = labels.select(F.col("id").alias("rep"), F.col("component").alias("component_id"))
+    return rows.join(found, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep")).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

@@ -64,6 +64,14 @@ def test_odd_rows(spark):
     assert near_duplicates(frame.filter("doc_id = 9")).count() == 0
 
 
+def test_texts_of_one_id(spark):
+    """A doc_id with several texts is one document: what links one text links all."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " z"), (9, b + " z"), (11, "c d e f g h"), (3, b)]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (9, 3), (11, 11)}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(5)
     sketch = Sketch(bands=64)
