@@ -2,9 +2,10 @@
 
 Subwords are all runs of 3 and 4 bytes of the lower-cased text, each hashed to a bucket with an embedding. A document
 is the mean of its subwords' embeddings, and a linear softmax over it gives the languages' probabilities. Both layers are
-trained together by stochastic gradient descent in numpy, on about ``SAMPLE`` labelled documents (drawn by a hash of
-doc_id). A part of the sample is held back to calibrate: one temperature makes the probability given to the predicted
-language match how often it is right. Trained, the two layers fold into one table of a score for each bucket and
+trained together by stochastic gradient descent in numpy, on about ``SAMPLE`` labelled documents: as many of each language
+(``LEAST`` at least, or all it has), drawn by a hash of doc_id and text, so that a rare language is learned as well. A part of the
+sample is held back to calibrate: one temperature makes the probability given to the predicted language match how often it
+is right, each language counting by its share of all documents. Trained, the two layers fold into one table of a score for each bucket and
 language, so that scoring adds up table rows over the whole text where the text lies.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there was nothing to learn from.
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import LOWER, ROLLING, U64, mix, text_blocks
+from emberline.llm.blocks import LOWER, ROLLING, U64, map_batches, mix, text_blocks
 
 UNKNOWN = "und"
-#: Labelled documents that are learned from, in expectation; a quarter of them calibrates.
-SAMPLE = 2400
+#: Labelled documents that are learned from, in expectation; a quarter of them calibrates. And the least of a language.
+SAMPLE, LEAST = 2400, 60
 BUCKET_BITS, SIZE, EPOCHS, RATE, SEED = 15, 16, 6, 0.5, 5
 GRAMS = (3, 4)
 #: A calibrated probability under this rejects a document: it is likelier wrong than right.
@@ -85,33 +86,44 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """(lang, buckets, counts) of each row."""
+    """(lang, drawn, buckets, counts) of each row of (lang, drawn, text)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 parts = [(buckets, *row_ends(offsets, gram)) for buckets, gram in subwords(data, offsets)]
                 ids, counts = [], []
                 for k in range(hi - lo):
                     i, n = np.unique(np.concatenate([x[a[k] : b[k]] for x, a, b in parts]), return_counts=True)
                     ids.append(i.astype(np.int32))
                     counts.append(n.astype(np.int32))
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "buckets", "counts"]
-                )
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, counts)]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], names=["lang", "drawn", "buckets", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, buckets array<int>, counts array<int>")
+    return map_batches(docs.select("lang", "drawn", "text"), run, "lang string, drawn long, buckets array<int>, counts array<int>")
+
+
+def drawn_by_language(docs: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, drawn, text) of about ``sample`` labelled documents, and how many each language has. The languages are gathered on
+    the driver, as the model holds a row for each; a text that repeats under one doc_id and language is drawn once."""
+    known = docs.filter("lang is not null and text is not null").withColumn("drawn", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(LEAST, -(-sample // max(len(sizes), 1)))
+    share = F.lit(0.0)
+    if sizes:
+        one_in = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, n / each))])
+        share = 1.0 / F.element_at(one_in, F.col("lang"))
+    within = F.pmod("drawn", F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+    return known.filter(within).select("lang", "drawn", "text").dropDuplicates(["lang", "drawn"]), sizes
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """From (doc_id, text, lang); rows without lang or text teach nothing."""
-    known = docs.filter("lang is not null and text is not null")
-    n = known.count()
-    if not n:
+    drawn, sizes = drawn_by_language(docs, sample)
+    if not sizes:
         return None
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n)) < sample)
-    rows = bags(drawn).toArrow().combine_chunks()
-    order = np.random.default_rng(SEED).permutation(len(rows))[: 2 * sample]
+    rows = bags(drawn).toArrow().sort_by([("drawn", "ascending"), ("lang", "ascending")]).combine_chunks().select(["lang", "buckets", "counts"])
+    order = np.random.default_rng(SEED).permutation(len(rows))
     languages = sorted(set(rows.column(0).to_pylist()))
     if not languages:
         return None
@@ -119,6 +131,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ids, counts = ([np.asarray(x.values) for x in rows.column(k).chunk(0)] for k in (1, 2))
     order = [k for k in order.tolist() if len(ids[k])]
     held, learn = order[: len(order) // 4], order[len(order) // 4 :]
+    # a language must not be held back whole
+    missed = set(label[held].tolist()) - set(label[learn].tolist())
+    learn, held = learn + [k for k in held if label[k] in missed], [k for k in held if label[k] not in missed]
     rng = np.random.default_rng(SEED)
     embed = rng.normal(0, 1 / SIZE, (1 << BUCKET_BITS, SIZE))
     weight, bias = np.zeros((SIZE, len(languages))), np.zeros(len(languages))
@@ -141,7 +156,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     heat = 1.0
     if held:
         choices = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(held)), label[held]] + 1e-12).mean() for t in choices]
+        weights = (np.array([sizes[x] for x in languages]) / np.bincount(label[held], minlength=len(languages)).clip(1))[label[held]]
+        loss = [-(weights * np.log(softmax(logits / t)[np.arange(len(held)), label[held]] + 1e-12)).sum() for t in choices]
         heat = choices[int(np.argmin(loss))]
     return Model(languages, np.ascontiguousarray((table / heat).T.astype(np.float32)), bias / heat)
 
@@ -156,7 +172,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added."""
+    """``docs`` with lang_pred and score added; columns of these names are replaced."""
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rest = F.struct(*[F.col(c) for c in columns if c != text])
     packed = docs.select(F.col(text).alias("text"), rest.alias("rest"))
@@ -177,11 +193,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["text", "rest", "lang_pred", "score"])
 
     kind = packed.schema["rest"].dataType.simpleString()
-    found = packed.mapInArrow(run, f"text string, rest {kind}, lang_pred string, score double")
+    found = map_batches(packed, run, f"text string, rest {kind}, lang_pred string, score double")
     return found.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in columns], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Learns from the rows of ``docs`` that aren't held out and predicts all: ``docs`` with held_out, lang_pred, score."""
+    """Learns from the rows of ``docs`` that aren't held out and predicts all: ``docs`` with held_out, lang_pred, score (columns
+    of these names are replaced)."""
     model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"), sample)
     return predict(docs.withColumn("held_out", held_out()), model)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from emberline.llm import langid, rule_quality
@@ -33,6 +34,66 @@ def test_language(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_rare_language(spark):
+    """A dozen documents among thousands are learned, whatever the draw of the others; null ids don't come all or none."""
+    rows = [(None if i % 3 == 0 else i, *r[1:3]) for i, r in enumerate(language_docs(4000, 4))]
+    rows += [(90000 + i, f"zork blib {i} quaz vemt zork" + " blib quaz" * i, "zz") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, sample=300).filter("lang = 'zz'").collect()
+    assert np.mean([r.lang_pred == "zz" for r in got]) > 0.9
+    drawn, sizes = langid.drawn_by_language(docs.filter("lang = 'aa'"), 300)
+    assert sizes["aa"] > 1000 and 200 < drawn.count() < 400
+
+
+def test_folded_table_is_the_mean_of_embeddings():
+    """The table of bucket scores gives what averaging embeddings and a linear softmax give."""
+    rng = np.random.default_rng(8)
+    embed, weight, bias = rng.normal(size=(1 << langid.BUCKET_BITS, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    model = langid.Model(["a", "b", "c"], np.ascontiguousarray((embed @ weight).T.astype(np.float32)), bias)
+    texts = [b"Some text with words", "Ünd nöch einer".encode(), b"abc", b"a", b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    got = model.probabilities(data, offsets)
+    for k, text in enumerate(texts):
+        ids = np.concatenate([b for b, _ in langid.subwords(np.frombuffer(text, np.uint8), np.array([0, len(text)]))])
+        want = langid.softmax((embed[ids].mean(axis=0) if len(ids) else np.zeros(4)) @ weight + bias)
+        assert np.allclose(got[k], want, atol=1e-4)
+
+
+def plain_statistics(text):
+    """Plain Python for those statistics whose words say it all."""
+    words, lines, n = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x], max(len(text.encode()), 1)
+    w = max(len(words), 1)
+    return {
+        "bytes": len(text.encode()),
+        "words": len(words),
+        "lines": len(lines),
+        "word_bytes": sum(len(x.encode()) for x in words) / w,
+        "words_a_line": len(words) / max(len(lines), 1),
+        "upper": len(re.findall("[A-Z]", text)) / n,
+        "digit": len(re.findall("[0-9]", text)) / n,
+        "distinct_words": len(set(words)) / w,
+        "again_words": sum(a == b for a, b in zip(words, words[1:])) / w,
+        "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1),
+        "comma_end": sum(x.endswith(",") for x in words) / w,
+        "long_words": sum(len(x.encode()) > 14 for x in words) / w,
+        "short_words": sum(len(x.encode()) < 3 for x in words) / w,
+    }
+
+
+def test_statistics_and_compiled_rules(spark):
+    rng = random.Random(6)
+    pieces = ["The", "quick", "FOX,", "é", "a", "a", "12", "\n", "!!", "x" * 20, "--"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 50))) for _ in range(60)] + [""]
+    stats = rule_quality.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rules = rule_quality.Rules(0.3, [(((0, True, 40.0), (5, False, 0.1)), 1.25), (((1, False, 20.0),), -0.75), (((13, True, 0.0),), 0.5)])
+    for r in stats.select("*", rules.score().alias("score")).collect():
+        for name, value in plain_statistics(texts[r.doc_id]).items():
+            assert abs(r[name] - value) < 1e-9, name
+        x = [r[name] for name in rule_quality.STATISTICS]
+        total = rules.bias + sum(w for rule, w in rules.rules if all((x[f] > t) == above for f, above, t in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def quality_docs(n, seed):
     rng = random.Random(seed)
     rows, labels = [], []
