@@ -9,7 +9,7 @@ whole sets.
 Copies (equal sets) are one class and have one vertex. In a bucket all classes are compared with the smallest first;
 the components that this leaves apart are compared with each other by registers, in blocks of bounded size, whatever the
 bucket's size, so that no link between different texts depends on which class a bucket happens to start with. Texts are
-fetched only for pairs that the registers leave.
+fetched only for members with a likely partner.
 
 Null text has no words; a document without words links with nothing. A row without doc_id links with nothing and is
 kept. Rows that repeat a doc_id are one document: what links one of their texts links all of them.
@@ -17,7 +17,7 @@ kept. Rows that repeat a doc_id are one document: what links one of their texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,77 +182,139 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
     return map_batches(pairs, run, "a long, b long")
 
 
-#: Members of a bucket that are compared at once, with themselves or with as many others; pairs looked at in one step.
-BLOCK, PAIRS = 128, 1 << 16
+#: Members and shingles of a block; pairs of a meeting that are looked at in one step.
+BLOCK, SHINGLES, PAIRS = 128, 1 << 20, 1 << 16
+MEETING = ("key", "i", "j")
 
 
-def likely_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, sketch: Sketch) -> DataFrame:
-    """Pairs (a, b) between different components that meet in a bucket and that sizes and registers don't rule out.
+def meetings(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, band, i, j, mine, rep, component, n, regs): who meets in the buckets that still hold several components.
 
-    A bucket's members go to blocks, and blocks meet in pairs; a task holds two blocks' registers, so neither a
-    bucket nor its pairs are ever in one place. A pair is looked at only in the first band that it shares.
+    The members of the head's component never meet each other; they go to blocks of their own, and the others to others. Each
+    block of the others meets all blocks, so a member is copied by how many the others are, not by the bucket's size.
     """
     known = labels.select(F.col("id").alias("rep"), "component")
     placed = members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = mixed.filter("x <> y").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = (
-        placed.join(stored(mixed, "mixed"), "key")
-        .join(classes.select("rep", "n", "regs"), "rep")
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = stored(placed.join(classes.select("rep", "n", "regs"), "rep"), "placed")
+    heads = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("rep") == F.col("head"), F.col("component"))).alias("core"))
+    heads = stored(heads.filter("x <> y").select("key", "core"), "heads")
+    rows = placed.join(heads, "key").withColumn("core", F.col("component") == F.col("core"))
+    blocks = lambda core: F.greatest(
+        F.ceil(F.count_if(F.col("core") == core) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(F.col("core") == core, F.col("n"))), F.lit(0)) / SHINGLES)
+    ).cast("int")
+    mixed = stored(rows.groupBy("key").agg(blocks(True).alias("inner"), blocks(False).alias("outer")), "mixed")
+    drawn = F.xxhash64("rep")
+    mine = F.when(F.col("core"), F.col("outer") + F.pmod(drawn, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(drawn, F.greatest("outer", F.lit(1)))).cast("int")
+    last = F.col("outer") + F.when(F.col("core"), 0).otherwise(F.col("inner")) - 1
+    return (
+        rows.join(mixed.filter("outer > 0"), "key")
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "n", "regs")
     )
-    percent = round(sketch.similarity * 100)
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """``rows``: whole meetings of two blocks, sorted; those of block i stand before those of block j."""
-        key, i, j, mine, band, rep, comp, n = (rows.column(c).to_numpy() for c in ("key", "i", "j", "mine", "band", "rep", "component", "n"))
-        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(rows), sketch.m)
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        head = np.flatnonzero(new)
-        meeting = np.cumsum(new) - 1
-        end = np.append(head[1:], len(rows))[meeting]
-        at = np.arange(len(rows))
-        lefts = head + np.add.reduceat((mine == i).astype(np.int64), head)
-        first = np.where(i == j, at + 1, lefts[meeting])
-        count = np.where(mine == i, end - first, 0)
-        total = np.cumsum(count)
-        start = 0
-        while start < len(rows):
-            stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")), start + 1)
-            p = np.repeat(at[start:stop], count[start:stop])
-            q = ranges(first[start:stop], count[start:stop])
-            start = stop
-            ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
-            p, q = p[ok], q[ok]
-            if not len(p):
-                continue
+
+def likely_pairs(rows: pa.Table, sketch: Sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs in whole meetings (sorted, those of block i before those of block j) that lie in different components, share
+    no earlier band, and that sizes and registers don't rule out; the likeliest of each step first."""
+    key, i, j, mine, band, comp, n = (rows.column(c).to_numpy() for c in (*MEETING, "mine", "band", "component", "n"))
+    percent = round(sketch.similarity * 100)
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(rows), sketch.m)
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    head, meeting = np.flatnonzero(new), np.cumsum(new) - 1
+    end = np.append(head[1:], len(rows))[meeting]
+    at = np.arange(len(rows))
+    lefts = head + np.add.reduceat((mine == i).astype(np.int64), head)
+    first = np.where(i == j, at + 1, lefts[meeting])
+    count = np.where(mine == i, end - first, 0)
+    total, start = np.cumsum(count), 0
+    while start < len(rows):
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")), start + 1)
+        p, q = np.repeat(at[start:stop], count[start:stop]), ranges(first[start:stop], count[start:stop])
+        start = stop
+        ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+        p, q = p[ok], q[ok]
+        if len(p):
             equal = regs[p] == regs[q]
             ok = equal.reshape(len(p), sketch.bands, sketch.rows).all(axis=2).argmax(axis=1) == band[p]
             ok &= equal.sum(axis=1) >= sketch.m * (sketch.doubtful - 0.1)
             p, q = p[ok], q[ok]
-            if len(p):
-                s = likely_similarity(n[p], n[q], (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), sketch)
-                p, q = p[s >= sketch.doubtful], q[s >= sketch.doubtful]
-                yield pa.record_batch([pa.array(np.minimum(rep[p], rep[q])), pa.array(np.maximum(rep[p], rep[q]))], names=["a", "b"])
+        if len(p):
+            s = likely_similarity(n[p], n[q], (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1), sketch)
+            order = np.argsort(-s, kind="stable")
+            order = order[s[order] >= sketch.doubtful]
+            yield p[order], q[order]
 
-    def run(batches):
+
+def in_meetings(rows: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over tables of whole meetings, each dealt to one task."""
+
+    def batched(batches):
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            key, i, j = (rows.column(c).to_numpy() for c in MEETING)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             whole = int(cuts[-1]) if len(cuts) else 0
             if whole:
-                yield from compare(rows.slice(0, whole).combine_chunks())
+                yield from run(rows.slice(0, whole))
             rest = rows.slice(whole)
         if rest is not None and len(rest):
-            yield from compare(rest.combine_chunks())
+            yield from run(rest)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(rows.repartition(n, *MEETING).sortWithinPartitions(*MEETING, "mine"), batched, schema)
+
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "mine")
-    return map_batches(dealt, run, "a long, b long")
+def linked_in_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
+    """Verified links (a, b) between different components that meet in a bucket: enough to join all that any pair there joins.
+
+    Blocks first meet with registers only; texts go to those members of a meeting that have a likely partner in it. There
+    pairs are verified on whole sets, likeliest first, and only while their ends are still apart; a pair never leaves its task
+    unless it is a link.
+    """
+    percent = round(sketch.similarity * 100)
+    meet = stored(meetings(members, labels, classes), "meetings")
+    columns = meet.columns
+    kinds = ", ".join(f"{c} {meet.schema[c].dataType.simpleString()}" for c in columns)
+
+    def hopeful(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(len(rows), bool)
+        for p, q in likely_pairs(rows, sketch):
+            some[p] = some[q] = True
+        yield from rows.filter(pa.array(some)).select(columns).to_batches()
+
+    def linked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        comp, rep, text, n = (*(rows.column(c).to_numpy() for c in ("component", "rep")), rows.column("text"), rows.column("n").to_numpy())
+        root: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        links = []
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                _, _, data, offsets = next(text_blocks(pa.array([text[k].as_py()])))
+                sets[k] = shingle_sets(data, offsets, sketch.shingle)[0]
+            return sets[k]
+
+        for ps, qs in likely_pairs(rows, sketch):
+            for p, q in zip(ps.tolist(), qs.tolist(), strict=True):
+                u, v = find(int(comp[p])), find(int(comp[q]))
+                if u != v:
+                    both = len(np.intersect1d(set_of(p), set_of(q), assume_unique=True))
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                        root[max(u, v)] = min(u, v)
+                        links.append(sorted((rep[p], rep[q])))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    hope = stored(in_meetings(meet, hopeful, kinds), "hopeful")
+    discard(meet)
+    return in_meetings(hope.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
@@ -274,9 +336,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     texts = stored(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     free_shuffles(spark)
     links = stored(verified(star, texts, sketch), "links")
-    likely_pairs = stored(likely_in_buckets(members, components(links), classes, sketch), "candidates")
-    more = stored(verified(likely_pairs, texts, sketch), "links")
-    discard(members, star, texts, likely_pairs)
+    more = stored(linked_in_buckets(members, components(links), classes, texts, sketch), "links")
+    discard(members, star, texts)
     rows = stored(each.select("doc_id", "n", "set_a", "set_b").join(classes.drop("regs"), ["n", "set_a", "set_b"], "left").select("doc_id", "n", "rep"), "rows")
     discard(each, classes)
     named = rows.filter("doc_id is not null and rep is not null")
