@@ -1,6 +1,6 @@
 """The query surface, by subject."""
 
-from emberline.plans import analytics, events, hotspots, records
+from emberline.plans import analytics, events, explain, hotspots, records, workflow
 from emberline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "events", "hotspots", "records"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "events", "explain", "hotspots", "records", "workflow"]
