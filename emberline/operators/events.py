@@ -141,9 +141,9 @@ def near_pairs(events: DataFrame, km: float = 1.0, hours: float = 24.0, most: in
     return pairs.orderBy("a", "b").limit(most).select("a", "b", "distance_km", "gap_hours")
 
 
-def leakage_groups(events: DataFrame, km: float = 2.0) -> DataFrame:
-    """(component, group): events that must stay on one side of a split, since their circles, widened by half of ``km``, overlap
-    or they share a facility. ``events``: component, lat, lon, extent, facility_id. A group is named by its smallest event."""
+def leakage_edges(events: DataFrame, km: float = 2.0) -> DataFrame:
+    """(a, b): events whose circles, widened by half of ``km``, overlap, and the first of each facility with the others of it.
+    ``events``: component, lat, lon, extent, facility_id."""
     widest = events.agg(F.max("extent")).first()[0] or 0.0
     left = events.select(F.col("component").alias("a"), "lat", "lon", "extent")
     right = events.select(F.col("component").alias("b"), F.col("lat").alias("lat_r"), F.col("lon").alias("lon_r"), F.col("extent").alias("extent_r"))
@@ -152,6 +152,11 @@ def leakage_groups(events: DataFrame, km: float = 2.0) -> DataFrame:
     shared = events.filter("facility_id is not null")
     head = shared.groupBy("facility_id").agg(F.min("component").alias("a"))
     same = shared.join(head, "facility_id").filter("a <> component").select("a", F.col("component").alias("b"))
-    found = components(near.unionByName(same))
+    return near.unionByName(same).distinct()
+
+
+def leakage_groups(events: DataFrame, km: float = 2.0) -> DataFrame:
+    """(component, group): events that must stay on one side of a split. A group is named by its smallest event."""
+    found = components(leakage_edges(events, km))
     named = found.select(F.col("id").alias("component"), F.col("component").alias("group"))
     return events.select("component").join(named, "component", "left").select("component", F.coalesce("group", "component").alias("group"))

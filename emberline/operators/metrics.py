@@ -31,3 +31,27 @@ def roc(rows: DataFrame) -> DataFrame:
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rate = lambda c: F.round(F.sum(c).over(down) / F.sum(c).over(whole), 6)
     return counts.select(F.round("probability", 6).alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+
+
+def probability_scores(rows: DataFrame, classes: int) -> DataFrame:
+    """(log_loss, brier, n) from (label, predicted, probability); what a prediction leaves is shared by the other classes."""
+    right = F.col("label") == F.col("predicted")
+    given = F.when(right, F.col("probability")).otherwise((1 - F.col("probability")) / (classes - 1))
+    return rows.agg(
+        F.round(F.avg(-F.log(F.greatest(F.lit(1e-12), given))), 6).alias("log_loss"),
+        F.round(F.avg(F.pow(F.col("probability") - right.cast("int"), F.lit(2.0))), 6).alias("brier"),
+        F.count("*").alias("n"),
+    )
+
+
+def average_precision(rows: DataFrame) -> DataFrame:
+    """(average_precision, roc_auc) from (probability, positive); equal probabilities are one step of either curve."""
+    counts = rows.groupBy("probability").agg(F.count_if("positive").alias("pos"), F.count("*").alias("n"))
+    down = Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumns({"tp": F.sum("pos").over(down), "said": F.sum("n").over(down)})
+    totals = counts.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    both = steps.crossJoin(F.broadcast(totals))  # one row
+    return both.agg(
+        F.round(F.sum((F.col("pos") / F.col("p")) * (F.col("tp") / F.col("said"))), 6).alias("average_precision"),
+        F.round(F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)) / F.max(F.col("p") * (F.col("all") - F.col("p"))), 6).alias("roc_auc"),
+    )
