@@ -9,9 +9,8 @@ from emberline.functions import scoring
 from emberline.operators import events as ops
 from emberline.operators.radius import radius_join
 from emberline.plans.model import BOX_SQL, DET_SQL, FAC_SQL, HOT_SQL, on_scored, sql_km
-from emberline.plans.registry import query, scored
+from emberline.plans.registry import query, remembered, scored
 from emberline.sources import fixtures
-from emberline.session import scratch_path
 
 DAY = fixtures.DAY_US
 _EDGE = f"""edge AS (SELECT a.det_id AS a, b.det_id AS b, {sql_km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM det a JOIN det b
@@ -39,23 +38,11 @@ def on_events(select: str, more: str = "") -> str:
     return f"WITH RECURSIVE {DET_SQL}, {_EV}{', ' + more if more else ''}\n{select}"
 
 
-_MADE: dict[tuple[str, str], tuple[str, str]] = {}
-
-
 def event_tables(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """(members, events) as stored tables, made once a session and input."""
-    key = (spark.sparkContext.applicationId, d)
-    if key in _MADE:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_MADE[key][0])
-        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-            del _MADE[key]
-    if key not in _MADE:
-        det = fixtures.detections(spark, d)
-        paths = scratch_path(spark, "event-members"), scratch_path(spark, "event-table")
-        ops.members(det).write.parquet(paths[0])
-        ops.describe(det, spark.read.parquet(paths[0])).write.parquet(paths[1])
-        _MADE[key] = paths
-    return tuple(spark.read.parquet(p) for p in _MADE[key])
+    det = fixtures.detections(spark, d)
+    member = remembered(spark, d, "event-members", lambda: ops.members(det))
+    return member, remembered(spark, d, "event-table", lambda: ops.describe(det, member))
 
 
 def r6(*names):
