@@ -298,3 +298,34 @@ def snk_07(spark, d):
     item = lambda name, frame: frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
     parts = [item("hotspots", rows.filter(since)), item("critical", rows.filter(F.col("risk_level").isin("CRITICAL", "HIGH"))), item("new alerts", alerts.filter("status = 'NEW'")), item("detections", det.filter(since))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+_TAGGED = """el AS (SELECT s_suppkey AS k, ['refinery', 'factory', 'power_plant', 'mine', 'industrial_area', NULL][(s_suppkey % 6 + 1)::INT] AS category, s_suppkey % 5 AS form FROM supplier)"""
+
+
+def overpass_elements(spark, d) -> DataFrame:
+    """Elements as an Overpass export holds them, from supplier: places, closed and open ways, centres, and some with nothing."""
+    k = F.col("s_suppkey")
+    tags = [F.create_map(F.lit(a), F.lit(b)) for a, b in (("industrial", "refinery"), ("industrial", "factory"), ("power", "plant"), ("man_made", "mine"), ("landuse", "industrial"), ("landuse", "forest"))]
+    form, lat, lon = k % 5, (F.lit(8.0) + k % 20), (F.lit(70.0) + k % 20)
+    at = lambda dy, dx: F.struct((lat + dy).alias("lat"), (lon + dx).alias("lon"))
+    line = F.array(at(0, 0), at(0, 1), at(1, 1), at(0, 0))
+    return table(spark, d, "supplier").select(
+        F.when(form.isin(1, 2, 3), "way").when(form == 4, "relation").otherwise("node").alias("type"),
+        k.alias("id"),
+        F.when(form == 0, lat).alias("lat"),
+        F.when(form == 0, lon).alias("lon"),
+        F.when(form.isin(2, 3), at(0.5, 0.5)).alias("center"),
+        F.when(form == 1, line).when(form == 2, F.slice(line, 1, 3)).alias("geometry"),
+        F.element_at(F.array(*tags), (k % 6 + 1).cast("int")).alias("tags"),
+    )
+
+
+@query("src_08_overpass", f"""WITH {_TAGGED} SELECT CASE form WHEN 0 THEN 'node' WHEN 4 THEN 'relation' ELSE 'way' END || '/' || k::VARCHAR AS feature_id, CASE WHEN category IS NULL THEN 'UNKNOWN_FACILITY_TYPE' WHEN form = 2 THEN 'OPEN_WAY_REQUIRES_EXPLICIT_GEOMETRY'
+WHEN form = 4 THEN 'MISSING_OR_UNASSEMBLED_GEOMETRY' ELSE category END AS outcome, CASE WHEN category IS NULL OR form IN (2, 4) THEN NULL WHEN form = 1 THEN 'Polygon' ELSE 'Point' END AS "shape", CASE WHEN category IS NOT NULL AND form NOT IN (2, 4) THEN form = 3 END AS center_only FROM el""")
+def src_08(spark, d):
+    from emberline.sources.reference import overpass_rows
+
+    good, bad = overpass_rows(overpass_elements(spark, d))
+    taken = good.select("feature_id", F.col("category").alias("outcome"), "shape", "center_only")
+    return taken.unionByName(bad.select("feature_id", F.col("reason").alias("outcome")), allowMissingColumns=True)

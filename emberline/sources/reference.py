@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tag rules in order, the first that holds gives the category.
+from emberline.functions.geo import valid_coordinates
+from emberline.operators.spatial import interior_point
+
+# Tag rules in order, the first that holds gives the category; what each role of a layer may hold; categories that need
+# polygons or lines; reasons of rejection.
 TAG_RULES = (
-    ("industrial", ("refinery",), "refinery"),
-    ("power", ("plant",), "power_plant"),
-    ("landuse", ("quarry",), "mine"),
-    ("industrial", ("mine",), "mine"),
-    ("man_made", ("works",), "factory"),
-    ("landuse", ("industrial",), "industrial_area"),
-    ("landuse", ("forest",), "forest"),
-    ("natural", ("wood",), "forest"),
-    ("landuse", ("farmland",), "agriculture"),
-    ("place", ("city", "town", "village"), "settlement"),
+    ("industrial", "refinery", "refinery"),
+    ("industrial", "factory", "factory"),
+    ("power", "plant", "power_plant"),
+    ("man_made", "mine", "mine"),
+    ("landuse", "industrial", "industrial_area"),
 )
+INDUSTRIAL = ("refinery", "factory", "power_plant", "mine", "industrial_area", "oil_gas")
+ROLES = {
+    "industrial": (*INDUSTRIAL, "industrial", "settlement"),
+    "landcover": ("forest", "agriculture", "urban", "industrial", "water"),
+    "administrative": ("administrative",),
+    "transport": ("road", "railway", "pipeline"),
+    "water": ("water",),
+}
+AREAS, LINES = ("forest", "agriculture", "urban", "industrial", "water", "administrative"), ("road", "railway", "pipeline")
+UNKNOWN_TYPE, OPEN_WAY, NO_GEOMETRY = "UNKNOWN_FACILITY_TYPE", "OPEN_WAY_REQUIRES_EXPLICIT_GEOMETRY", "MISSING_OR_UNASSEMBLED_GEOMETRY"
+NO_ID, DUPLICATE_ID, WRONG_CATEGORY, OUT_OF_SCOPE = "MISSING_STABLE_FEATURE_ID", "DUPLICATE_FEATURE_ID", "UNKNOWN_OR_WRONG_ROLE_CATEGORY", "EXPLICIT_OUT_OF_SCOPE_MAPPING"
 MERCATOR_M = 20037508.342789244
 
 GEOJSON = "features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
@@ -45,17 +57,100 @@ def geojson_points(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> Da
     return points.filter("category is not null and lat between -90 and 90 and lon between -180 and 180")
 
 
-def overpass_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) elements: closed ways are polygons, centres are points, and elements no rule names are rejected."""
-    rows = spark.read.schema(OVERPASS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*")
-    category = F.coalesce(*[F.when(F.col("tags")[key].isin(*values), F.lit(name)) for key, values, name in TAG_RULES])
-    size, line = F.size("geometry"), F.col("geometry")
-    closed = (size >= 4) & (F.get(line, F.lit(0)) == F.element_at(line, -1))
-    lat, lon = F.coalesce("lat", "center.lat"), F.coalesce("lon", "center.lon")
-    shape = F.when(F.coalesce(closed, F.lit(False)), "Polygon").when(lat.isNotNull() & lon.isNotNull(), "Point")
-    reason = F.when(category.isNull(), "unknown_tags").when(shape.isNull(), "no_geometry")
-    rows = rows.select(
-        F.concat_ws("/", "type", F.col("id").cast("string")).alias("feature_id"), category.alias("category"), F.col("tags")["name"].alias("name"), shape.alias("shape"),
-        lat.alias("lat"), lon.alias("lon"), (F.col("lat").isNull() & F.col("center").isNotNull()).alias("center_only"), F.when(shape == "Polygon", line).alias("ring"), reason.alias("reason"),
-    )
+def overpass_rows(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of elements (type, id, lat, lon, center, geometry, tags).
+
+    A closed way is a polygon; an open one is rejected, whatever centre it has. Else a place or, without geometry, a centre is a
+    point. An element that no rule names is rejected first.
+    """
+    category = F.coalesce(*[F.when(F.col("tags")[key] == value, F.lit(name)) for key, value, name in TAG_RULES])
+    line = F.col("geometry")
+    drawn = F.coalesce(F.size(line) > 0, F.lit(False))
+    way = drawn & (F.col("type") == "way")
+    closed = way & (F.size(line) >= 4) & (F.get(line, F.lit(0)) == F.element_at(line, -1))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    centred = F.col("center").isNotNull() & ~drawn
+    reason = F.when(category.isNull(), UNKNOWN_TYPE).when(way & ~closed, OPEN_WAY).when(~way & ~placed & ~centred, NO_GEOMETRY)
+    rows = elements.select(
+        F.concat_ws("/", "type", F.col("id").cast("string")).alias("feature_id"),
+        category.alias("category"),
+        F.col("tags")["name"].alias("name"),
+        F.when(closed, "Polygon").otherwise("Point").alias("shape"),
+        F.when(~way, F.when(placed, F.col("lat")).otherwise(F.col("center.lat"))).alias("lat"),
+        F.when(~way, F.when(placed, F.col("lon")).otherwise(F.col("center.lon"))).alias("lon"),
+        (~way & ~placed & centred).alias("center_only"),
+        F.when(closed, line).alias("ring"),
+        reason.alias("reason"),
+    )
     return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("feature_id", "reason")
+
+
+def overpass_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) elements of an Overpass export."""
+    return overpass_rows(spark.read.schema(OVERPASS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*"))
+
+
+def geojson_features(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
+    """(place, feature_id, category, name, shape, lon, lat, rings, properties) of a collection, in its order.
+
+    A point has lon and lat, a polygon its rings (the outer one, then holes), each polygon of a MultiPolygon a row. A facility's
+    polygon also has a point inside it as lon and lat. Lines have neither.
+    """
+    rows = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.posexplode("features").alias("place", "f"))
+    p, kind, text = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
+    xy = F.when(kind == "Point", F.from_json(text, "array<double>"))
+
+    def corner(q: Column) -> Column:
+        lon, lat = to_degrees(F.get(q, F.lit(0)), F.get(q, F.lit(1)), crs)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    rings = F.transform("polygon", lambda ring: F.transform(ring, corner))
+    category = F.coalesce(p["category"], p["infra_type"], p["facility_type"])
+    each = rows.select("place", F.coalesce(F.col("f.id"), p["facility_id"], p["id"]).alias("feature_id"), category.alias("category"), p["name"].alias("name"), kind.alias("shape"), corner(xy).alias("at"), p.alias("properties"), F.explode_outer(polygons).alias("polygon"))
+    each = each.withColumn("rings", rings).withColumn("inside", F.when(F.col("rings").isNotNull() & F.col("category").isin(*INDUSTRIAL), interior_point("rings")))
+    lon, lat = (F.coalesce(F.col(f"at.{c}"), F.col(f"inside.{c}")) for c in ("lon", "lat"))
+    return each.select("place", "feature_id", "category", "name", "shape", lon.alias("lon"), lat.alias("lat"), "rings", "properties")
+
+
+def geometry_problem() -> Column:
+    """Why a feature of geojson_features can't be used; null if it can."""
+    corners = F.flatten("rings")
+    outside = lambda lat, lon: ~valid_coordinates(lat, lon)
+    area = F.col("shape").isin("Polygon", "MultiPolygon")
+    broken = area & (F.col("rings").isNull() | F.exists("rings", lambda r: (F.size(r) < 4) | (F.get(r, F.lit(0)) != F.element_at(r, -1))))
+    return (
+        F.when(F.col("category").isNull(), WRONG_CATEGORY)
+        .when(F.col("category").isin(*AREAS) & ~area, "POLYGON_REQUIRED")
+        .when(F.col("category").isin(*LINES) & ~F.col("shape").isin("LineString", "MultiLineString"), "LINE_REQUIRED")
+        .when(broken, "INVALID_GEOMETRY")
+        .when((F.col("shape") == "Point") & outside("lat", "lon"), "OUT_OF_BOUNDS")
+        .when(area & F.exists(corners, lambda p: outside(p["lat"], p["lon"])), "OUT_OF_BOUNDS")
+    )
+
+
+def reference_bundle(spark: SparkSession, layers: list[dict], read=geojson_features) -> tuple[DataFrame, DataFrame]:
+    """(features, audit) of layers, each a dict with name, role, path, source, version, crs and perhaps category_property, category_map.
+
+    A category is mapped first; one that is mapped to None is left out on purpose. Ids must be there, and unique in and across
+    the layers (the first in order stands). ``audit``: (layer, feature_id, place, reason) of all that isn't taken.
+    """
+    seen, parts = set(), []
+    for k, layer in enumerate(layers):
+        missing = [c for c in ("name", "role", "path", "source", "version", "crs") if not str(layer.get(c) or "").strip()]
+        if missing or layer["name"] in seen or layer["role"] not in ROLES:
+            raise ValueError(f"layer {layer.get('name')}: needs a name of its own, a known role, and {', '.join(missing) or 'nothing else'}")
+        seen.add(layer["name"])
+        named = F.coalesce(F.col("properties")[layer.get("category_property", "category")], F.col("category"))
+        category, gone = named, F.lit(False)
+        for old, new in (layer.get("category_map") or {}).items():
+            category, gone = F.when(named == old, F.lit(new)).otherwise(category), gone | (named == old if new is None else F.lit(False))
+        rows = read(spark, layer["path"], layer["crs"]).withColumn("category", category)
+        wrong = F.when(gone, OUT_OF_SCOPE).when(F.trim(F.coalesce("feature_id", F.lit(""))) == "", NO_ID).when(~F.coalesce(F.col("category").isin(*ROLES[layer["role"]]), F.lit(False)), WRONG_CATEGORY)
+        tags = {"layer": layer["name"], "role": layer["role"], "source": layer["source"], "version": str(layer["version"])}
+        parts.append(rows.withColumn("reason", wrong).withColumns({c: F.lit(v) for c, v in tags.items()}).withColumn("_k", F.lit(k)))
+    rows = reduce(DataFrame.unionByName, parts)
+    first = rows.filter("reason is null").groupBy("feature_id").agg(F.min(F.struct("_k", "place")).alias("first"))
+    later = F.col("reason").isNull() & (F.struct("_k", "place") != F.col("first"))
+    rows = rows.join(first, "feature_id", "left").withColumn("reason", F.when(later, DUPLICATE_ID).otherwise(F.coalesce("reason", geometry_problem())))
+    return rows.filter("reason is null").drop("reason", "first", "_k"), rows.filter("reason is not null").select("layer", "feature_id", "place", "reason").distinct()

@@ -1,9 +1,11 @@
 import json
+import math
 
 import pytest
 from emberline.operators import clean
+from emberline.operators.spatial import cover, nearest_polygon
 from emberline.sources.files import observations
-from emberline.sources.reference import geojson_points, overpass_features
+from emberline.sources.reference import geojson_points, overpass_features, reference_bundle
 from emberline.streaming.ingest import SCHEMA, ingest, windowed_counts
 from emberline.streaming.ratelimit import limited_stream
 from pyspark.sql import functions as F
@@ -28,14 +30,74 @@ def test_reference_layers(spark, tmp_path):
     ring = [{"lat": a, "lon": b} for a, b in ((0, 0), (0, 1), (1, 1), (0, 0))]
     elements = [
         {"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"power": "plant"}},
-        {"type": "way", "id": 2, "center": {"lat": 1.0, "lon": 2.0}, "tags": {"landuse": "forest"}},
+        {"type": "way", "id": 2, "center": {"lat": 1.0, "lon": 2.0}, "tags": {"industrial": "factory"}},
         {"type": "way", "id": 3, "geometry": ring, "tags": {"landuse": "industrial"}},
         {"type": "node", "id": 4, "lat": 1.0, "lon": 2.0, "tags": {"shop": "kiosk"}},
+        {"type": "way", "id": 5, "geometry": ring[:3], "center": {"lat": 1.0, "lon": 2.0}, "tags": {"man_made": "mine"}},
+        {"type": "way", "id": 6, "center": {"lat": 1.0, "lon": 2.0}, "tags": {"landuse": "forest"}},
+        {"type": "relation", "id": 7, "tags": {"industrial": "refinery"}},
+        {"type": "node", "id": 8, "lat": 1.0, "lon": 2.0},
     ]
     (tmp_path / "o.json").write_text(json.dumps({"elements": elements}))
     good, bad = overpass_features(spark, str(tmp_path / "o.json"))
-    assert {r.feature_id: (r.category, r["shape"], r.center_only) for r in good.collect()} == {"node/1": ("power_plant", "Point", False), "way/2": ("forest", "Point", True), "way/3": ("industrial_area", "Polygon", False)}
-    assert [tuple(r) for r in bad.collect()] == [("node/4", "unknown_tags")]
+    assert {r.feature_id: (r.category, r["shape"], r.center_only) for r in good.collect()} == {"node/1": ("power_plant", "Point", False), "way/2": ("factory", "Point", True), "way/3": ("industrial_area", "Polygon", False)}
+    unknown = "UNKNOWN_FACILITY_TYPE"
+    assert dict(tuple(r) for r in bad.collect()) == {"node/4": unknown, "way/5": "OPEN_WAY_REQUIRES_EXPLICIT_GEOMETRY", "way/6": unknown, "relation/7": "MISSING_OR_UNASSEMBLED_GEOMETRY", "node/8": unknown}
+
+
+def square(x, y, size=1.0):
+    return [[x, y], [x + size, y], [x + size, y + size], [x, y + size], [x, y]]
+
+
+def feature(id_, category, shape, coordinates):
+    return {"type": "Feature", "id": id_, "properties": {"category": category}, "geometry": {"type": shape, "coordinates": coordinates}}
+
+
+def test_reference_bundle(spark, tmp_path):
+    plants = [
+        feature("a", "refinery", "Polygon", [square(0, 0), square(0.25, 0.25, 0.5)]),
+        feature("b", "works", "Point", [5, 5]),
+        feature("a", "mine", "Point", [6, 6]),
+        feature("", "mine", "Point", [6, 6]),
+        feature("c", "office", "Point", [6, 6]),
+        feature("d", "mine", "Point", [600, 6]),
+        feature("e", "forest", "Polygon", [square(0, 0)]),
+    ]
+    land = [feature("f", "forest", "MultiPolygon", [[square(0, 0)], [square(3, 3)]]), feature("b", "forest", "Polygon", [square(0, 0)]), feature("g", "urban", "Point", [1, 1])]
+    for name, features in (("p", plants), ("l", land)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    common = {"source": "survey", "version": 1, "crs": "EPSG:4326"}
+    layers = [
+        {"name": "plants", "role": "industrial", "path": str(tmp_path / "p.json"), "category_map": {"works": "factory", "office": None}, **common},
+        {"name": "land", "role": "landcover", "path": str(tmp_path / "l.json"), **common},
+    ]
+    good, audit = reference_bundle(spark, layers)
+    assert sorted((r.feature_id, r.category) for r in good.collect()) == [("a", "refinery"), ("b", "factory"), ("f", "forest"), ("f", "forest")]
+    a = good.filter("feature_id = 'a'").first()
+    assert 0 < a.lat < 0.25 and 0 < a.lon < 1 and len(a.rings) == 2
+    assert sorted((r.layer, r.feature_id, r.reason) for r in audit.collect()) == [
+        ("land", "b", "DUPLICATE_FEATURE_ID"), ("land", "g", "POLYGON_REQUIRED"), ("plants", "", "MISSING_STABLE_FEATURE_ID"), ("plants", "a", "DUPLICATE_FEATURE_ID"),
+        ("plants", "c", "EXPLICIT_OUT_OF_SCOPE_MAPPING"), ("plants", "d", "OUT_OF_BOUNDS"), ("plants", "e", "UNKNOWN_OR_WRONG_ROLE_CATEGORY"),
+    ]
+    with pytest.raises(ValueError):
+        reference_bundle(spark, [{**layers[0], "role": "roof"}])
+
+
+def test_polygons_and_cover(spark):
+    """A hole counts as outside, overlapping polygons once; distances are those of the plane at the point."""
+    corners = lambda ring: [(float(x), float(y)) for x, y in ring]
+    shapes = spark.createDataFrame(
+        [(1, "forest", [corners(square(10, 10)), corners(square(10.4, 10.4, 0.2))]), (2, "forest", [corners(square(10, 10))]), (3, "urban", [corners(square(20, 0))])],
+        "feature_id long, kind string, rings array<array<struct<lon:double,lat:double>>>",
+    )
+    points = spark.createDataFrame([(1, 10.5, 10.5), (2, 10.2, 10.2), (3, 10.5, 11.001), (4, 10.5, 11.5)], "point_id long, lat double, lon double")
+    only = shapes.filter("feature_id = 1")
+    near = {r.point_id: r.distance_km for r in nearest_polygon(points, only, "kind").collect()}
+    assert near[2] == 0 and abs(near[1] - 0.1 * 111.195 * math.cos(math.radians(10.5))) < 0.05 and abs(near[4] - 0.5 * 111.195 * math.cos(math.radians(10.5))) < 0.05
+    found = {r.point_id: (r.inside, r.fraction) for r in cover(points, only, "kind").collect()}
+    assert found[2] == (True, 1.0) and found[1] == (False, 0.0) and found[3][0] is False and 0.4 < found[3][1] < 0.5
+    both = {r.point_id: (r.inside, r.fraction) for r in cover(points, shapes.filter("kind = 'forest'"), "kind").collect()}
+    assert both[2] == (True, 1.0) and both[1] == (True, 1.0)
 
 
 def test_stream_ends_as_the_batch(spark, tmp_path):
