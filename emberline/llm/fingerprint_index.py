@@ -3,8 +3,8 @@
 The index is a list of immutable runs: tables of (fp, n), bucketed and sorted by fingerprint, so that a new batch's
 fingerprints are merge-joined with each run without moving the run. After a batch, its fingerprints become a run;
 when ``fan_in`` runs of a level exist, they are merged into one of the next level. A fingerprint stands for the
-windows of ``width`` words whose smallest ``gram``-word gram it is (``repeats``); matches are verified by the
-word sequences of the windows themselves, never decided by the index alone.
+windows of ``width`` words whose smallest ``gram``-word gram it is (``repeats``). The index only says where to look: groups of windows are then settled by
+two 64-bit hashes of all their words, and where those differ, windows are compared word hash by word hash.
 
 Documents with null text have no words. A row without doc_id takes no part and loses nothing. Rows that repeat a
 doc_id with the same text are the same document; with other texts they are documents of their own. Words are kept unchanged.
@@ -126,7 +126,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches:
         hits = new if hits is None else hits.unionByName(new)
         free_shuffles(spark)
     index.close()
-    found = stored(repeated_spans(docs, hits.distinct(), "word", windows, resolve_by(window_classes, "word", windows)), "spans")
+    # written before it is joined: adaptive execution then splits a fingerprint that very many groups have
+    hits = stored(hits.distinct(), "hits")
+    found = stored(repeated_spans(docs, hits, "word", windows, resolve_by(window_classes, "word", windows)), "spans")
     free_shuffles(spark)
     return kept_words(with_spans(docs, found))
 
