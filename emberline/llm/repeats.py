@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.blocks import BLANKS, ROLLING, SECOND, U64, find_words, map_batches, mix, ranges, text_blocks, word_hashes
-from emberline.session import free_shuffles, stored
+from emberline.session import discard, free_shuffles, stored
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def _pos() -> Column:
 def repeated_spans(
     docs: DataFrame, repeated_fps: DataFrame, unit: str, windows: Windows, resolve: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """(doc_id, version, start, stop) in units: covers all that lies in a window which also starts earlier.
+    """(doc_id, version, start, stop) in units: covers all that lies in a window which also starts earlier. ``repeated_fps`` is discarded.
 
     ``docs`` has versions. ``repeated_fps`` (fp) holds every fingerprint of more than one group. Groups equal as a whole are settled by
     their hashes; where a fingerprint comes in several contexts, ``resolve`` compares those contexts window by
@@ -193,6 +193,7 @@ def repeated_spans(
         .select("doc_id", "version", "start", (F.col("start") + F.col("count") - 1 + windows.width).alias("stop"))
     )
     later = stored(later, "later")
+    discard(hot, repeated_fps)
     free_shuffles(spark)
     # written before it is joined: adaptive execution then splits a fingerprint of very many contexts
     several = stored(firsts.groupBy("fp").agg(F.count("*").alias("m")).filter("m > 1"), "several")
@@ -203,6 +204,7 @@ def repeated_spans(
         .agg(F.collect_list(F.struct("fp", "salts", "first.start", "count")).alias("at"))
     )
     found = resolve(_context_units(docs, contexts, unit, windows))
+    discard(firsts, several)
     return later.unionByName(found)
 
 
