@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,30 @@ SCHEMA = "recipient long, id long, at long, sent boolean"
 def limited_batch(rows: DataFrame, seconds: int) -> DataFrame:
     """``rows`` (recipient, id, at) with sent: a message goes out if the recipient's last one that did is ``seconds`` back.
 
-    The decision depends on the chain of all earlier ones, so each recipient's messages are folded in order of time.
+    The decision depends on the chain of all earlier ones, so a recipient's messages pass one task in order of time (then id); all
+    it holds is a batch and the time of the last one sent, and it leaps from one sent to the next. A row without recipient or time
+    is never sent.
     """
-    items = F.array_sort(F.collect_list(F.struct("at", "id")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<id:bigint,at:bigint,sent:boolean>>").alias("out"))
 
-    def step(state, item):
-        due = state["last"].isNull() | (item["at"] - state["last"] >= seconds)
-        done = F.struct(item["id"].alias("id"), item["at"].alias("at"), due.alias("sent"))
-        return F.struct(F.when(due, item["at"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(done)).alias("out"))
-
-    folded = rows.groupBy("recipient").agg(items.alias("items")).select("recipient", F.explode(F.aggregate("items", start, step)["out"]).alias("m"))
-    return folded.select("recipient", "m.id", "m.at", "m.sent")
+    def run(batches):
+        who, last = None, 0
+        for batch in batches:
+            recipient, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            sent = np.zeros(len(batch), bool)
+            heads = np.flatnonzero(np.concatenate(([True], recipient[1:] != recipient[:-1]))) if len(batch) else []
+            for low, high in zip(heads, [*heads[1:], len(batch)], strict=True):
+                known = who is not None and recipient[low] == who
+                k = low + int(np.searchsorted(at[low:high], last + seconds)) if known else low
+                who = recipient[low]
+                while k < high:
+                    sent[k], last = True, int(at[k])
+                    k = max(k + 1, low + int(np.searchsorted(at[low:high], last + seconds)))
+            yield pa.record_batch([*batch.columns, pa.array(sent)], names=["recipient", "id", "at", "sent"])
+
+    plain = rows.select(F.col("recipient").cast("long"), F.col("id").cast("long"), F.col("at").cast("long"))
+    usable = F.col("recipient").isNotNull() & F.col("at").isNotNull()
+    dealt = plain.filter(usable).repartition("recipient").sortWithinPartitions("recipient", "at", "id")
+    return dealt.mapInArrow(run, SCHEMA).unionByName(plain.filter(~usable).withColumn("sent", F.lit(False)))
 
 
 def limited_stream(rows: DataFrame, seconds: int) -> DataFrame:

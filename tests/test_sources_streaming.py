@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from emberline.operators import clean
@@ -7,7 +8,7 @@ from emberline.operators.spatial import cover, nearest_polygon
 from emberline.sources.files import observations
 from emberline.sources.reference import geojson_points, overpass_features, reference_bundle
 from emberline.streaming.ingest import SCHEMA, ingest, windowed_counts
-from emberline.streaming.ratelimit import limited_stream
+from emberline.streaming.ratelimit import limited_batch, limited_stream
 from pyspark.sql import functions as F
 
 
@@ -115,6 +116,22 @@ def test_stream_ends_as_the_batch(spark, tmp_path):
     assert spark.table("daily").count() > 0
 
 
+def test_limit_over_many_batches(spark):
+    """One recipient with most rows, ties in time, several Arrow batches; a row without recipient or time is never sent."""
+    rng = random.Random(4)
+    rows = [(1 if k % 3 else k % 7 + 2, k, rng.randrange(9000)) for k in range(600)] + [(None, 900, 5), (1, 901, None)]
+    last, want = {}, {900: False, 901: False}
+    for who, k, at in sorted((r for r in rows if None not in r), key=lambda r: (r[2], r[1])):
+        want[k] = who not in last or at - last[who] >= 50
+        last[who] = at if want[k] else last[who]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r.id: r.sent for r in limited_batch(spark.createDataFrame(rows, "recipient long, id long, at long"), 50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_limit_as_a_stream(spark, tmp_path):
     rows = [(1, k, at) for k, at in enumerate([0, 100, 299, 300, 650])]
     schema = "recipient long, id long, at long"
