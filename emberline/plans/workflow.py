@@ -10,10 +10,10 @@ from emberline.operators import events as ops
 from emberline.operators import workflow as flow
 from emberline.operators.metrics import average_precision, probability_scores
 from emberline.plans.events import _GROUPS, _HIST, _SPLIT, event_tables, on_events, splittable
-from emberline.plans.model import on_scored, sql_km
+from emberline.plans.model import on_scored
 from emberline.plans.records import _LAST, _PICK, _PRED, judged, latest_annotations
 from emberline.plans.registry import query, scored
-from emberline.session import scratch_path, table
+from emberline.session import table
 from emberline.sources import fixtures
 
 NOW, DAY = fixtures.NOW_US, fixtures.DAY_US
@@ -184,11 +184,11 @@ def join_11(spark, d):
     return flow.one_to_one(flow.one_to_one(event, label, "component"), split, "component").select("event_id", "label", "split")
 
 
-@query("join_12_sample_history", on_events("SELECT event_id, detection_count, coalesce(detections_90d, 0) AS detections_90d, round(hm, 6) AS historical_mean_frp FROM ev LEFT JOIN hist USING (component) WHERE component % 10 = 0", _HIST))
+@query("join_12_sample_history", on_events("SELECT event_id, detection_count, coalesce(detections_90d, 0) AS detections_90d, hx AS historical_max_frp FROM ev LEFT JOIN hist USING (component) WHERE component % 10 = 0", _HIST))
 def join_12(spark, d):
     event = event_tables(spark, d)[1]
     sample = event.filter("component % 10 = 0").select("event_id", "detection_count")
-    past = ops.history(event, fixtures.detections(spark, d)).select("event_id", "detections_90d", F.round("historical_mean_frp", 6).alias("historical_mean_frp"))
+    past = ops.history(event, fixtures.detections(spark, d)).select("event_id", "detections_90d", "historical_max_frp")
     return flow.one_to_one(sample, past, "event_id", "left")
 
 
