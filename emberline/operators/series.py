@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -39,3 +39,27 @@ def days_before(now_us: int, days: int) -> list[int]:
 def rolling(now_us: int, periods: int, days: int, last: int = 0) -> list[int]:
     """Starts now - days * i, for i from periods - 1 + last to last. With last 0 the last bucket lies ahead of now."""
     return [now_us - days * DAY_US * i for i in range(periods - 1 + last, last - 1, -1)]
+
+
+MINUTE_US = 60_000_000
+
+
+def sums_before(marks: DataFrame, us: str, weight: str) -> DataFrame:
+    """(us, before): for each time that occurs, the sum of ``weight`` over all rows with an earlier time; null times are left out.
+
+    Rows of one time are added up first. Running sums go over the times of a minute, the minutes of a day and the days, so no
+    task holds more than the distinct times of a minute, however many rows a day has.
+    """
+    per = marks.filter(F.col(us).isNotNull()).groupBy(us).agg(F.sum(weight).alias("n"))
+    per = per.withColumn("minute", F.floor(F.col(us) / F.lit(MINUTE_US)))
+    minutes = per.groupBy("minute").agg(F.sum("n").alias("n")).withColumn("day", F.floor(F.col("minute") / F.lit(1440)))
+    days = minutes.groupBy("day").agg(F.sum("n").alias("n"))
+
+    def running(by: str | None, order: str) -> Column:
+        w = Window.partitionBy(by).orderBy(order) if by else Window.orderBy(order)  # without a key only for the days
+        return F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    days = days.select("day", running(None, "day").alias("days_sum"))
+    minutes = minutes.select("minute", "day", running("day", "minute").alias("minutes_sum")).join(days, "day")
+    per = per.select(us, "minute", running("minute", us).alias("times_sum"))
+    return per.join(minutes, "minute").select(us, (F.col("days_sum") + F.col("minutes_sum") + F.col("times_sum")).alias("before"))

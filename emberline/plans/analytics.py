@@ -200,14 +200,10 @@ def win_08(spark, d):
 
 @query("win_09_prior_counts", f"WITH {DET_SQL} SELECT det_id, count(*) OVER (ORDER BY acq_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM det")
 def win_09(spark, d):
-    """Observations before each one, at all places: counts by day first, so that no task holds more than a day's rows."""
-    from pyspark.sql import Window
-
-    rows = fixtures.detections(spark, d).select("det_id", "acq_us", F.floor(F.col("acq_us") / F.lit(DAY)).alias("day"))
-    per_day = rows.groupBy("day").agg(F.count("*").alias("n"))
-    before = per_day.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("days_before"))
-    in_day = F.count("*").over(Window.partitionBy("day").orderBy("acq_us").rangeBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("in_day", in_day).join(before, "day").select("det_id", (F.col("days_before") + F.col("in_day")).alias("prior"))
+    """Observations before each one, at all places."""
+    rows = fixtures.detections(spark, d).select("det_id", "acq_us")
+    before = series.sums_before(rows.withColumn("seen", F.lit(1)), "acq_us", "seen")
+    return rows.join(before, "acq_us").select("det_id", F.col("before").alias("prior"))
 
 
 @query("win_07_presence", f"""WITH {DET_SQL}, last AS (SELECT site_id, max(acq_us) AS us FROM det GROUP BY site_id), bins AS (SELECT site_id, us - 14 * {DAY} + k * {DAY} AS start_us, k FROM last, range(16) t(k))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import scoring
 from emberline.operators import events as ops
+from emberline.operators import series
 from emberline.operators.radius import radius_join
 from emberline.plans.model import BOX_SQL, DET_SQL, FAC_SQL, HOT_SQL, on_scored, sql_km
 from emberline.plans.registry import query, remembered, scored
@@ -140,19 +141,14 @@ WHEN with_frp < 2 OR distinct_times < 2 THEN 'INSUFFICIENT_HISTORY' WHEN hs = 0
 
 
 def reasons(spark, d):
-    """Each event's reason code; prior observations at all places are counted by binning days, not by comparing all pairs."""
+    """Each event's reason code; prior observations at all places are counted by running sums, not by comparing all pairs."""
     event, det = event_tables(spark, d)[1], fixtures.detections(spark, d)
     rows = ops.history(event, det)
-    times = det.select("acq_us").unionByName(rows.select(F.lit(None).cast("long").alias("acq_us")).limit(0))
-    marks = times.select(F.col("acq_us").alias("us"), F.lit(1).alias("seen"), F.lit(None).cast("long").alias("component"), F.lit("d").alias("kind"))
-    for kind, back in (("prior", 0), ("window", 90)):
-        marks = marks.unionByName(rows.select((F.col("start_us") - F.lit(back * DAY)).alias("us"), F.lit(0).alias("seen"), "component", F.lit(kind).alias("kind")))
-    marks = marks.withColumn("day", F.floor(F.col("us") / F.lit(DAY)))
-    per_day = marks.groupBy("day").agg(F.sum("seen").alias("n"))
-    before = per_day.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    in_day = F.coalesce(F.sum("seen").over(Window.partitionBy("day").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = marks.withColumn("in_day", in_day).filter("component is not null").join(before, "day").withColumn("c", F.col("before") + F.col("in_day"))
-    counts = counts.groupBy("component").agg(F.max(F.when(F.col("kind") == "prior", F.col("c"))).alias("prior"), F.max(F.when(F.col("kind") == "window", F.col("c"))).alias("old"))
+    asked = rows.select("component", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col("start_us") - F.lit(back * DAY)).alias("us")) for kind, back in (("prior", 0), ("window", 90))])).alias("a")).select("component", "a.*")
+    marks = det.select(F.col("acq_us").alias("us"), F.lit(1).alias("seen")).unionByName(asked.select("us", F.lit(0).alias("seen")))
+    counts = asked.join(series.sums_before(marks, "us", "seen"), "us")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("before")))
+    counts = counts.groupBy("component").agg(of("prior").alias("prior"), of("window").alias("old"))
     rows = rows.join(counts, "component").withColumn("in_window", F.col("prior") - F.col("old"))
     reason = scoring.history_reason("prior", "in_window", "detections_90d", "with_frp", "distinct_times", "historical_std_frp", "mean_frp")
     return rows.select("event_id", reason.alias("reason"), "prior", "in_window")
@@ -259,10 +255,23 @@ def agg_23(spark, d):
     return zone_risk(spark, d).select("zone_id", "category", "level", "monitoring")
 
 
-@query("agg_22_zone_intel", on_scored("SELECT facility_id AS zone_id, count(*) FILTER (WHERE km <= 1) AS within_1km, count(*) FILTER (WHERE km <= 5) AS within_5km, sum(n_detections)::BIGINT AS history FROM zh GROUP BY facility_id").replace("\nSELECT", f", {_ZH}\nSELECT"))
+_ZI = f"""{_ZH}, al AS (SELECT o_custkey AS site_id, count(*) AS alerts FROM orders GROUP BY o_custkey), zk AS (SELECT zh.*, coalesce(alerts, 0) AS alerts, row_number() OVER (PARTITION BY facility_id ORDER BY risk DESC, site_id) AS k FROM zh LEFT JOIN al USING (site_id))"""
+
+
+@query("agg_22_zone_intel", on_scored("SELECT facility_id AS zone_id, count(*) FILTER (WHERE km <= 1) AS within_1km, count(*) FILTER (WHERE km <= 5) AS within_5km, sum(n_detections)::BIGINT AS history, sum(alerts)::BIGINT AS alerts, string_agg(site_id::VARCHAR, ',' ORDER BY k) FILTER (WHERE k <= 20) AS top FROM zk GROUP BY facility_id").replace("\nSELECT", f", {_ZI}\nSELECT"))
 def agg_22(spark, d):
+    """What is around a zone: hotspots within 1 and 5 km, their history and alerts, and the 20 gravest of them in order."""
     near = lambda km: F.count_if(F.col("distance_km") <= km)
-    return zone_hotspots(spark, d).groupBy("zone_id").agg(near(1).alias("within_1km"), near(5).alias("within_5km"), F.sum("n_detections").alias("history"))
+    alerts = fixtures.alerts(spark, d).groupBy("site_id").agg(F.count("*").alias("alerts"))
+    rows = zone_hotspots(spark, d).join(alerts, "site_id", "left").withColumn("k", F.row_number().over(Window.partitionBy("zone_id").orderBy(F.desc("risk"), "site_id")))
+    top = F.array_sort(F.collect_list(F.when(F.col("k") <= 20, F.struct("k", "site_id"))))
+    return rows.groupBy("zone_id").agg(
+        near(1).alias("within_1km"),
+        near(5).alias("within_5km"),
+        F.sum("n_detections").alias("history"),
+        F.sum(F.coalesce("alerts", F.lit(0))).alias("alerts"),
+        F.array_join(F.transform(top, lambda x: x["site_id"].cast("string")), ",").alias("top"),
+    )
 
 
 @query("srt_02_zone_lex", on_scored("SELECT zone_id, level FROM zl ORDER BY level DESC, zone_id LIMIT 10").replace("\nSELECT", f", {_ZR}\nSELECT"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import explain, geo, scoring
+from emberline.operators.hotspots import classified, digest
 from emberline.plans.model import on_scored
 from emberline.plans.registry import query, scored
 from emberline.sources import fixtures
@@ -157,24 +158,6 @@ def alr_02_lower(spark, d):
     return seed_alerts(scored(spark, d), 35.0, 0.4)
 
 
-def digest(alerts: DataFrame, by: str, most: int = 10) -> DataFrame:
-    """(by, title, message, severity): one notification for the alerts of each batch, naming the first ``most`` by code.
-
-    Only the first lines are gathered, by rank; the rest are counted.
-    """
-    from pyspark.sql import Window
-
-    ranked = alerts.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("code")))
-    n = F.count("*")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", "line")))), lambda x: x["line"]), "\n")
-    more = F.when(n > most, F.concat(F.lit("\n…and "), (n - most).cast("string"), F.lit(" more."))).otherwise("")
-    return ranked.withColumn("line", F.concat(F.lit("• "), "code", F.lit(" — "), "title")).groupBy(by).agg(
-        F.concat(n.cast("string"), F.lit(" new auto-alert"), F.when(n == 1, "").otherwise("s"), F.lit(" generated")).alias("title"),
-        F.concat(lines, more).alias("message"),
-        F.when(F.bool_or(F.col("severity") == "CRITICAL"), "critical").otherwise("warning").alias("severity"),
-    )
-
-
 @query("str_05_digest", """WITH a AS (SELECT strftime(o_orderdate, '%Y-%m') AS batch, printf('AL-%08d', o_orderkey) AS code, o_orderpriority AS title, o_totalprice > 300000 AS critical, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) AS k FROM orders)
 SELECT batch, count(*)::VARCHAR || ' new auto-alert' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' generated' AS title, string_agg('• ' || code || ' — ' || title, chr(10) ORDER BY k) FILTER (WHERE k <= 10) || CASE WHEN count(*) > 10 THEN chr(10) || '…and ' || (count(*) - 10)::VARCHAR || ' more.' ELSE '' END AS message,
 CASE WHEN bool_or(critical) THEN 'critical' ELSE 'warning' END AS severity FROM a GROUP BY batch""")
@@ -283,7 +266,6 @@ def orc_11(spark, d):
 risk + 0.07e0 * (9e1 - CASE validation WHEN 'CONFIRMED' THEN 9e1 WHEN 'LIKELY' THEN 7e1 WHEN 'UNCERTAIN' THEN 4e1 ELSE 25e0 END) AS risk FROM scored WHERE site_id % 3 = 0 AND risk BETWEEN 1 AND 90)"""))
 def orc_03(spark, d):
     """A validation appended to some hotspots, and those scored again: the newest validation counts."""
-    from emberline.plans.model import classified
 
     rows = scored(spark, d).filter("site_id % 3 = 0 and risk between 1 and 90")
     made = [*[f"s{k}" for k in range(6)], *[f"p{k}" for k in range(6)], "tod", "classification", "class_confidence", "risk", "risk_level"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import scoring
 from emberline.functions.geo import geojson_point
+from emberline.operators.hotspots import due_alerts
 from emberline.plans.model import on_scored
 from emberline.plans.registry import query, scored
 from emberline.sources import fixtures
@@ -287,21 +288,6 @@ def rsk_04(spark, d):
     return scored(spark, d).select("site_id", scoring.one_of("risk_level", scoring.RECOMMENDATIONS, "Continue monitoring.").alias("recommendation"))
 
 
-def due_alerts(rows: DataFrame, least_risk: float = 80.0, least_confidence: float = 0.8) -> DataFrame:
-    """Alerts that hotspots call for, numbered in the order of site_id."""
-    from pyspark.sql import Window
-
-    kinds = F.col("classification").isin("Industrial Fire", "Gas Flare")
-    due = rows.filter((F.col("risk") >= least_risk) | (kinds & (F.col("class_confidence") >= least_confidence)))
-    number = F.row_number().over(Window.orderBy("site_id"))  # over alerts only
-    return due.select(
-        F.format_string("AL-%04d", number).alias("code"),
-        "site_id",
-        F.when(kinds, "industrial_fire").otherwise("risk").alias("kind"),
-        F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), F.col("risk_level")).otherwise("MODERATE").alias("severity"),
-    )
-
-
 _DUE = """SELECT printf('AL-%04d', row_number() OVER (ORDER BY site_id)) AS code, site_id, CASE WHEN classification IN ('Industrial Fire', 'Gas Flare') THEN 'industrial_fire' ELSE 'risk' END AS kind,
 CASE WHEN risk_level IN ('CRITICAL', 'HIGH') THEN risk_level ELSE 'MODERATE' END AS severity FROM scored WHERE risk >= {r} OR (classification IN ('Industrial Fire', 'Gas Flare') AND class_confidence >= {c})"""
 

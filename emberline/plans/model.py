@@ -6,72 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import scoring
-from emberline.functions.geo import box_distance_km, in_box
-from emberline.functions.temporal import patterns
-from emberline.operators.radius import nearest
+from emberline.operators.hotspots import DISTANCES, history_patterns, score, surroundings
 from emberline.sources import fixtures
 
-#: Categories whose distance is a feature of its own.
-DISTANCES = {"refinery": "d_refinery", "factory": "d_factory", "power_plant": "d_power_plant", "mine": "d_mine", "settlement": "d_settlement", "industrial_area": "d_area"}
-
-
-def infrastructure(spark: SparkSession, sf_dir: str, hot: DataFrame) -> DataFrame:
-    """Distances of each site to the nearest facility of each category and to land cover; -1 where there is none."""
-    features = fixtures.facilities(spark, sf_dir).withColumnRenamed("facility_id", "feature_id")
-    near = nearest(hot.select(F.col("site_id").alias("point_id"), "lat", "lon"), features, "category")
-    near = near.groupBy(F.col("point_id").alias("site_id")).agg(
-        *[F.round(F.min(F.when(F.col("category") == c, F.col("distance_km"))), 3).alias(name) for c, name in DISTANCES.items()],
-        F.min_by(F.when(F.col("category").isin(*fixtures.INDUSTRIAL), F.col("feature_id")), F.when(F.col("category").isin(*fixtures.INDUSTRIAL), F.struct("distance_km", "feature_id"))).alias("facility_id"),
-    )
-    box = ("south", "north", "west", "east")
-    covers = F.broadcast(fixtures.land_cover(spark))  # 25 boxes, whatever the scale
-    land = (
-        hot.select("site_id", "lat", "lon")
-        .join(covers)
-        .groupBy("site_id")
-        .agg(
-            *[F.round(F.min(F.when(F.col("kind") == k, box_distance_km("lat", "lon", *box))), 3).alias(f"d_{k}") for k in ("forest", "agriculture")],
-            *[F.max(F.coalesce(in_box("lat", "lon", *box) & (F.col("kind") == k), F.lit(False))).alias(f"in_{k}") for k in ("forest", "agriculture", "urban")],
-        )
-    )
-    rows = hot.select("site_id").join(near, "site_id", "left").join(land, "site_id", "left")
-    return rows.fillna(-1.0, [*DISTANCES.values(), "d_forest", "d_agriculture"])
-
-
 def site_patterns(spark: SparkSession, sf_dir: str, hot: DataFrame, days: int = 14) -> DataFrame:
-    det = fixtures.detections(spark, sf_dir).select("site_id", F.col("acq_us").alias("us"))
-    times = det.join(hot.select("site_id", F.col("acq_us").alias("now_us")), "site_id")
-    return patterns(times, "site_id", days)
-
-
-def classified(rows: DataFrame) -> DataFrame:
-    """Adds tod, historical_frequency, the class probabilities, classification, class_confidence, risk and risk_level."""
-    rows = rows.withColumn("tod", scoring.time_of_day("acq_ts"))
-    for k, score in enumerate(scoring.rule_scores()):
-        rows = rows.withColumn(f"s{k}", score)
-    scores = [F.col(f"s{k}") for k in range(len(scoring.CLASSES))]
-    for k, p in enumerate(scoring.probabilities(scores)):
-        rows = rows.withColumn(f"p{k}", p)
-    probs = [F.col(f"p{k}") for k in range(len(scoring.CLASSES))]
-    rows = rows.withColumn("classification", scoring.top_class(probs)).withColumn("class_confidence", F.greatest(*probs))
-    return rows.withColumn("risk", scoring.risk_score()).withColumn("risk_level", scoring.risk_level("risk"))
+    return history_patterns(hot, fixtures.detections(spark, sf_dir), days)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each hotspot with all that the queries filter, group and order by."""
     hot = fixtures.hotspots(spark, sf_dir)
     latest = fixtures.validations(hot).groupBy("site_id").agg(F.max_by("status", "validation_id").alias("validation"))
-    temporal = site_patterns(spark, sf_dir, hot).select("site_id", F.col("n").alias("n_detections"), "active_days", "mean_gap", "std_gap", "persistence_score", "pattern")
-    rows = hot.join(infrastructure(spark, sf_dir, hot), "site_id").join(temporal, "site_id").join(latest, "site_id", "left")
-    rows = (
-        rows.withColumn("code", F.format_string("HX-%04d", "site_id"))
-        .withColumn("acq_ts", F.timestamp_micros("acq_us"))
-        .withColumn("validation", F.coalesce("validation", F.lit("NOT VALIDATED")))
-        .withColumn("d_industrial", scoring.nearest_industrial("d_refinery", "d_factory", "d_power_plant", "d_mine"))
-        .withColumn("land_cover", scoring.land_cover(scoring.nearest_industrial("d_refinery", "d_factory", "d_power_plant", "d_mine", "d_area"), "in_forest", "in_agriculture", "d_settlement"))
-        .withColumn("historical_frequency", F.col("n_detections") / F.lit(14.0))
-    )
-    return classified(rows)
+    features = fixtures.facilities(spark, sf_dir).withColumnRenamed("facility_id", "feature_id")
+    around = surroundings(hot, features, fixtures.land_cover(spark))
+    return score(hot, around, site_patterns(spark, sf_dir, hot), latest).withColumn("code", F.format_string("HX-%04d", "site_id"))
 
 
 # DuckDB -------------------------------------------------------------------------------------------------------

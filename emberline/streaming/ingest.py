@@ -1,41 +1,100 @@
-"""Detections as a stream: micro-batches are cleaned of repeats, upserted, and alerted on once."""
+"""Detections as a stream: each micro-batch is upserted, what it adds is scored, alerted on once, and summed up in a notice."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberline.session import scratch_path
+from emberline.operators.hotspots import digest, due_alerts, history_patterns, score, surroundings
+from emberline.session import scratch_path, stored
+
+SCHEMA = "det_id long, site_id long, acq_us long, lat double, lon double, frp double, brightness double, daynight string, satellite string, confidence double, state string, district string"
+#: The columns that a repeated delivery of a det_id replaces.
+UPDATED = ("frp", "brightness")
+LOG = SCHEMA + ", created boolean, batch long"
+ALERTS = "code string, site_id long, kind string, severity string, batch long"
 
-SCHEMA = "det_id long, site_id long, ts timestamp, lat double, lon double, brightness double, frp double"
 
+@dataclass(frozen=True)
+class Reference:
+    """What new detections are compared with: facilities (feature_id, ord, category, lat_r, lon_r), land-cover boxes, and the last validation of each site."""
 
-def distinct_stream(rows: DataFrame, lateness: str = "90 days") -> DataFrame:
-    """Each det_id once; its state is dropped when the watermark has passed it."""
-    return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["det_id"])
+    features: DataFrame
+    covers: DataFrame
+    validations: DataFrame
 
 
 def windowed_counts(rows: DataFrame, lateness: str = "1 day", width: str = "1 day") -> DataFrame:
     """(start, site_id, n): detections in tumbling windows, each given out when the watermark has passed it."""
-    counts = rows.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "site_id").agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("start"), "site_id", "n")
+    ts = rows.withColumn("ts", F.timestamp_micros("acq_us")).withWatermark("ts", lateness)
+    return ts.groupBy(F.window("ts", width).alias("w"), "site_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "site_id", "n")
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of a table of the store; empty before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def log(spark: SparkSession, store: str) -> DataFrame:
+    """Every delivery of every detection."""
+    return _table(spark, f"{store}/log", LOG)
+
+
+def alerts(spark: SparkSession, store: str) -> DataFrame:
+    return _table(spark, f"{store}/alerts", ALERTS)
+
+
+def current(spark: SparkSession, store: str) -> DataFrame:
+    """The table of detections: each as its first delivery made it, with FRP and brightness of its last; ``batch`` is the first's."""
+    rows = log(spark, store)
+    kept = [c for c in rows.columns if c not in ("det_id", "created", *UPDATED)]
+    one = rows.groupBy("det_id").agg(F.min_by(F.struct(*kept), "batch").alias("first"), F.max_by(F.struct(*UPDATED), "batch").alias("last"))
+    return one.select("det_id", "first.*", "last.*")
 
 
-def hot(rows: DataFrame, brightness: float = 360.0, frp: float = 60.0) -> DataFrame:
-    return rows.filter((F.col("brightness") >= brightness) | (F.col("frp") >= frp))
+def take(spark: SparkSession, store: str, batch: DataFrame, number: int, reference: Reference, scoring: bool = True, least_risk: float = 80.0, least_confidence: float = 0.8) -> None:
+    """Takes in one batch. Everything goes under the batch's number and is made from earlier batches and reference only, so a batch
+    that runs again replaces itself.
 
+    Of several deliveries of a det_id in a batch the latest by time counts; rows without det_id are left out. Detections with
+    FRP and brightness that are new are scored with their site's history; without ``scoring`` they are only stored, as a first load of history is.
+    """
+    past = log(spark, store).filter(F.col("batch") < number)
+    fields = [c for c in batch.columns if c != "det_id"]
+    rows = batch.filter("det_id is not null").groupBy("det_id").agg(F.max(F.struct("acq_us", *[c for c in fields if c != "acq_us"])).alias("d")).select("det_id", *[F.col(f"d.{c}").alias(c) for c in fields])
+    rows = stored(rows, "batch")
+    # the log is on the left: where the batch is small, it isn't moved
+    known = past.select("det_id").join(rows.select("det_id"), "det_id", "left_semi").distinct().withColumn("known", F.lit(True))
+    rows.join(known, "det_id", "left").withColumn("created", F.col("known").isNull()).drop("known").write.mode("overwrite").parquet(f"{store}/log/batch={number}")
+    if not scoring:
+        return
+    now = log(spark, store).filter(F.col("batch") <= number)
+    new = now.filter((F.col("batch") == number) & F.col("created") & F.col("frp").isNotNull() & F.col("brightness").isNotNull()).drop("created", "batch")
+    # the scoring operators go by site_id; here each detection is a place of its own, with the history of its site
+    hot = new.withColumnRenamed("site_id", "site").withColumn("site_id", F.col("det_id"))
+    history = now.select(F.col("site_id").alias("site"), "acq_us").join(hot.select("site", "site_id"), "site").select("site_id", "acq_us")
+    latest = hot.select("site", "site_id").join(reference.validations.withColumnRenamed("site_id", "site"), "site").select("site_id", "validation")
+    scored = score(hot, surroundings(hot, reference.features, reference.covers), history_patterns(hot, history), latest)
+    scored.drop("site_id").withColumnRenamed("site", "site_id").write.mode("overwrite").parquet(f"{store}/scored/batch={number}")
+    scored = spark.read.parquet(f"{store}/scored/batch={number}")
+    held = alerts(spark, store).filter(F.col("batch") < number).count()
+    due_alerts(scored, least_risk, least_confidence, held, ("site_id", "det_id")).write.mode("overwrite").parquet(f"{store}/alerts/batch={number}")
+    due = alerts(spark, store).filter(F.col("batch") == number)
+    digest(due.withColumn("title", F.col("kind")), "batch").withColumnRenamed("batch", "of").write.mode("overwrite").parquet(f"{store}/notices/batch={number}")
 
-def ingest(spark: SparkSession, source: str, table: str, alerts: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Reads Parquet files as they land in ``source`` until none is left, appends new detections to ``table`` and the hot ones
-    of them to ``alerts``. Every batch is written under its number, so a batch that runs again replaces itself."""
-    rows = distinct_stream(spark.readStream.schema(SCHEMA).parquet(source))
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        hot(batch).write.mode("overwrite").parquet(f"{alerts}/batch={number}")
-        batch.unpersist()
+def ingest(spark: SparkSession, source: str, store: str, reference: Reference, checkpoint: str | None = None, interval: str | None = None, **options) -> StreamingQuery:
+    """Reads Parquet files as they land in ``source``: every ``interval``, or without one until none is left. ``options`` go to ``take``.
 
-    writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
-    return writer.trigger(availableNow=True).start()
+    A run goes on from ``checkpoint``; only there is it known which files were read.
+    """
+    rows = spark.readStream.schema(SCHEMA).parquet(source)
+    writer = rows.writeStream.foreachBatch(lambda batch, number: take(spark, store, batch, number, reference, **options))
+    writer = writer.option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from emberline.functions import geo, scoring
 from emberline.functions.temporal import patterns
-from emberline.plans.model import classified
+from emberline.operators.hotspots import classified
 from pyspark.sql import functions as F
 
 

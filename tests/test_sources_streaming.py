@@ -1,13 +1,15 @@
+import hashlib
 import json
 import math
 import random
 
 import pytest
 from emberline.operators import clean
+from emberline.operators.series import sums_before
 from emberline.operators.spatial import cover, nearest_polygon
-from emberline.sources.files import observations
+from emberline.sources.files import inline, observations
 from emberline.sources.reference import geojson_points, overpass_features, reference_bundle
-from emberline.streaming.ingest import SCHEMA, ingest, windowed_counts
+from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, take, windowed_counts
 from emberline.streaming.ratelimit import limited_batch, limited_stream
 from pyspark.sql import functions as F
 
@@ -15,11 +17,46 @@ from pyspark.sql import functions as F
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("latitude,longitude,acq_date,acq_time,frp\n10,20,2025-01-01,0035,1\n10,20,2025-01-01,0035,1\n")
     (tmp_path / "b.csv").write_text("latitude,longitude,acq_date,acq_time,brightness\n,20,2025-01-01,0100,300\n11,20,2025-01-01,0100,300\n")
-    rows = observations(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")])
-    counts = clean.report(clean.tagged(rows)).first()
+    paths = [str(tmp_path / "b.csv"), str(tmp_path / "a.csv"), str(tmp_path / "a.csv")]
+    rows = observations(spark, paths, ("latitude", "longitude"))
+    got = [(r.input_file.rsplit("/")[-1], r.input_row, r.input_sha256) for r in rows.orderBy("source_row").collect()]
+    sha = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("a.csv", "b.csv")}
+    assert got == [(n, k, sha[n]) for n in ("a.csv", "b.csv") for k in (2, 3)]
+    counts = clean.report(clean.tagged(rows.drop("input_file", "input_row", "input_sha256"))).first()
     assert (counts.input_rows, counts.accepted, counts.duplicates, counts.missing_coordinates) == (4, 2, 1, 1)
+    for paths, needed in ((["x.txt"], ()), ([], ()), (paths, ("frp",))):
+        with pytest.raises(ValueError):
+            observations(spark, paths, needed)
+
+
+def test_rows_are_counted_over_a_file_in_many_blocks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,latitude\n" + "".join(f"{k},{k}\n" for k in range(5000)))
+    (tmp_path / "b.csv").write_text("k,input_row\n1,2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = observations(spark, [str(tmp_path / "a.csv")]).select("k", "input_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((int(r.k), r.input_row) for r in rows) == [(k, k + 2) for k in range(5000)]
     with pytest.raises(ValueError):
-        observations(spark, ["x.txt"])
+        observations(spark, [str(tmp_path / "b.csv")])
+
+
+def test_inline_feeds(spark):
+    """Any order of columns, quotes, CRLF, byte order marks, missing and unknown columns; empty and null texts have no rows."""
+    texts = [(1, '\ufeffA,b\r\n1,"x, y"\r\n\r\n2,\r\n'), (2, "B,z,A\n3,4,5"), (3, "a\n7"), (4, "a,b\n"), (5, ""), (6, None)]
+    got = inline(spark.createDataFrame(texts, "feed long, body string"), "feed", "body", ("a", "b")).collect()
+    assert sorted(tuple(r) for r in got if r.feed != 1 or r.line == 2) == sorted([(1, 2, "1", "x, y"), (2, 2, "5", "3"), (3, 2, "7", None)])
+    assert {(r.line, r.a) for r in got if r.feed == 1} == {(2, "1"), (4, "2")}
+
+
+def test_sums_before_a_time(spark):
+    rng = random.Random(3)
+    times = [rng.choice([None, rng.randrange(-3 * 10**11, 3 * 10**11), rng.randrange(3) * 60_000_000]) for _ in range(400)]
+    frame = spark.createDataFrame([(t, 1) for t in times], "us long, w long")
+    known = [t for t in times if t is not None]
+    assert {r.us: r.before for r in sums_before(frame, "us", "w").collect()} == {t: sum(x < t for x in known) for t in known}
+    assert sums_before(frame.limit(0), "us", "w").collect() == []
 
 
 def test_reference_layers(spark, tmp_path):
@@ -102,18 +139,37 @@ def test_polygons_and_cover(spark):
 
 
 def test_stream_ends_as_the_batch(spark, tmp_path):
-    rows = [(k % 40, k % 3, f"2024-01-0{1 + k % 5} 10:00:00", 1.0, 2.0, 300.0 + k, 10.0) for k in range(80)]
-    frame = spark.createDataFrame(rows, SCHEMA.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
-    first = frame.filter("det_id < 25")
-    for part in (first, frame):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    for _ in range(2):  # a second start finds nothing new
-        ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "alerts"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("det_id").count() == 40
+    """Repeats update, new detections are scored and alerted on once, also if a batch runs again; nothing new changes nothing."""
+    us = 1_704_103_200_000_000
+    row = lambda k, site, brightness, frp: (k, site, us + k * 60_000_000, 10.0, 20.0, frp, brightness, "D", "N20", 0.5, "s", "d")
+    first = [row(k, k % 3, 300.0 + k, 10.0) for k in range(25)] + [row(3, 0, 301.0, 9.0)]
+    second = [row(k, k % 3, 340.0, 11.0) for k in range(20, 30)] + [row(30, 7, 400.0, 200.0), row(31, 8, None, 5.0), (None, *row(32, 8, 300.0, 5.0)[1:])]
+    features = spark.createDataFrame([(1, 1, "refinery", 10.0, 20.0), (2, 2, "settlement", 10.01, 20.0)], "feature_id long, ord long, category string, lat_r double, lon_r double")
+    covers = spark.createDataFrame([("forest", 0.0, 1.0, 0.0, 1.0)], "kind string, south double, north double, west double, east double")
+    reference = Reference(features, covers, spark.createDataFrame([(7, "CONFIRMED")], "site_id long, validation string"))
+    store = str(tmp_path / "store")
+    for part in (first, second):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(spark, str(tmp_path / "in"), store, reference, str(tmp_path / "cp"), least_risk=30.0).awaitTermination()
+    ingest(spark, str(tmp_path / "in"), store, reference, str(tmp_path / "cp"), least_risk=30.0).awaitTermination()
+
+    def state():
+        held = {r.det_id: (r.brightness, r.frp, r.batch) for r in current(spark, store).collect()}
+        scored = {r.det_id: (r.batch, r.n_detections, r.validation) for r in spark.read.parquet(f"{store}/scored").collect()}
+        return held, scored, sorted((r.batch, r.code, r.site_id) for r in alerts(spark, store).collect())
+
+    held, scored, due = state()
+    assert sorted(held) == list(range(32)) and held[22] == (340.0, 11.0, 0) and held[4] == (304.0, 10.0, 0) and held[31] == (None, 5.0, 1)
+    assert sorted(scored) == list(range(31)) and scored[30] == (1, 1, "CONFIRMED") and scored[29][:2] == (1, 10)
+    assert any(site == 7 for _, _, site in due) and [c for _, c, _ in due] == [f"AL-{k:04d}" for k in range(1, len(due) + 1)]
+    take(spark, store, spark.createDataFrame(second, SCHEMA), 1, reference, least_risk=30.0)
+    assert state() == (held, scored, due)
+    notices = spark.read.parquet(f"{store}/notices").collect()
+    assert {r.batch: int(r.title.split()[0]) for r in notices} == {b: sum(x == b for x, _, _ in due) for b in {x for x, _, _ in due}}
     counts = windowed_counts(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
-    query = counts.writeStream.format("memory").queryName("daily").outputMode("append").trigger(availableNow=True).start()
+    query = counts.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("daily").count() > 0
+    assert sum(r.n for r in spark.table("daily").collect()) == len(first) + len(second)
 
 
 def test_limit_over_many_batches(spark):
