@@ -96,7 +96,11 @@ def geojson_features(spark: SparkSession, path: str, crs: str = "EPSG:4326") ->
     A point has lon and lat, a polygon its rings (the outer one, then holes), each polygon of a MultiPolygon a row. A facility's
     polygon also has a point inside it as lon and lat. Lines have neither.
     """
-    rows = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.posexplode("features").alias("place", "f"))
+    return geojson_rows(spark.read.schema(GEOJSON).option("multiLine", True).json(path), crs)
+
+
+def geojson_rows(collections: DataFrame, crs: str) -> DataFrame:
+    rows = collections.select(F.posexplode("features").alias("place", "f"))
     p, kind, text = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     polygons = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
     xy = F.when(kind == "Point", F.from_json(text, "array<double>"))
@@ -113,6 +117,17 @@ def geojson_features(spark: SparkSession, path: str, crs: str = "EPSG:4326") ->
     return each.select("place", "feature_id", "category", "name", "shape", lon.alias("lon"), lat.alias("lat"), "rings", "properties")
 
 
+def layer(spark: SparkSession, path: str, role: str, crs: str = "EPSG:4326") -> DataFrame:
+    """The features of one role's file, as geojson_features has them: land cover, roads and lines, water, and so on.
+
+    Without a file there are none. Features of other categories, or whose geometry can't be used, are left out.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return geojson_rows(spark.createDataFrame([], GEOJSON), crs)
+    return geojson_features(spark, path, crs).filter(F.col("category").isin(*ROLES[role]) & geometry_problem().isNull())
+
+
 def geometry_problem() -> Column:
     """Why a feature of geojson_features can't be used; null if it can."""
     corners = F.flatten("rings")

@@ -8,7 +8,7 @@ from emberline.operators import clean
 from emberline.operators.series import sums_before
 from emberline.operators.spatial import cover, nearest_polygon
 from emberline.sources.files import inline, observations
-from emberline.sources.reference import geojson_points, overpass_features, reference_bundle
+from emberline.sources.reference import geojson_points, layer, overpass_features, reference_bundle
 from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, take, windowed_counts
 from emberline.streaming.ratelimit import limited_batch, limited_stream
 from pyspark.sql import functions as F
@@ -50,6 +50,18 @@ def test_inline_feeds(spark):
     assert {(r.line, r.a) for r in got if r.feed == 1} == {(2, "1"), (4, "2")}
 
 
+def test_layer_of_a_role(spark, tmp_path):
+    features = [
+        feature("a", "forest", "Polygon", [square(0, 0)]),
+        feature("b", "forest", "Point", [1, 1]),
+        feature("c", "road", "LineString", [[0, 0], [1, 1]]),
+        feature("d", None, "Point", [1, 1]),
+    ]
+    (tmp_path / "l.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    named = lambda role, name="l.json": sorted(r.feature_id for r in layer(spark, str(tmp_path / name), role).collect())
+    assert (named("landcover"), named("transport"), named("water"), named("landcover", "none.json")) == (["a"], ["c"], [], [])
+
+
 def test_sums_before_a_time(spark):
     rng = random.Random(3)
     times = [rng.choice([None, rng.randrange(-3 * 10**11, 3 * 10**11), rng.randrange(3) * 60_000_000]) for _ in range(400)]
