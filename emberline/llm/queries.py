@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, suffix_dedup, token_records, topk
+from emberline.llm import fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, spelling, suffix_dedup, token_records, topk
 from emberline.session import stored, table
 
 
@@ -92,6 +92,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +109,7 @@ QUERIES = {
         op8_minhash_dedup,
         op9_quality,
         op10_language,
+        op11_spelling,
     )
 }
 
@@ -166,4 +171,25 @@ c AS (SELECT a AS doc_id, min(l) AS l FROM reach GROUP BY a)
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.l, documents.doc_id) AS component_id,
   documents.doc_id = coalesce(c.l, documents.doc_id) AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_spelling": rf"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(range(8), lambda c, k:
+  CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (SELECT w, k, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c:
+  CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END)), lambda s, b: xor(s >> 8, tb[xor(s & 255, b) + 1]), 4294967295), 4294967295) AS h
+  FROM r, t),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n, length(word) AS len FROM (SELECT k,
+  CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+v AS (SELECT word, n, len, i, left(word, i - 1) || substr(word, i + 1) AS s FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM words)),
+ins AS (SELECT DISTINCT v.word AS a, v.n AS an, w.word AS b, w.n AS bn FROM v JOIN words w ON v.s = w.word),
+near AS (SELECT x.word AS a, y.word AS b, y.n AS bn FROM v x JOIN v y ON x.len = y.len AND x.i = y.i AND x.s = y.s AND x.word <> y.word
+  UNION ALL SELECT a, b, bn FROM ins UNION ALL SELECT b, a, an FROM ins),
+best AS (SELECT a, n_near, b, bn FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS k FROM near) WHERE k = 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 5 * n THEN b END AS form, CASE WHEN bn >= 5 * n THEN bn END AS form_n
+  FROM words LEFT JOIN best ON a = word),
+chain(word, place) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.place WHERE f.form IS NOT NULL),
+roots AS (SELECT chain.word, chain.place AS root FROM chain JOIN f ON f.word = chain.place WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)""",
 }
