@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, spelling, suffix_dedup, token_records, topk
+from emberline.llm import fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, spelling, suffix_dedup, token_records, topk, weak_rules
 from emberline.session import stored, table
 
 
@@ -96,6 +96,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"), drop_every=199)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(weak_rules.statistics(table(spark, sf_dir, "documents")), "counts")
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    return weak_rules.judged(stats).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "probability"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,6 +118,7 @@ QUERIES = {
         op9_quality,
         op10_language,
         op11_spelling,
+        op12_quality_rules,
     )
 }
 
