@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, spelling, suffix_dedup, token_records, topk, weak_rules
+from emberline.llm import conversations, fingerprint_index, fm_decontam, langid, mixing, pii, rule_quality, setsketch, spelling, suffix_dedup, token_records, topk, weak_rules
 from emberline.session import stored, table
 
 
@@ -104,6 +104,16 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.summary(stored(conversations.repair(conversations.damaged(rows)), "repaired"))
+    named = found.withColumnRenamed("conv_id", "c")
+    joined = rows.select("conv_id").distinct().join(named, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,6 +129,7 @@ QUERIES = {
         op10_language,
         op11_spelling,
         op12_quality_rules,
+        op13_conversation_repair,
     )
 }
 
