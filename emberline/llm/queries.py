@@ -212,4 +212,43 @@ f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE W
 chain(word, place) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.place WHERE f.form IS NOT NULL),
 roots AS (SELECT chain.word, chain.place AS root FROM chain JOIN f ON f.word = chain.place WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS tb FROM (SELECT i, list_reduce(range(8), lambda c, k:
+  CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+    lambda s, b: xor(s >> 8, tb[xor(s & 255, b) + 1]), 4294967295), 4294967295) % 20 AS fault FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM n WHERE fault <> 0),
+o AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS r,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM d),
+f AS MATERIALIZED (SELECT *, body = '' AS is_blank, body <> '' AND again > 1 AS is_again, body <> '' AND again = 1 AND NOT contains('.!?', right(body, 1)) AS is_cut,
+  lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+counts AS (SELECT conv_id, count(*) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE is_blank) AS blank,
+  count(*) FILTER (WHERE is_again) AS duplicate, count(*) FILTER (WHERE is_cut) AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+dp(conv_id, i, a, b, c, e) AS (
+  SELECT conv_id, 0::BIGINT, {'k': 0, 'l': '', 't': ''}, {'k': 900, 'l': '', 't': ''}, {'k': 5, 'l': 'I', 't': chr(10) || 'user:'},
+    {'k': 10, 'l': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} FROM counts
+  UNION ALL
+  SELECT conv_id, i, a, b, c, list_min([e, {'k': c.k + 5, 'l': c.l || 'I', 't': c.t || chr(10) || 'assistant:'}]) FROM (
+  SELECT conv_id, i, a, b, list_min([c, {'k': a.k + 5, 'l': a.l || 'I', 't': a.t || chr(10) || 'user:'}, {'k': b.k + 5, 'l': b.l || 'I', 't': b.t || chr(10) || 'user:'},
+    {'k': e.k + 5, 'l': e.l || 'I', 't': e.t || chr(10) || 'user:'}]) AS c, e FROM (
+  SELECT conv_id, i, {'k': a.k + 2, 'l': a.l || 'D', 't': a.t} AS a,
+    list_min([{'k': b.k + 2, 'l': b.l || 'D', 't': b.t}, CASE WHEN r = 's' AND ok THEN {'k': a.k + x, 'l': a.l || 'K', 't': a.t || line} ELSE none END]) AS b,
+    list_min([{'k': c.k + 2, 'l': c.l || 'D', 't': c.t}, CASE WHEN r = 'u' AND ok THEN {'k': o.k + x, 'l': o.l || 'K', 't': o.t || line} ELSE none END,
+      CASE WHEN ok THEN {'k': o.k + x + 1, 'l': o.l || 'R', 't': o.t || chr(10) || 'user:' || text} ELSE none END]) AS c,
+    list_min([{'k': e.k + 2, 'l': e.l || 'D', 't': e.t}, CASE WHEN r = 'a' AND ok THEN {'k': c.k + x, 'l': c.l || 'K', 't': c.t || line} ELSE none END,
+      CASE WHEN ok THEN {'k': c.k + x + 1, 'l': c.l || 'R', 't': c.t || chr(10) || 'assistant:' || text} ELSE none END]) AS e FROM (
+  SELECT f.conv_id, f.i, f.r, f.text, a, b, c, e, list_min([a, b, e]) AS o, NOT is_blank AND NOT is_again AS ok, CASE WHEN is_cut THEN 5 ELSE 0 END AS x,
+    chr(10) || f.role || ':' || f.text AS line, {'k': 1000000, 'l': '', 't': ''} AS none
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)))),
+ends AS (SELECT dp.conv_id, gaps, blank, duplicate, truncated, illegal, list_min([a, e]) AS w
+  FROM dp JOIN counts ON counts.conv_id IS NOT DISTINCT FROM dp.conv_id AND counts.last = dp.i)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.k, 0)::BIGINT AS cost, coalesce(w.l, '') AS audit,
+  sha256(coalesce(substr(w.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }

@@ -35,6 +35,8 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([("i1", " ".join(f"Q{k}" for k in range(12))), ("i2", None), ("i3", "")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([(k, k % 2, 0) for k in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    turns = [(k // 5, rng.choice([None, *range(6)]), rng.choice(["user", "assistant", "system", None]), rng.choice(["Yes.", "no", "", None, f"é {k % 7}?"])) for k in range(400)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -45,7 +47,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, tables, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{tables}/{table}.parquet/*.parquet'")
     got = queries.QUERIES[name](spark, tables)
     want = con.execute(queries.ORACLES[name])
