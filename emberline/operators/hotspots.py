@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import scoring
 from emberline.functions.geo import box_distance_km, in_box
 from emberline.functions.temporal import patterns
-from emberline.operators.radius import nearest
+from emberline.operators.nearness import nearest
 from emberline.sources.fixtures import INDUSTRIAL
 
 #: Categories whose distance is a feature of its own.

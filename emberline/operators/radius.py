@@ -1,4 +1,4 @@
-"""Joins within a radius, and nearest neighbours by widening rings."""
+"""Joins within a radius."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import EARTH_KM, haversine_km
-from emberline.session import stored
 
 KM_A_DEGREE = math.pi * EARTH_KM / 180
 
@@ -55,27 +54,3 @@ def radius_join(left: DataFrame, right: DataFrame, km: float | Column, most_km:
     pairs = rows.drop("_cells").join(other, keys).drop(*keys)
     within = F.lit(float(km)) if isinstance(km, (int, float)) else km
     return pairs.withColumn("distance_km", haversine_km("lat", "lon", "lat_r", "lon_r")).filter(F.col("distance_km") <= within)
-
-
-RINGS_KM = (50.0, 200.0, 800.0, 3200.0, math.pi * EARTH_KM + 1)
-
-
-def nearest(points: DataFrame, features: DataFrame, group: str, rings: tuple[float, ...] = RINGS_KM) -> DataFrame:
-    """(point_id, group, distance_km, feature_id): for each point and group the nearest feature, ties to the least ``ord``.
-
-    ``points``: point_id, lat, lon. ``features``: feature_id, ord, the group column, lat_r, lon_r. Each ring joins only the
-    (point, group) pairs that smaller rings left open, so most work happens within the smallest.
-    """
-    groups = features.select(group).distinct()
-    open_ = points.crossJoin(groups)  # a handful of groups
-    found = None
-    for ring in rings:
-        mine = open_.withColumnRenamed(group, "_group")
-        pairs = radius_join(mine, features, ring, ring, [(F.array("_group"), F.col(group))])
-        best = pairs.groupBy("point_id", group).agg(F.min(F.struct("distance_km", "ord", "feature_id")).alias("m"))
-        best = stored(best.select("point_id", group, F.col("m.distance_km").alias("distance_km"), F.col("m.feature_id").alias("feature_id")), "nearest")
-        found = best if found is None else found.unionByName(best)
-        open_ = stored(open_.join(best.select("point_id", group), ["point_id", group], "left_anti"), "open")
-        if open_.isEmpty():
-            break
-    return found

@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.geo import col, polygon_covers
-from emberline.operators.radius import KM_A_DEGREE, RINGS_KM, nearest, radius_join
+from emberline.functions.geo import col, valid_coordinates
+from emberline.operators import polygons as shapes
+from emberline.operators.nearness import nearest
+from emberline.operators.radius import radius_join
 from emberline.session import stored
 
-# The categories that count as industry, and the radii that are counted.
+# The categories that count as industry, the kinds of polygons, and the radii that are counted.
 INDUSTRIAL = ("refinery", "factory", "power_plant", "mine", "industrial_area", "oil_gas")
+KINDS = {"forest": "inside_forest", "agriculture": "inside_agriculture", "urban": "inside_urban", "industrial": "inside_industrial_polygon"}
+FRACTIONS = ("forest", "agriculture", "industrial")
 RADII = ((0.5, "500m"), (1.0, "1km"), (5.0, "5km"))
-#: Places in a circle at which its cover is looked up, spread evenly along a spiral.
-SAMPLES = 256
-GOLDEN = math.pi * (3 - math.sqrt(5))
-
-
-def polygon_distance_km(lat, lon, rings) -> Column:
-    """Kilometres from a point to a polygon (an outer ring, then holes), 0 where it is covered: to the nearest of its edges in
-    the plane that touches the earth at the point."""
-    lat, lon, rings = col(lat), col(lon), col(rings)
-    x = lambda p: (p["lon"] - lon) * F.cos(F.radians(lat)) * F.lit(KM_A_DEGREE)
-    y = lambda p: (p["lat"] - lat) * F.lit(KM_A_DEGREE)
-
-    def edge(e: Column) -> Column:
-        (ax, ay), (bx, by) = ((x(e[k]), y(e[k])) for k in ("p", "q"))
-        dx, dy = bx - ax, by - ay
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(dx * dx + dy * dy > 0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)).otherwise(0.0)))
-        return F.sqrt(F.pow(ax + t * dx, F.lit(2.0)) + F.pow(ay + t * dy, F.lit(2.0)))
-
-    edges = lambda r: F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("p"), F.slice(r, 2, F.size(r) - 1).alias("q"))
-    to_ring = F.transform(rings, lambda r: F.array_min(F.transform(edges(r), edge)))
-    return F.when(polygon_covers(lon, lat, rings), 0.0).otherwise(F.array_min(to_ring))
 
 
 def interior_point(rings) -> Column:
@@ -51,86 +32,53 @@ def interior_point(rings) -> Column:
     return F.struct(F.array_max(spans)["lon"].alias("lon"), level.alias("lat"))
 
 
-def bounded(polygons: DataFrame) -> DataFrame:
-    """Polygons with lat_r, lon_r, the middle of their bounding box, and extent_km, which reaches its corners."""
-    outer = F.get("rings", F.lit(0))
-    along = {"lat": F.transform(outer, lambda p: p["lat"]), "lon": F.transform(outer, lambda p: p["lon"])}
-    low, high = ({c: end(values) for c, values in along.items()} for end in (F.array_min, F.array_max))
-    rows = polygons.withColumns({"lat_r": (low["lat"] + high["lat"]) / 2, "lon_r": (low["lon"] + high["lon"]) / 2})
-    half = F.hypot((high["lat"] - low["lat"]) / 2, (high["lon"] - low["lon"]) / 2)
-    return rows.withColumn("extent_km", half * F.lit(KM_A_DEGREE) + 0.01)
-
-
-def nearest_polygon(points: DataFrame, polygons: DataFrame, group: str, rings: tuple[float, ...] = RINGS_KM) -> DataFrame:
-    """(point_id, group, distance_km, feature_id) of the nearest polygon of each group, 0 inside; as ``nearest`` for points."""
-    shapes = stored(bounded(polygons), "polygons")
-    widest = shapes.agg(F.max("extent_km")).first()[0] or 0.0
-    open_, found = points.crossJoin(shapes.select(group).distinct()), None  # a handful of groups
-    for ring in rings:
-        reach = min(ring + widest, rings[-1])
-        pairs = radius_join(open_.withColumnRenamed(group, "_group"), shapes, reach, reach, [(F.array("_group"), F.col(group))])
-        close = pairs.withColumn("km", polygon_distance_km("lat", "lon", "rings")).filter((F.col("km") <= ring) | F.lit(ring == rings[-1]))
-        best = close.groupBy("point_id", group).agg(F.min(F.struct("km", "feature_id")).alias("m"))
-        best = stored(best.select("point_id", group, F.col("m.km").alias("distance_km"), F.col("m.feature_id").alias("feature_id")), "nearest")
-        found = best if found is None else found.unionByName(best)
-        open_ = stored(open_.join(best.select("point_id", group), ["point_id", group], "left_anti"), "open")
-        if open_.isEmpty():
-            break
-    return found
+def event_spatial_features(events: DataFrame, facilities: DataFrame, polygons: DataFrame, coverage: DataFrame, available: tuple[str, ...] = ()) -> DataFrame:
+    """The 20 spatial fields of each event (point_id, lat, lon); an event without valid coordinates has all of them null.
 
+    ``facilities``: feature_id, ord, category, lat_r, lon_r. ``polygons``: feature_id, kind (of KINDS), rings, facility_type (null if it isn't said), landcover
+    (whether it is a cell of a land-cover map instead of a facility's footprint). ``coverage``: kind, rings: where a kind was surveyed. ``available``: layers that
+    exist though nothing is in them.
 
-def cover(points: DataFrame, polygons: DataFrame, group: str, km: float = 1.0) -> DataFrame:
-    """(point_id, group, inside, fraction): whether a polygon of the group covers the point, and the share of the circle of ``km``
-    around it that their union covers, by SAMPLES places. Groups without a polygon nearby have no row."""
-    shapes = stored(bounded(polygons), "polygons")
-    widest = shapes.agg(F.max("extent_km")).first()[0] or 0.0
-    k = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    around = F.transform(
-        k,
-        lambda i: F.struct(
-            (F.col("lat") + F.sqrt((i + 0.5) / SAMPLES) * km / KM_A_DEGREE * F.sin(i * GOLDEN)).alias("lat"),
-            (F.col("lon") + F.sqrt((i + 0.5) / SAMPLES) * km / KM_A_DEGREE * F.cos(i * GOLDEN) / F.cos(F.radians("lat"))).alias("lon"),
-        ),
-    )
-    near = radius_join(points, shapes, km + widest, km + widest)
-    # the places that any polygon of the group covers, united: an overlap counts once
-    hit = F.transform(F.filter(F.transform(around, lambda p, i: F.struct(i.alias("i"), polygon_covers(p["lon"], p["lat"], F.col("rings")).alias("on"))), lambda x: x["on"]), lambda x: x["i"])
-    rows = near.select("point_id", group, polygon_covers("lon", "lat", "rings").alias("inside"), F.explode_outer(hit).alias("i"))
-    return rows.groupBy("point_id", group).agg(F.bool_or("inside").alias("inside"), (F.count_distinct("i") / F.lit(float(SAMPLES))).alias("fraction"))
-
-
-def event_spatial_features(events: DataFrame, facilities: DataFrame, polygons: DataFrame, coverage: DataFrame) -> DataFrame:
-    """The 20 spatial fields of each event (point_id, lat, lon).
-
-    ``facilities``: feature_id, ord, category, lat_r, lon_r. ``polygons``: feature_id, kind, rings. ``coverage``: kind, south, north, west,
-    east, boxes within which a kind was surveyed (a fixed handful): only there does the absence of a polygon mean "outside" or a
-    fraction; elsewhere these fields are null.
+    Distances to places and to the nearest polygon of a kind have three decimals; a footprint of a category counts if it is nearer than that. Ids are compared
+    as text. Counts are null without any layer of facilities. Only where a kind was surveyed does the absence of a polygon mean "outside", and only where the
+    whole circle was is there a fraction; elsewhere these fields are null.
     """
-    near = nearest(events, facilities, "category")
-    industrial = F.col("category").isin(*INDUSTRIAL)
-    fields = {"refinery": "dist_refinery_km", "factory": "dist_factory_km", "power_plant": "dist_powerplant_km", "mine": "dist_mine_km", "settlement": "dist_settlement_km"}
-    best = F.min(F.when(industrial, F.struct("distance_km", "feature_id", "category")))
-    by_point = near.groupBy("point_id").agg(*[F.min(F.when(F.col("category") == c, F.col("distance_km"))).alias(name) for c, name in fields.items()], best.alias("m"))
-    by_point = by_point.select(
-        "point_id", *fields.values(), F.col("m.distance_km").alias("dist_nearest_industrial_km"), F.col("m.feature_id").cast("string").alias("nearest_facility_id"), F.col("m.category").alias("nearest_facility_type")
-    )
-    close = radius_join(events, facilities.filter(industrial), RADII[-1][0], RADII[-1][0])
-    counts = close.groupBy("point_id").agg(*[F.count_distinct(F.when(F.col("distance_km") <= km, F.col("feature_id"))).alias(f"industrial_count_{name}") for km, name in RADII])
-    to_polygon = nearest_polygon(events, polygons, "kind").groupBy("point_id").agg(*[F.min(F.when(F.col("kind") == kind, F.col("distance_km"))).alias(f"dist_{kind}_km") for kind in ("forest", "agriculture")])
-    kinds = (("forest", "inside_forest"), ("agriculture", "inside_agriculture"), ("urban", "inside_urban"), ("industrial", "inside_industrial_polygon"))
-    covered = cover(events, polygons, "kind")
-    here = covered.groupBy("point_id").agg(
-        *[F.bool_or(F.when(F.col("kind") == kind, F.col("inside"))).alias(f"_in_{kind}") for kind, _ in kinds], *[F.max(F.when(F.col("kind") == kind, F.col("fraction"))).alias(f"_part_{kind}") for kind, _ in kinds]
-    )
-    pad_lat, pad_lon = F.lit(1.0 / KM_A_DEGREE), F.lit(1.0 / KM_A_DEGREE) / F.cos(F.radians("lat"))
-    point_in = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    circle_in = F.col("lat").between(F.col("south") + pad_lat, F.col("north") - pad_lat) & F.col("lon").between(F.col("west") + pad_lon, F.col("east") - pad_lon)
-    surveyed = (
-        events.join(F.broadcast(coverage), point_in)
-        .groupBy("point_id")
-        .agg(*[F.bool_or(F.col("kind") == kind).alias(f"_seen_{kind}") for kind, _ in kinds], *[F.bool_or((F.col("kind") == kind) & circle_in).alias(f"_whole_{kind}") for kind, _ in kinds])
+    facilities = facilities.withColumn("feature_id", F.col("feature_id").cast("string"))
+    polygons = polygons.filter(F.col("kind").isin(*KINDS)).select(F.col("feature_id").cast("string").alias("feature_id"), "kind", "rings", "facility_type", "landcover")
+    polygons = stored(polygons, "polygons")
+    footprint = (F.col("kind") == "industrial") & ~F.coalesce("landcover", F.lit(False))
+    layers = {r[0] for r in facilities.select("category").distinct().filter(F.col("category").isin(*INDUSTRIAL)).collect()}
+    layers |= {r[0] for r in polygons.select("kind").distinct().collect()} | set(available)
+    has_footprints = not polygons.filter(footprint).isEmpty()
+    kind = F.coalesce(F.when(footprint, F.coalesce("facility_type", F.lit("industrial_area"))), F.lit(""))
+    named = polygons.select("feature_id", "rings", F.explode(F.array_compact(F.array(F.concat(F.lit("kind:"), "kind"), F.when(footprint, F.concat(F.lit("type:"), kind))))).alias("named"))
+    to_polygon = shapes.nearest_polygon(events, named, "named")
+    to_place = nearest(events, facilities, "category").select("point_id", F.col("category").alias("what"), F.round("distance_km", 3).alias("km"), "feature_id")
+    to_footprint = to_polygon.filter("named like 'type:%'").select("point_id", F.substring("named", 6, 99).alias("what"), F.col("distance_km").alias("km"), "feature_id")
+    reached = to_place.unionByName(to_footprint)
+    fields = {"refinery": "dist_refinery_km", "factory": "dist_factory_km", "power_plant": "dist_powerplant_km", "mine": "dist_mine_km"}
+    by_kind = lambda f, c: F.min(F.when(F.col("what").isin(*f), c))
+    facts = reached.groupBy("point_id").agg(
+        *[by_kind([c], F.col("km")).alias(name) for c, name in fields.items()],
+        by_kind(["settlement"], F.col("km")).alias("dist_settlement_km"),
+        by_kind(INDUSTRIAL, F.struct("km", "feature_id", "what")).alias("m"),
     )
-    rows = events.select("point_id").join(by_point, "point_id", "left").join(counts, "point_id", "left").join(to_polygon, "point_id", "left").join(here, "point_id", "left").join(surveyed, "point_id", "left")
-    inside = [F.when(F.col(f"_in_{kind}"), True).when(F.col(f"_seen_{kind}"), False).alias(name) for kind, name in kinds]
-    part = [F.when(F.col(f"_whole_{kind}"), F.coalesce(f"_part_{kind}", F.lit(0.0))).alias(f"{kind}_fraction_1km") for kind in ("forest", "agriculture", "industrial")]
-    return rows.fillna(0, [f"industrial_count_{name}" for _, name in RADII]).select(*by_point.columns, *[f"industrial_count_{name}" for _, name in RADII], "dist_forest_km", "dist_agriculture_km", *inside, *part)
+    outlines = to_polygon.filter("named like 'kind:%'").select("point_id", F.substring("named", 6, 99).alias("what"), F.round("distance_km", 3).alias("km"))
+    outlines = outlines.groupBy("point_id").agg(*[by_kind([c], F.col("km")).alias(f"_to_{c}") for c in FRACTIONS])
+    points = radius_join(events, facilities.filter(F.col("category").isin(*INDUSTRIAL)), RADII[-1][0], RADII[-1][0]).select("point_id", "feature_id", "distance_km")
+    near = points.unionByName(shapes.polygons_within(events, polygons.filter(footprint), RADII[-1][0]))
+    counts = near.groupBy("point_id").agg(*[F.count_distinct(F.when(F.col("distance_km") <= km, F.col("feature_id"))).alias(f"_within_{name}") for km, name in RADII])
+    pivot = lambda value, name, kinds: [F.max(F.when(F.col("kind") == k, F.col(value))).alias(f"{name}_{k}") for k in kinds]
+    covered = shapes.cover(events, polygons.select("kind", "rings"), "kind").groupBy("point_id").agg(*pivot("inside", "_in", KINDS), *pivot("fraction", "_part", FRACTIONS))
+    surveyed = shapes.cover(events, coverage.filter(F.col("kind").isin(*KINDS)).select("kind", "rings"), "kind").groupBy("point_id").agg(*pivot("inside", "_seen", KINDS), *pivot("fraction", "_whole", FRACTIONS))
+    rows = events.select("point_id", valid_coordinates("lat", "lon").alias("_placed"))
+    for part in (facts, outlines, counts, covered, surveyed):
+        rows = rows.join(part, "point_id", "left")
+    counted = bool(layers & set(INDUSTRIAL)) or has_footprints
+    within = [F.when(F.col("_placed") & F.lit(counted), F.coalesce(f"_within_{name}", F.lit(0).cast("long"))).alias(f"industrial_count_{name}") for _, name in RADII]
+    inside = [F.when(F.lit(k in layers), F.when(F.col(f"_in_{k}"), True).when(F.col(f"_seen_{k}"), False)).alias(name) for k, name in KINDS.items()]
+    part = [F.when(F.col(f"_whole_{k}") >= 1 - 1e-9, F.coalesce(f"_part_{k}", F.lit(0.0))).alias(f"{k}_fraction_1km") for k in FRACTIONS]
+    return rows.select(
+        "point_id", F.least("m.km", "_to_industrial").alias("dist_nearest_industrial_km"), *fields.values(), "dist_settlement_km", F.col("m.feature_id").alias("nearest_facility_id"), F.col("m.what").alias("nearest_facility_type"),
+        *within, F.col("_to_forest").alias("dist_forest_km"), F.col("_to_agriculture").alias("dist_agriculture_km"), *inside, *part,
+    )

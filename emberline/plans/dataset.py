@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions.temporal import patterns
 from emberline.operators import dataset, spatial, training
 from emberline.operators import events as ops
+from emberline.operators.radius import KM_A_DEGREE
 from emberline.plans.events import _GROUPS, _HIST, event_tables, on_events, splittable
 from emberline.plans.model import BOX_SQL, FAC_SQL, sql_km
 from emberline.plans.records import latest_annotations
@@ -16,19 +17,7 @@ from emberline.plans.workflow import _LABEL
 from emberline.session import scratch_path
 from emberline.sources import fixtures
 
-K = repr(spatial.KM_A_DEGREE)
-
-
-def land_polygons(spark) -> DataFrame:
-    """The land-cover boxes as polygons: (feature_id, kind, rings)."""
-    corner = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    ring = F.array(*[corner(*c) for c in (("south", "west"), ("south", "east"), ("north", "east"), ("north", "west"), ("south", "west"))])
-    return fixtures.land_cover(spark).select(F.col("box_id").alias("feature_id"), "kind", F.array(ring).alias("rings"))
-
-
-def surveyed(spark) -> DataFrame:
-    """Where each kind of land cover was surveyed: a degree around each of its boxes."""
-    return fixtures.land_cover(spark).select("kind", *[(F.col(c) + by).alias(c) for c, by in (("south", -1), ("north", 1), ("west", -1), ("east", 1))])
+K = repr(KM_A_DEGREE)
 
 
 def spatial_fields(spark, d) -> DataFrame:
@@ -39,35 +28,69 @@ def spatial_fields(spark, d) -> DataFrame:
 def _spatial_fields(spark, d) -> DataFrame:
     events = event_tables(spark, d)[1].select(F.col("component").alias("point_id"), "lat", "lon")
     facilities = fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id")
-    return spatial.event_spatial_features(events, facilities, land_polygons(spark), surveyed(spark)).withColumnRenamed("point_id", "component")
+    return spatial.event_spatial_features(events, facilities, fixtures.land_polygons(spark, d), fixtures.surveyed(spark)).withColumnRenamed("point_id", "component")
 
 
+#: What lies around: all polygons as boxes, and the regions that were surveyed.
+_AREAS = f"""area AS (SELECT (box_id + 1000000000)::VARCHAR AS fid, kind, NULL AS ftype, true AS landcover, south, north, west, east FROM box
+  UNION ALL SELECT facility_id::VARCHAR, 'industrial', category, false, lat_r - 1e-2, lat_r + 1e-2, lon_r - 1e-2, lon_r + 1e-2 FROM fac WHERE facility_id % 3 = 0 AND category <> 'settlement'
+  UNION ALL SELECT (facility_id + 2000000000)::VARCHAR, 'industrial', NULL, true, lat_r + 7e-2, lat_r + 13e-2, lon_r + 7e-2, lon_r + 13e-2 FROM fac WHERE facility_id % 11 = 5),
+survey AS (SELECT kind, south - 1 AS south, north + 1 AS north, west - 1 AS west, east + 1 AS east FROM box UNION ALL SELECT 'industrial', 10e0, 28e0, 70e0, 92e0)"""
 _IN = "c_lat BETWEEN south AND north AND c_lon BETWEEN west AND east"
 _PLANE = f"sqrt(pow(greatest(south - c_lat, 0, c_lat - north) * {K}, 2) + pow(greatest(west - c_lon, 0, c_lon - east) * cos(radians(c_lat)) * {K}, 2))"
-_SPATIAL = f"""{FAC_SQL}, {BOX_SQL}, fkm AS (SELECT component, facility_id, category, {sql_km('c_lat', 'c_lon', 'lat_r', 'lon_r')} AS km FROM ev, fac),
-fnear AS (SELECT component, {', '.join(f"min(km) FILTER (WHERE category = '{c}') AS dist_{n}_km" for c, n in (('refinery', 'refinery'), ('factory', 'factory'), ('power_plant', 'powerplant'), ('mine', 'mine'), ('settlement', 'settlement')))},
-  min(km) FILTER (WHERE category <> 'settlement') AS dist_nearest_industrial_km, arg_min(facility_id, (km, facility_id)) FILTER (WHERE category <> 'settlement')::VARCHAR AS nearest_facility_id,
-  {', '.join(f"count(*) FILTER (WHERE category <> 'settlement' AND km <= {r}) AS industrial_count_{n}" for r, n in spatial.RADII)} FROM fkm GROUP BY component),
-bnear AS (SELECT component, min({_PLANE}) FILTER (WHERE kind = 'forest') AS dist_forest_km, min({_PLANE}) FILTER (WHERE kind = 'agriculture') AS dist_agriculture_km,
-  {', '.join(f"CASE WHEN bool_or({_IN} AND kind = '{k}') THEN true WHEN bool_or(c_lat BETWEEN south - 1 AND north + 1 AND c_lon BETWEEN west - 1 AND east + 1 AND kind = '{k}') THEN false END AS inside_{k}" for k in ('forest', 'agriculture', 'urban'))},
-  {', '.join(f"bool_or(c_lat BETWEEN south - 1 + 1 / {K} AND north + 1 - 1 / {K} AND c_lon BETWEEN west - 1 + 1 / {K} / cos(radians(c_lat)) AND east + 1 - 1 / {K} / cos(radians(c_lat)) AND kind = '{k}') AS whole_{k}" for k in ('forest', 'agriculture'))} FROM ev, box GROUP BY component),
-spots AS (SELECT component, i, c_lat + sqrt((i + 0.5e0) / 256) / {K} * sin(i * {spatial.GOLDEN!r}) AS y, c_lon + sqrt((i + 0.5e0) / 256) / {K} * cos(i * {spatial.GOLDEN!r}) / cos(radians(c_lat)) AS x FROM ev, range(256) t(i)),
-part AS (SELECT component, {', '.join(f"count(DISTINCT i) FILTER (WHERE kind = '{k}') / 256e0 AS part_{k}" for k in ('forest', 'agriculture'))} FROM spots JOIN box ON y BETWEEN south AND north AND x BETWEEN west AND east GROUP BY component)"""
-_DIST = ("dist_nearest_industrial_km", "dist_refinery_km", "dist_factory_km", "dist_powerplant_km", "dist_mine_km", "dist_settlement_km", "dist_forest_km", "dist_agriculture_km")
-_FIELDS = ", ".join([*[f"round({c}, 6) AS {c}" for c in _DIST], "nearest_facility_id", *[f"industrial_count_{n}" for _, n in spatial.RADII], "inside_forest", "inside_agriculture", "inside_urban"])
-
-
-@query("geo_08_spatial", on_events(f"SELECT event_id, {_FIELDS} FROM ev JOIN fnear USING (component) JOIN bnear USING (component)", _SPATIAL))
+
+
+def sql_share(boxes: str, name: str) -> str:
+    """CTEs up to ``name`` (component, kind, share): how much of the circle of 256 corners and one kilometre around (c_lat, c_lon) of ``ev`` the boxes of a
+    relation (kind, south, north, west, east) cover together, by upright slabs between all corners and crossings."""
+    return f"""{name}_n AS (SELECT component, kind, (south - c_lat) * {K} AS y0, (north - c_lat) * {K} AS y1, (west - c_lon) * cos(radians(c_lat)) * {K} AS x0, (east - c_lon) * cos(radians(c_lat)) * {K} AS x1
+  FROM ev JOIN {boxes} ON c_lat BETWEEN south - 2e-2 AND north + 2e-2 AND c_lon BETWEEN west - 4e-2 AND east + 4e-2),
+{name}_b AS (SELECT * FROM {name}_n WHERE x0 < 1 AND x1 > -1 AND y0 < 1 AND y1 > -1),
+{name}_v AS (SELECT i, cos(pi() - i * pi() / 128) AS x, sin(i * pi() / 128) AS y FROM range(129) t(i)),
+{name}_g AS (SELECT a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM {name}_v a JOIN {name}_v b ON b.i = a.i + 1),
+{name}_x AS (SELECT DISTINCT component, kind, x FROM (SELECT component, kind, x FROM (SELECT DISTINCT component, kind FROM {name}_b), {name}_v
+  UNION ALL SELECT component, kind, greatest(-1e0, least(1e0, unnest([x0, x1]))) FROM {name}_b
+  UNION ALL SELECT component, kind, xa + (h - ya) / (yb - ya) * (xb - xa) FROM (SELECT component, kind, abs(unnest([y0, y1])) AS h FROM {name}_b) JOIN {name}_g ON ya <> yb AND (ya - h) * (yb - h) <= 0)),
+{name}_s AS (SELECT component, kind, x, lead(x) OVER (PARTITION BY component, kind ORDER BY x) AS nx FROM {name}_x),
+{name}_m AS (SELECT s.*, (x + nx) / 2 AS m, ya + ((x + nx) / 2 - xa) / (xb - xa) * (yb - ya) AS h FROM {name}_s s JOIN {name}_g ON (x + nx) / 2 >= xa AND (x + nx) / 2 < xb WHERE nx > x),
+{name}_i AS (SELECT m.component, m.kind, x, nx, greatest(y0, -h) AS lo, least(y1, h) AS hi FROM {name}_m m JOIN {name}_b b ON b.component = m.component AND b.kind = m.kind AND x0 <= m AND m <= x1 WHERE greatest(y0, -h) < least(y1, h)),
+{name}_u AS (SELECT *, max(hi) OVER (PARTITION BY component, kind, x ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {name}_i),
+{name} AS (SELECT component, kind, least(1e0, sum((nx - x) * greatest(0e0, hi - greatest(lo, coalesce(before, lo)))) / (128 * sin(pi() / 128))) AS share FROM {name}_u GROUP BY component, kind)"""
+
+
+_ON = {"forest": "inside_forest", "agriculture": "inside_agriculture", "urban": "inside_urban", "industrial": "inside_industrial_polygon"}
+_SPATIAL = f"""{FAC_SQL}, {BOX_SQL}, {_AREAS},
+fkm AS (SELECT component, facility_id::VARCHAR AS fid, category, {sql_km('c_lat', 'c_lon', 'lat_r', 'lon_r')} AS exact FROM ev, fac),
+akm AS (SELECT component, fid, kind, ftype, landcover, {_PLANE} AS exact, {_IN} AS inside FROM ev, area),
+reached AS (SELECT component, category AS what, fid, round(exact, 3) AS km FROM fkm UNION ALL SELECT component, ftype, fid, exact FROM akm WHERE NOT landcover),
+within AS (SELECT component, fid, exact FROM fkm WHERE category <> 'settlement' UNION ALL SELECT component, fid, exact FROM akm WHERE NOT landcover),
+fnear AS (SELECT component, {', '.join(f"min(km) FILTER (WHERE what = '{c}') AS dist_{n}_km" for c, n in (('refinery', 'refinery'), ('factory', 'factory'), ('power_plant', 'powerplant'), ('mine', 'mine'), ('settlement', 'settlement')))},
+  min({{'k': km, 'f': fid, 'w': what}}) FILTER (WHERE what <> 'settlement') AS best FROM reached GROUP BY component),
+fcount AS (SELECT component, {', '.join(f"count(DISTINCT fid) FILTER (WHERE exact <= {r}) AS industrial_count_{n}" for r, n in spatial.RADII)} FROM within GROUP BY component),
+seen AS (SELECT component, {', '.join(f"coalesce(bool_or({_IN} AND kind = '{k}'), false) AS seen_{k}" for k in _ON)} FROM ev, survey GROUP BY component),
+bnear AS (SELECT component, {', '.join(f"round(min(exact) FILTER (WHERE kind = '{k}'), 3) AS to_{k}" for k in ('forest', 'agriculture', 'industrial'))},
+  {', '.join(f"CASE WHEN bool_or(inside AND kind = '{k}') THEN true WHEN any_value(seen_{k}) THEN false END AS {n}" for k, n in _ON.items())} FROM akm JOIN seen USING (component) GROUP BY component),
+{sql_share('area', 'part')}, {sql_share('survey', 'whole')},
+fields AS (SELECT component, best.f AS nearest_facility_id, best.w AS nearest_facility_type, least(best.k, to_industrial) AS dist_nearest_industrial_km, to_forest AS dist_forest_km, to_agriculture AS dist_agriculture_km,
+  fnear.* EXCLUDE (component, best), fcount.* EXCLUDE (component), {', '.join(_ON.values())},
+  {', '.join(f"CASE WHEN (SELECT share FROM whole w WHERE w.component = fnear.component AND w.kind = '{k}') >= 1 - 1e-9 THEN coalesce((SELECT share FROM part p WHERE p.component = fnear.component AND p.kind = '{k}'), 0) END AS {k}_fraction_1km" for k in spatial.FRACTIONS)}
+  FROM fnear JOIN fcount USING (component) JOIN bnear USING (component))"""
+_SIX = {"dist_nearest_industrial_km", "dist_refinery_km", "dist_factory_km", "dist_powerplant_km", "dist_mine_km", "dist_settlement_km", "dist_forest_km", "dist_agriculture_km", *[f"{k}_fraction_1km" for k in spatial.FRACTIONS]}
+_FIELDS = ", ".join(f"round({c}, 6) AS {c}" if c in _SIX else c for c in dataset.SPATIAL)
+
+
+@query("geo_08_spatial", on_events(f"SELECT event_id, {_FIELDS} FROM ev JOIN fields USING (component)", _SPATIAL))
 def geo_08(spark, d):
+    """All 20 fields: distances, counts, the nearest facility, and what covers the event and its surroundings."""
     rows = spatial_fields(spark, d).join(event_tables(spark, d)[1].select("component", "event_id"), "component")
-    return rows.select("event_id", *[F.round(c, 6).alias(c) for c in _DIST], "nearest_facility_id", *[f"industrial_count_{n}" for _, n in spatial.RADII], "inside_forest", "inside_agriculture", "inside_urban")
+    return rows.select("event_id", *[F.round(c, 6).alias(c) if c in _SIX else F.col(c) for c in dataset.SPATIAL])
 
 
-@query("geo_09_fractions", on_events("SELECT event_id, CASE WHEN whole_forest THEN coalesce(part_forest, 0) END AS forest_fraction_1km, CASE WHEN whole_agriculture THEN coalesce(part_agriculture, 0) END AS agriculture_fraction_1km FROM ev JOIN bnear USING (component) LEFT JOIN part USING (component)", _SPATIAL))
+@query("geo_09_fractions", on_events("SELECT event_id, round(forest_fraction_1km, 9) AS forest_fraction_1km, round(agriculture_fraction_1km, 9) AS agriculture_fraction_1km, round(industrial_fraction_1km, 9) AS industrial_fraction_1km FROM ev JOIN fields USING (component)", _SPATIAL))
 def geo_09(spark, d):
     """Share of the kilometre around an event that a kind of land cover takes; overlapping polygons count once."""
     rows = spatial_fields(spark, d).join(event_tables(spark, d)[1].select("component", "event_id"), "component")
-    return rows.select("event_id", "forest_fraction_1km", "agriculture_fraction_1km")
+    return rows.select("event_id", *[F.round(f"{k}_fraction_1km", 9).alias(f"{k}_fraction_1km") for k in spatial.FRACTIONS])
 
 
 def event_table(spark, d) -> DataFrame:
@@ -96,7 +119,7 @@ def described(spark, d) -> DataFrame:
     )
 
 
-@query("prj_10_typed", on_events("SELECT event_id, round(c_lat, 6) AS centroid_latitude, make_timestamp(start_us) AS start_time, detection_count, industrial_count_5km, round(dist_forest_km, 6) AS dist_forest_km, inside_forest, coalesce(detections_90d, 0) AS detections_90d, 'thermal-events-v1' AS schema_version, NULL::VARCHAR AS instrument FROM ev JOIN fnear USING (component) JOIN bnear USING (component) LEFT JOIN hist USING (component)", f"{_SPATIAL}, {_HIST}"))
+@query("prj_10_typed", on_events("SELECT event_id, round(c_lat, 6) AS centroid_latitude, make_timestamp(start_us) AS start_time, detection_count, industrial_count_5km, round(dist_forest_km, 6) AS dist_forest_km, inside_forest, coalesce(detections_90d, 0) AS detections_90d, 'thermal-events-v1' AS schema_version, NULL::VARCHAR AS instrument FROM ev JOIN fields USING (component) LEFT JOIN hist USING (component)", f"{_SPATIAL}, {_HIST}"))
 def prj_10(spark, d):
     """Ten of the 69 columns as the typed table has them."""
     rows = event_table(spark, d)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions import scoring
 from emberline.operators import events as ops
-from emberline.operators import series
+from emberline.operators import polygons, series
+from emberline.operators.nearness import nearest
 from emberline.operators.radius import radius_join
 from emberline.plans.model import BOX_SQL, DET_SQL, FAC_SQL, HOT_SQL, on_scored, sql_km
 from emberline.plans.registry import query, remembered, scored
@@ -289,8 +290,6 @@ def srt_05(spark, d):
 @query("join_13_knn", f"""WITH {DET_SQL}, {FAC_SQL}, {HOT_SQL}, km AS (SELECT site_id, category, facility_id, {sql_km('lat', 'lon', 'lat_r', 'lon_r')} AS km FROM hot, fac)
 SELECT site_id, category, round(min(km), 3) AS distance_km, arg_min(facility_id, (km, facility_id)) AS facility_id FROM km GROUP BY site_id, category""")
 def join_13(spark, d):
-    from emberline.operators.radius import nearest
-
     hot = fixtures.hotspots(spark, d).select(F.col("site_id").alias("point_id"), "lat", "lon")
     near = nearest(hot, fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id"), "category")
     return near.select(F.col("point_id").alias("site_id"), "category", F.round("distance_km", 3).alias("distance_km"), F.col("feature_id").alias("facility_id"))
@@ -310,12 +309,9 @@ def geo_06(spark, d):
 
 @query("join_14_point_in_polygon", f"WITH {DET_SQL}, {BOX_SQL} SELECT det_id, box_id, kind FROM det JOIN box ON lat BETWEEN south AND north AND lon BETWEEN west AND east")
 def join_14(spark, d):
-    """Every land-cover polygon that covers a detection: cells of a degree find candidates, the rings decide."""
-    from emberline.functions.geo import polygon_covers
-
+    """Every land-cover polygon that covers a detection, through the index of polygons."""
+    boxes = fixtures.land_cover(spark)
     corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     ring = F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south"))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a).cast("long"), F.floor(b).cast("long")))
-    polygons = fixtures.land_cover(spark).withColumn("rings", F.array(ring)).withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
-    det = fixtures.detections(spark, d).select("det_id", "lat", "lon", F.floor("lon").alias("cx"), F.floor("lat").alias("cy"))
-    return det.join(polygons.select("box_id", "kind", "rings", "cx", "cy"), ["cx", "cy"]).filter(polygon_covers("lon", "lat", "rings")).select("det_id", "box_id", "kind")
+    cells = polygons.index(boxes.select("box_id", "kind", F.array(ring).alias("rings")))
+    return polygons.covering(fixtures.detections(spark, d).select("det_id", "lat", "lon"), cells).select("det_id", "box_id", "kind")

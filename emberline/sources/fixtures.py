@@ -74,6 +74,35 @@ def land_cover(spark: SparkSession) -> DataFrame:
     return rows.select("box_id", "kind", (F.col("lat0") - 0.05).alias("south"), (F.col("lat0") + 0.05).alias("north"), (F.col("lon0") - 0.05).alias("west"), (F.col("lon0") + 0.05).alias("east"))
 
 
+def _boxes(rows: DataFrame, half: float, shift: float, *keep) -> DataFrame:
+    """(keep..., rings) with a square around (lat_r, lon_r), moved by ``shift`` degrees both ways."""
+    corner = lambda dy, dx: F.struct((F.col("lon_r") + (shift + dx)).alias("lon"), (F.col("lat_r") + (shift + dy)).alias("lat"))
+    ring = F.array(*[corner(dy, dx) for dy, dx in ((-half, -half), (-half, half), (half, half), (half, -half), (-half, -half))])
+    return rows.select(*keep, F.array(ring).alias("rings"))
+
+
+def land_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_id, kind, facility_type, landcover, rings): the land-cover boxes, the footprints of every third industrial facility (under its own id), and
+    cells of industrial land near every eleventh facility."""
+    corner = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    ring = F.array(*[corner(*c) for c in (("south", "west"), ("south", "east"), ("north", "east"), ("north", "west"), ("south", "west"))])
+    none = F.lit(None).cast("string").alias("facility_type")
+    boxes = land_cover(spark).select((F.col("box_id") + 1_000_000_000).alias("feature_id"), "kind", none, F.lit(True).alias("landcover"), F.array(ring).alias("rings"))
+    place, industrial = facilities(spark, sf_dir), F.lit("industrial").alias("kind")
+    prints = _boxes(place.filter("facility_id % 3 = 0 and category <> 'settlement'"), 0.01, 0.0, F.col("facility_id").alias("feature_id"), industrial, F.col("category").alias("facility_type"), F.lit(False).alias("landcover"))
+    cells = _boxes(place.filter("facility_id % 11 = 5"), 0.03, 0.1, (F.col("facility_id") + 2_000_000_000).alias("feature_id"), industrial, none, F.lit(True).alias("landcover"))
+    return boxes.unionByName(prints).unionByName(cells)
+
+
+def surveyed(spark: SparkSession) -> DataFrame:
+    """(kind, rings): where each kind of land cover was surveyed: a degree around each of its boxes, and for industry one region as large as a country."""
+    edges = [(F.col(c) + by).alias(c) for c, by in (("south", -1), ("north", 1), ("west", -1), ("east", 1))]
+    region = spark.range(1).select(F.lit("industrial").alias("kind"), *[F.lit(v).alias(c) for c, v in (("south", 10.0), ("north", 28.0), ("west", 70.0), ("east", 92.0))])
+    corner = lambda lat, lon: F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    ring = F.array(*[corner(*c) for c in (("south", "west"), ("south", "east"), ("north", "east"), ("north", "west"), ("south", "west"))])
+    return land_cover(spark).select("kind", *edges).unionByName(region).select("kind", F.array(ring).alias("rings"))
+
+
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest detection of each site that has brightness and FRP; ``n_history`` counts the site's detections before it."""
     det = detections(spark, sf_dir)

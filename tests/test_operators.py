@@ -5,7 +5,8 @@ import random
 import pytest
 from emberline.operators import clean, events
 from emberline.operators.graph import components
-from emberline.operators.radius import nearest, radius_join
+from emberline.operators.nearness import nearest
+from emberline.operators.radius import radius_join
 from emberline.streaming.ratelimit import limited_batch
 from math import asin, cos, radians, sin, sqrt
 

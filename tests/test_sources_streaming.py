@@ -6,7 +6,7 @@ import random
 import pytest
 from emberline.operators import clean
 from emberline.operators.series import sums_before
-from emberline.operators.spatial import cover, nearest_polygon
+from emberline.operators.polygons import cover, nearest_polygon
 from emberline.sources.files import inline, observations
 from emberline.sources.reference import geojson_points, layer, overpass_features, reference_bundle
 from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, take, windowed_counts
@@ -145,9 +145,10 @@ def test_polygons_and_cover(spark):
     near = {r.point_id: r.distance_km for r in nearest_polygon(points, only, "kind").collect()}
     assert near[2] == 0 and abs(near[1] - 0.1 * 111.195 * math.cos(math.radians(10.5))) < 0.05 and abs(near[4] - 0.5 * 111.195 * math.cos(math.radians(10.5))) < 0.05
     found = {r.point_id: (r.inside, r.fraction) for r in cover(points, only, "kind").collect()}
-    assert found[2] == (True, 1.0) and found[1] == (False, 0.0) and found[3][0] is False and 0.4 < found[3][1] < 0.5
+    assert found[2] == (True, pytest.approx(1)) and 1 not in found  # nothing within a kilometre
+    assert found[3][0] is False and 0.4 < found[3][1] < 0.5
     both = {r.point_id: (r.inside, r.fraction) for r in cover(points, shapes.filter("kind = 'forest'"), "kind").collect()}
-    assert both[2] == (True, 1.0) and both[1] == (True, 1.0)
+    assert both[2] == (True, pytest.approx(1)) and both[1] == (True, pytest.approx(1))
 
 
 def test_stream_ends_as_the_batch(spark, tmp_path):
