@@ -9,6 +9,7 @@ from emberline.functions import scoring
 from emberline.functions.geo import box_distance_km, in_box
 from emberline.functions.temporal import patterns
 from emberline.operators.nearness import nearest
+from emberline.operators.numbering import numbered
 from emberline.sources.fixtures import INDUSTRIAL
 
 #: Categories whose distance is a feature of its own.
@@ -76,9 +77,8 @@ def due_alerts(rows: DataFrame, least_risk: float = 80.0, least_confidence: floa
     """Alerts that hotspots call for, numbered after the ``held`` ones there are, by default in the order of site_id."""
     kinds = F.col("classification").isin("Industrial Fire", "Gas Flare")
     due = rows.filter((F.col("risk") >= least_risk) | (kinds & (F.col("class_confidence") >= least_confidence)))
-    number = F.row_number().over(Window.orderBy(*order)) + held  # over alerts only
-    return due.select(
-        F.format_string("AL-%04d", number).alias("code"),
+    return numbered(due, [F.col(c) for c in order]).select(
+        F.format_string("AL-%04d", F.col("number") + held).alias("code"),
         "site_id",
         F.when(kinds, "industrial_fire").otherwise("risk").alias("kind"),
         F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), F.col("risk_level")).otherwise("MODERATE").alias("severity"),

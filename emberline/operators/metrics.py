@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.numbering import running
+
 
 def class_scores(rows: DataFrame) -> DataFrame:
     """(label, precision, recall, f1) from (label, predicted), for each label that occurs."""
@@ -24,13 +26,26 @@ def reliability(rows: DataFrame) -> DataFrame:
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 5).alias("mean_probability"), F.round(F.avg(right), 5).alias("right_share"))
 
 
-def roc(rows: DataFrame) -> DataFrame:
-    """(threshold, tpr, fpr) from (probability, positive): the window runs over distinct probabilities only."""
-    counts = rows.groupBy("probability").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    down = Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rate = lambda c: F.round(F.sum(c).over(down) / F.sum(c).over(whole), 6)
-    return counts.select(F.round("probability", 6).alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+def curve(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., probability, pos, n, tp, said, p, all) from (by..., probability, positive): for each distinct probability how many rows have it and how many have it
+    or more, and the totals. The running sums go over ranges of probabilities."""
+    by = list(by)
+    counts = rows.groupBy(*by, "probability").agg(F.count_if("positive").alias("pos"), F.count("*").alias("n"))
+    steps = running(counts, [F.desc("probability")], {"tp": F.col("pos"), "said": F.col("n")}, by)
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    return steps.join(totals, by) if by else steps.crossJoin(F.broadcast(totals))  # one row
+
+
+def roc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., threshold, tpr, fpr) from (by..., probability, positive)."""
+    c = F.col
+    return curve(rows, by).select(*by, F.round("probability", 6).alias("threshold"), F.round(F.try_divide("tp", "p"), 6).alias("tpr"), F.round(F.try_divide(c("said") - c("tp"), c("all") - c("p")), 6).alias("fpr"))
+
+
+def precision_recall(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., threshold, precision, recall) from (by..., probability, positive)."""
+    c = F.col
+    return curve(rows, by).select(*by, F.round("probability", 6).alias("threshold"), F.round(c("tp") / c("said"), 6).alias("precision"), F.round(F.try_divide("tp", "p"), 6).alias("recall"))
 
 
 def probability_scores(rows: DataFrame, classes: int) -> DataFrame:
@@ -44,14 +59,26 @@ def probability_scores(rows: DataFrame, classes: int) -> DataFrame:
     )
 
 
-def average_precision(rows: DataFrame) -> DataFrame:
-    """(average_precision, roc_auc) from (probability, positive); equal probabilities are one step of either curve."""
-    counts = rows.groupBy("probability").agg(F.count_if("positive").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumns({"tp": F.sum("pos").over(down), "said": F.sum("n").over(down)})
-    totals = counts.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
-    both = steps.crossJoin(F.broadcast(totals))  # one row
-    return both.agg(
-        F.round(F.sum((F.col("pos") / F.col("p")) * (F.col("tp") / F.col("said"))), 6).alias("average_precision"),
-        F.round(F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)) / F.max(F.col("p") * (F.col("all") - F.col("p"))), 6).alias("roc_auc"),
+def average_precision(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by..., average_precision, roc_auc) from (by..., probability, positive); equal probabilities are one step of either curve. Null where all rows are of one side."""
+    c = F.col
+    both = curve(rows, by)
+    return both.groupBy(*by).agg(
+        F.round(F.sum(F.try_divide("pos", "p") * (c("tp") / c("said"))), 6).alias("average_precision"),
+        F.round(F.try_divide(F.sum((c("n") - c("pos")) * (c("tp") - c("pos") / 2)), F.max(c("p") * (c("all") - c("p")))), 6).alias("roc_auc"),
     )
+
+
+def each_class(rows: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """(class, probability, positive) for each class of each row of (label, predicted, probability): what a prediction leaves is shared by the other classes."""
+    named = rows.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
+    given = F.when(F.col("class") == F.col("predicted"), F.col("probability")).otherwise((1 - F.col("probability")) / (len(classes) - 1))
+    return named.select("class", given.alias("probability"), (F.col("label") == F.col("class")).alias("positive"))
+
+
+def class_summary(rows: DataFrame) -> DataFrame:
+    """(class, n, positives, available, brier, average_precision, roc_auc) from (class, probability, positive): a class without rows of both sides has no figures."""
+    facts = rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("positive").alias("positives"), F.avg(F.pow(F.col("probability") - F.col("positive").cast("int"), F.lit(2.0))).alias("brier"))
+    facts = facts.withColumn("available", (F.col("positives") > 0) & (F.col("positives") < F.col("n")))
+    joined = facts.join(average_precision(rows, ["class"]), "class")
+    return joined.select("class", "n", "positives", "available", *[F.when(F.col("available"), F.round(c, 6)).alias(c) for c in ("brier", "average_precision", "roc_auc")])

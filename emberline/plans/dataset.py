@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.temporal import patterns
-from emberline.operators import dataset, spatial, training
+from emberline.operators import anomaly, dataset, spatial, training
 from emberline.operators import events as ops
 from emberline.operators.radius import KM_A_DEGREE
 from emberline.plans.events import _GROUPS, _HIST, event_tables, on_events, splittable
@@ -154,8 +154,9 @@ def snk_01(spark, d):
 
 # Training ---------------------------------------------------------------------------------------------------
 
-_SHARE = "('0x' || substr(md5('42|' || grp::VARCHAR), 1, 8))::BIGINT % 10000"
-_SIDES = f"{_GROUPS}, side AS (SELECT component, CASE WHEN {_SHARE} < 6000 THEN 'train' WHEN {_SHARE} < 8000 THEN 'validation' ELSE 'test' END AS split FROM grp)"
+_RANKED = "ranked AS (SELECT grp, row_number() OVER (ORDER BY md5('42|' || grp::VARCHAR), grp) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM grp))"
+_CUT = "least(n - 2, greatest(1, floor(n * 0.6e0)))"
+_SIDES = f"{_GROUPS}, {_RANKED}, side AS (SELECT component, CASE WHEN k <= {_CUT} THEN 'train' WHEN k <= least(n - 1, greatest({_CUT} + 1, floor(n * 0.8e0))) THEN 'validation' ELSE 'test' END AS split FROM grp JOIN ranked USING (grp))"
 
 
 @query("mlx_02_splits", on_events("SELECT event_id, split FROM ev JOIN side USING (component)", _SIDES))
@@ -187,22 +188,33 @@ def labelled(spark, d) -> DataFrame:
 _LABELLED = f"{_SIDES}, {_LABEL}, {_HIST}, tr AS (SELECT * FROM ev JOIN side USING (component) JOIN lab ON lab.event_key = component LEFT JOIN hist USING (component))"
 
 
-@query("mlx_01_features", on_events("SELECT feature, n FROM (SELECT unnest([{feature: 'mean_frp', n: count(mean_frp)}, {feature: 'std_frp', n: count(std_frp)}, {feature: 'historical_std_frp', n: count(hs)}, {feature: 'duration_minutes', n: count(duration_minutes)}], recursive := true) FROM tr WHERE split = 'train') WHERE n > 0", _LABELLED))
+#: Features by their columns in the SQL of events and histories; all others of the 62 that SQL names alike.
+_NAMES = {"historical_mean_frp": "hm", "historical_median_frp": "hmed", "historical_std_frp": "hs", "historical_max_frp": "hx", "historical_mean_brightness": "hb", "mean_detection_interval_hours": "gm", "std_detection_interval_hours": "gs", "spatial_location_variance": "variance"}
+_SQL_FEATURES = {c: c for c in ("duration_minutes", "detection_count", "mean_frp", "max_frp", "min_frp", "std_frp", "mean_brightness", "max_brightness", "spatial_radius_km", *[x for x in dataset.SPATIAL if x in training.FEATURES])} | _NAMES
+_TRAIN = f"{_SIDES}, {_LABEL}, {_HIST}, {_SPATIAL}, tr AS (SELECT * FROM ev JOIN side USING (component) JOIN lab ON lab.event_key = component LEFT JOIN hist USING (component) JOIN fields USING (component))"
+
+
+@query("mlx_01_features", on_events("SELECT feature, n FROM (SELECT unnest([" + ", ".join(f"{{feature: '{c}', n: count({x})}}" for c, x in _SQL_FEATURES.items()) + "], recursive := true) FROM tr WHERE split = 'train') WHERE n > 0", _TRAIN))
 def mlx_01(spark, d):
-    """Four of the features a model may use, with how often they are known in the training split."""
-    found = training.usable_features(labelled(spark, d))
-    return found.filter(F.col("feature").isin("mean_frp", "std_frp", "historical_std_frp", "duration_minutes"))
+    """The features that a model may use and that describe an event, its surroundings and its past, with how often they are known in the training split."""
+    return training.usable_features(labelled(spark, d)).filter(F.col("feature").isin(*_SQL_FEATURES))
+
+
+_SHOWN = ("mean_frp", "max_frp", "std_frp", "mean_brightness", "duration_minutes", "historical_mean_frp", "historical_std_frp", "mean_detection_interval_hours", "dist_nearest_industrial_km", "dist_refinery_km", "industrial_count_5km")
 
 
-_FILLED = "coalesce({0}, (SELECT median({0}) FROM tr WHERE split = 'train'))"
+def _sql_prepared(c: str) -> str:
+    x = _SQL_FEATURES[c]
+    fill = f"coalesce({x}::DOUBLE, (SELECT median({x}::DOUBLE) FROM tr WHERE split = 'train'))"
+    moment = lambda f: f"(SELECT {f}({fill}) FROM tr WHERE split = 'train')"
+    return f"round(({fill} - {moment('avg')}) / {moment('stddev_pop')}, 5) AS {c}, ({x} IS NULL)::INT::DOUBLE AS {c}_missing"
 
 
-@query("mlx_03_prepared", on_events(f"""SELECT event_id, round((f - (SELECT avg({_FILLED.format('mean_frp')}) FROM tr WHERE split = 'train')) / (SELECT stddev_pop({_FILLED.format('mean_frp')}) FROM tr WHERE split = 'train'), 5) AS mean_frp, (missing)::DOUBLE AS mean_frp_missing
-FROM (SELECT event_id, {_FILLED.format('mean_frp')} AS f, (mean_frp IS NULL)::INT AS missing FROM tr)""", _LABELLED))
+@query("mlx_03_prepared", on_events(f"SELECT event_id, {', '.join(map(_sql_prepared, _SHOWN))} FROM tr", _TRAIN))
 def mlx_03(spark, d):
-    """A feature with medians for what is missing, an indicator of that, and scaled, all by the training split."""
-    rows = training.prepared(labelled(spark, d), ["mean_frp"])
-    return rows.select("event_id", F.round("mean_frp", 5).alias("mean_frp"), "mean_frp_missing")
+    """Features of all three kinds with medians for what is missing, an indicator of that, and scaled, all by the training split."""
+    rows = training.prepared(labelled(spark, d), list(_SHOWN))
+    return rows.select("event_id", *[x for c in _SHOWN for x in (F.round(c, 5).alias(c), f"{c}_missing")])
 
 
 @query("mlx_06_readiness", on_events("SELECT split, kind AS label, count(*) AS n, count(*) >= 5 AS enough FROM (SELECT split, CASE WHEN label IN ('Gas Flare', 'Wildfire') THEN label ELSE 'Other' END AS kind FROM tr) GROUP BY split, kind", _LABELLED))
@@ -211,16 +223,47 @@ def mlx_06(spark, d):
     return training.readiness(labelled(spark, d), 5)
 
 
+def selected(spark, d):
+    rows = labelled(spark, d)
+    return training.select_model(rows, sorted(r["feature"] for r in training.usable_features(rows).collect()))
+
+
 @query("mlx_05_selected")
 def mlx_05(spark, d):
-    """Models fitted on the training split, chosen by macro F1 on the validation split, measured once on the test split."""
-    rows = labelled(spark, d)
-    return training.select_model(rows, [r["feature"] for r in training.usable_features(rows).collect()])[0]
+    """Models fitted on the training split, boosted ones among them, chosen by macro F1 on the validation split, measured once on the test split."""
+    return selected(spark, d)[0]
 
 
 @query("mlx_10_importance")
 def mlx_10(spark, d):
-    """How much macro F1 on the validation split falls when a feature's values are dealt anew among its rows."""
+    """How much macro F1 of the selected model on the validation split falls when a feature's values are dealt anew among its rows, for all features."""
+    _, model, split = selected(spark, d)
+    return training.permutation_importance(split, model)
+
+
+def _normal(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(all labelled events, the training split's that reviewers took for normal operation: neither flare nor wildfire)."""
     rows = labelled(spark, d)
-    features = ["mean_frp", "max_brightness", "detections_90d", "dist_nearest_industrial_km"]
-    return training.permutation_importance(rows, features, repeats=2)
+    return rows, rows.filter("split = 'train' and label = 'Other'")
+
+
+@query("mlx_07_isolation")
+def mlx_07(spark, d):
+    """How easily an isolation forest of normal events tells each event of the test split apart, by all usable features."""
+    rows, normal = _normal(spark, d)
+    model = anomaly.isolation_forest(normal, sorted(r["feature"] for r in training.usable_features(normal).collect()))
+    return rows.filter("split = 'test'").select("event_id", model.score().alias("score"))
+
+
+_SPREAD = "(SELECT {0} FROM normal)"
+
+
+@query("mlx_07_distance", on_events(f"""SELECT event_id, round(sqrt((vy * pow(x - mx, 2) - 2 * vxy * (x - mx) * (y - my) + vx * pow(y - my, 2)) / (vx * vy - vxy * vxy)), 5) AS distance
+FROM (SELECT event_id, coalesce(mean_frp, medx) AS x, coalesce(max_brightness, medy) AS y, s.* FROM tr, s WHERE split = 'test')""", f"""{_LABELLED}, normal AS (SELECT * FROM tr WHERE split = 'train' AND label NOT IN ('Gas Flare', 'Wildfire')),
+med AS (SELECT median(mean_frp) AS medx, median(max_brightness) AS medy FROM normal),
+s AS (SELECT any_value(medx) AS medx, any_value(medy) AS medy, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM (SELECT medx, medy, coalesce(mean_frp, medx) AS x, coalesce(max_brightness, medy) AS y FROM normal, med))"""))
+def mlx_07_distance(spark, d):
+    """The Mahalanobis distance of each event of the test split from normal events, by its heat."""
+    rows, normal = _normal(spark, d)
+    model = anomaly.ellipsoid(normal, ["mean_frp", "max_brightness"])
+    return rows.filter("split = 'test'").select("event_id", F.round(model.distance(), 5).alias("distance"))

@@ -305,7 +305,7 @@ def alr_01_lower(spark, d):
 @query("mut_04_codes", on_scored("SELECT site_id, printf('HX-%04d', 1000 + row_number() OVER (ORDER BY acq_us, site_id)) AS code FROM scored WHERE acq_us >= " + str(NOW - 2 * fixtures.DAY_US)))
 def mut_04(spark, d):
     """Codes for new rows, from the number of rows there are: numbered within the batch."""
-    from pyspark.sql import Window
+    from emberline.operators.numbering import numbered
 
-    new = scored(spark, d).filter(F.col("acq_us") >= NOW - 2 * fixtures.DAY_US)
-    return new.select("site_id", F.format_string("HX-%04d", F.row_number().over(Window.orderBy("acq_us", "site_id")) + 1000).alias("code"))
+    new = scored(spark, d).filter(F.col("acq_us") >= NOW - 2 * fixtures.DAY_US).select("site_id", "acq_us")
+    return numbered(new, [F.col("acq_us"), F.col("site_id")]).select("site_id", F.format_string("HX-%04d", F.col("number") + 1000).alias("code"))

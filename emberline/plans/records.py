@@ -272,6 +272,26 @@ def agg_27_roc(spark, d):
     return roc(judged(spark, d).select("probability", (F.col("label") == F.col("predicted")).alias("positive")))
 
 
+_EACH = "k AS (SELECT c AS class, CASE WHEN c = predicted THEN probability ELSE (1 - probability) / 2 END AS probability, label = c AS positive FROM both_, (SELECT unnest(['Gas Flare', 'Wildfire', 'Other']) AS c)), g AS (SELECT class, probability, count(*) FILTER (WHERE positive) AS pos, count(*) AS n FROM k GROUP BY ALL), s AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS said, sum(pos) OVER (PARTITION BY class) AS p, sum(n) OVER (PARTITION BY class) AS total FROM g WINDOW w AS (PARTITION BY class ORDER BY probability DESC))"
+
+
+@query("agg_27_class_curves", f"WITH {_PRED}, {_EACH} SELECT class, round(probability, 6) AS threshold, round(tp / said, 6) AS \"precision\", round(tp / p, 6) AS recall FROM s")
+def agg_27_curves(spark, d):
+    """The precision-recall curve of each class."""
+    from emberline.operators.metrics import each_class, precision_recall
+
+    return precision_recall(each_class(judged(spark, d), ("Gas Flare", "Wildfire", "Other")), ["class"])
+
+
+@query("agg_27_class_summary", f"""WITH {_PRED}, {_EACH}, a AS (SELECT class, round(sum((pos / p) * (tp / said)), 6) AS average_precision, round(sum((n - pos) * (tp - pos / 2)) / max(p * (total - p)), 6) AS roc_auc FROM s GROUP BY class)
+SELECT class, count(*) AS n, count(*) FILTER (WHERE positive) AS positives, true AS available, round(avg(pow(probability - positive::INT, 2)), 6) AS brier, any_value(average_precision) AS average_precision, any_value(roc_auc) AS roc_auc FROM k JOIN a USING (class) GROUP BY class""")
+def agg_27_summary(spark, d):
+    """Brier score, average precision and area under the ROC curve of each class."""
+    from emberline.operators.metrics import class_summary, each_class
+
+    return class_summary(each_class(judged(spark, d), ("Gas Flare", "Wildfire", "Other")))
+
+
 @query("str_06_ratelimit", """WITH RECURSIVE m AS (SELECT o_custkey % 50 AS recipient, o_orderkey AS id, epoch_us(o_orderdate) // 1000000 AS s, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
 f(recipient, k, id, sent, last) AS (SELECT recipient, k, id, true, s FROM m WHERE k = 1 UNION ALL
 SELECT m.recipient, m.k, m.id, m.s - f.last >= 2592000, CASE WHEN m.s - f.last >= 2592000 THEN m.s ELSE f.last END FROM f JOIN m ON m.recipient = f.recipient AND m.k = f.k + 1)
