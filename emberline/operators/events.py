@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import centroid, haversine_km
+from emberline.operators.digest import ordered_digests
 from emberline.operators.graph import components
 from emberline.operators.radius import radius_join
 from emberline.session import stored
@@ -58,9 +59,9 @@ def describe(det: DataFrame, member: DataFrame, how: Clustering = Clustering())
     lat, lon = centroid("lat", "lon")
     share = lambda c: F.count_if(c) / F.count("*")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("det_id").cast("string"))), "|")
+    ids = ordered_digests(rows.select("component", F.col("det_id").cast("string").alias("id")), "component", ["id"], "id", "|", f"event-v1|{how.km}|{how.hours}|")
+    named = ids.select("component", F.concat(F.lit("EV-"), F.substring("digest", 1, 20)).alias("event_id"))
     events = rows.groupBy("component").agg(
-        F.concat(F.lit("EV-"), F.substring(F.sha2(F.concat(F.lit(f"event-v1|{how.km}|{how.hours}|"), ids), 256), 1, 20)).alias("event_id"),
         lat.alias("lat"),
         lon.alias("lon"),
         F.min("acq_us").alias("start_us"),
@@ -78,6 +79,7 @@ def describe(det: DataFrame, member: DataFrame, how: Clustering = Clustering())
         share(F.col("daynight").isNull()).alias("unknown_ratio"),
         names("satellite").alias("satellite"),
     )
+    events = named.join(events, "component")
     middle = events.select("component", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     extent = rows.join(middle, "component").groupBy("component").agg(F.max(haversine_km("c_lat", "c_lon", "lat", "lon")).alias("spatial_radius_km"))
     return stored(events.join(extent, "component"), "events")

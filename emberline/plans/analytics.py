@@ -104,8 +104,10 @@ def agg_10(spark, d):
 @query("agg_11_frames", f"WITH {DET_SQL} SELECT acq_us // {DAY} AS day, count(*) AS n, sha256(string_agg(det_id::VARCHAR, ',' ORDER BY det_id)) AS members FROM det GROUP BY day")
 def agg_11(spark, d):
     """Playback frames: each day's detections, as a count and a digest of the ordered list."""
-    ids = F.array_join(F.array_sort(F.collect_list("det_id")), ",")
-    return fixtures.detections(spark, d).groupBy(F.floor(F.col("acq_us") / F.lit(DAY)).alias("day")).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("members"))
+    from emberline.operators.digest import ordered_digests
+
+    rows = fixtures.detections(spark, d).select(F.floor(F.col("acq_us") / F.lit(DAY)).alias("day"), "det_id", F.col("det_id").cast("string").alias("id"))
+    return ordered_digests(rows, "day", ["det_id"], "id", ",").withColumnRenamed("digest", "members")
 
 
 @query("agg_15_active_days", f"WITH {DET_SQL} SELECT site_id, count(DISTINCT acq_us // {DAY}) AS days, count(DISTINCT CASE WHEN acq_us >= {NOW - 7 * DAY} THEN acq_us // {DAY} END) AS days_7 FROM det GROUP BY site_id")
