@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators import clean
@@ -60,6 +61,46 @@ def str_04(spark, d):
     return stream.alerts(spark, store(spark, d)).drop("batch")
 
 
+def _windowed(spark, d, name: str, made) -> DataFrame:
+    """What a windowed stream has given out in the end: detections land in four parts by time, the second and third swapped, and at last two rows of no
+    site that lie a year ahead, so that the watermark passes all windows."""
+
+    def run() -> DataFrame:
+        landing, place = (scratch_path(spark, n) for n in ("landing", name))
+        names = [f.split()[0] for f in stream.SCHEMA.split(", ")]
+        det = fixtures.detections(spark, d).select(*names)
+        ends = det.agg(F.min("acq_us").alias("a"), F.max("acq_us").alias("b")).first()
+        cuts = [ends.a + (ends.b - ends.a) * k // 4 for k in range(4)] + [ends.b + 1]
+        after = spark.createDataFrame([(-1, None, ends.b + 365 * fixtures.DAY_US)], "det_id long, site_id long, acq_us long")
+        after = after.select(*[F.col(c) if c in after.columns else F.lit(None).cast(stream.SCHEMA.split(f"{c} ")[1].split(",")[0]).alias(c) for c in names])
+        parts = [det.filter((F.col("acq_us") >= cuts[k]) & (F.col("acq_us") < cuts[k + 1])) for k in (0, 2, 1, 3)] + [after, after]
+        checkpoint = scratch_path(spark, "stream")
+        for part in parts:
+            part.write.mode("append").parquet(landing)
+            rows = spark.readStream.schema(stream.SCHEMA).parquet(landing)
+            sink = made(rows).writeStream.format("parquet").option("path", place).option("checkpointLocation", checkpoint).outputMode("append")
+            sink.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(place).filter("site_id is not null")
+
+    return remembered(spark, d, name, run)
+
+
+@query("str_09_sessions", f"""WITH {DET_SQL}, s AS (SELECT *, sum((before IS NULL OR acq_us - before >= 6 * 3600000000)::INT) OVER (PARTITION BY site_id ORDER BY acq_us, det_id) AS k
+FROM (SELECT *, lag(acq_us) OVER (PARTITION BY site_id ORDER BY acq_us, det_id) AS before FROM det))
+SELECT site_id, min(acq_us) AS start_us, max(acq_us) AS last_us, count(*) AS n, round(max(frp), 6) AS max_frp FROM s GROUP BY site_id, k""")
+def str_09_sessions(spark, d):
+    """Runs of a site's detections less than six hours apart, as the stream gave them out."""
+    rows = _windowed(spark, d, "sessions", lambda x: stream.sessions(x, "20 days", "6 hours"))
+    return rows.select("site_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n", F.round("max_frp", 6).alias("max_frp"))
+
+
+@query("str_09_sliding", f"""WITH {DET_SQL} SELECT site_id, start_us, count(*) AS n FROM (SELECT site_id, unnest(range(acq_us - acq_us % 21600000000 - 3 * 21600000000, acq_us - acq_us % 21600000000 + 1, 21600000000)) AS start_us FROM det) GROUP BY ALL""")
+def str_09_sliding(spark, d):
+    """Detections of each site in windows of a day, one every six hours, as the stream gave them out."""
+    rows = _windowed(spark, d, "sliding", lambda x: stream.windowed_counts(x, "20 days", "1 day", "6 hours"))
+    return rows.select("site_id", F.unix_micros("start").alias("start_us"), "n")
+
+
 @query("src_04_inline", f"WITH {_RAW} SELECT source_row, latitude, longitude, frp, brightness, acquisition_us, daynight, satellite, CASE WHEN duplicate THEN 'duplicate' ELSE errors END AS problem FROM dup")
 def src_04(spark, d):
     """Feeds as CSV texts, one for each observation, whose columns come in two orders: read and judged."""

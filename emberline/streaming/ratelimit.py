@@ -43,7 +43,8 @@ def limited_batch(rows: DataFrame, seconds: int) -> DataFrame:
 
 
 def limited_stream(rows: DataFrame, seconds: int) -> DataFrame:
-    """The same over a stream; the time of the last message sent is the state kept for each recipient."""
+    """The same over a stream; the time of the last message sent is the state kept for each recipient. Each micro-batch's messages are taken in the order of their
+    times; a recipient's share of a micro-batch is held in memory, so bound what a trigger reads."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -57,4 +58,7 @@ def limited_stream(rows: DataFrame, seconds: int) -> DataFrame:
             state.update((last,))
         yield rows.assign(recipient=key[0], sent=sent)[["recipient", "id", "at", "sent"]]
 
-    return rows.groupBy("recipient").applyInPandasWithState(fold, SCHEMA, "last long", "append", "NoTimeout")
+    plain = rows.select(F.col("recipient").cast("long"), F.col("id").cast("long"), F.col("at").cast("long"))
+    usable = F.col("recipient").isNotNull() & F.col("at").isNotNull()
+    dealt = plain.filter(usable).groupBy("recipient").applyInPandasWithState(fold, SCHEMA, "last long", "append", "NoTimeout")
+    return dealt.unionByName(plain.filter(~usable).withColumn("sent", F.lit(False)))

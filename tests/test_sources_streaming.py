@@ -1,15 +1,17 @@
 import hashlib
 import json
 import math
+import os
 import random
+import time
 
 import pytest
 from emberline.operators import clean
-from emberline.operators.series import sums_before
 from emberline.operators.polygons import cover, nearest_polygon
+from emberline.operators.series import sums_before
 from emberline.sources.files import inline, observations
 from emberline.sources.reference import geojson_points, layer, overpass_features, reference_bundle
-from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, take, windowed_counts
+from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, late_rows, past_times, sessions, windowed_counts
 from emberline.streaming.ratelimit import limited_batch, limited_stream
 from pyspark.sql import functions as F
 
@@ -175,7 +177,10 @@ def test_stream_ends_as_the_batch(spark, tmp_path):
     assert sorted(held) == list(range(32)) and held[22] == (340.0, 11.0, 0) and held[4] == (304.0, 10.0, 0) and held[31] == (None, 5.0, 1)
     assert sorted(scored) == list(range(31)) and scored[30] == (1, 1, "CONFIRMED") and scored[29][:2] == (1, 10)
     assert any(site == 7 for _, _, site in due) and [c for _, c, _ in due] == [f"AL-{k:04d}" for k in range(1, len(due) + 1)]
-    take(spark, store, spark.createDataFrame(second, SCHEMA), 1, reference, least_risk=30.0)
+    os.remove(tmp_path / "cp" / "commits" / "1")  # as if the last batch hadn't ended: it runs again
+    for crc in (tmp_path / "cp" / "commits").glob(".1.crc"):
+        os.remove(crc)
+    ingest(spark, str(tmp_path / "in"), store, reference, str(tmp_path / "cp"), least_risk=30.0).awaitTermination()
     assert state() == (held, scored, due)
     notices = spark.read.parquet(f"{store}/notices").collect()
     assert {r.batch: int(r.title.split()[0]) for r in notices} == {b: sum(x == b for x, _, _ in due) for b in {x for x, _, _ in due}}
@@ -185,6 +190,57 @@ def test_stream_ends_as_the_batch(spark, tmp_path):
     assert sum(r.n for r in spark.table("daily").collect()) == len(first) + len(second)
 
 
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
+    """Each batch is handed its own ids whatever came before, and of the history only the days that it looks back to."""
+    day = 86_400_000_000
+    row = lambda k, day_: (k, k % 5, day_ * day + k, 10.0, 20.0, 5.0, 310.0, "D", "N20", 0.5, "s", "d")
+    features = spark.createDataFrame([(1, 1, "refinery", 10.0, 20.0), (2, 2, "settlement", 10.01, 20.0)], "feature_id long, ord long, category string, lat_r double, lon_r double")
+    covers = spark.createDataFrame([("forest", 0.0, 1.0, 0.0, 1.0)], "kind string, south double, north double, west double, east double")
+    reference = Reference(features, covers, spark.createDataFrame([], "site_id long, validation string"))
+    store, cp = str(tmp_path / "store"), str(tmp_path / "cp")
+    for k, days in enumerate((range(100, 160), [160, 161], [161, 162])):
+        rows = [row(100 * d + j, d) for d in days for j in range(20)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(spark, str(tmp_path / "in"), store, reference, cp, least_risk=101.0, least_confidence=2.0).awaitTermination()
+        taken = spark.read.parquet(f"{store}/log/batch={k}")
+        assert taken.count() == len(rows) and taken.filter("created").count() == (20 if k == 2 else len(rows))
+    assert current(spark, store).count() == 63 * 20
+    back = past_times(spark, store, 2, 148 * day, 162 * day)
+    assert back.count() == 14 * 20
+    scan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "day" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    times = [(r[1], r[2]) for d in range(100, 163) for r in (row(100 * d + j, d) for j in range(20))]
+    scored = spark.read.parquet(f"{store}/scored/batch=2").collect()
+    assert len(scored) == 20 and all(r.n_detections == sum(s == r.site_id and r.acq_us - 14 * day <= us <= r.acq_us for s, us in times) for r in scored)
+    waiting = ingest(spark, str(tmp_path / "in"), store, reference, cp, seconds=1)
+    try:
+        assert ingest(spark, str(tmp_path / "in"), store, reference, cp) is not None and len([q for q in spark.streams.active if q.name == store]) == 1
+    finally:
+        waiting.stop()
+
+
+def test_sessions_and_sliding_windows_as_the_batch(spark, tmp_path):
+    """Shuffled and late rows in six batches; one row comes after its watermark: left out, and counted."""
+    hour = 3_600_000_000
+    rng = random.Random(5)
+    rows = [(k, k % 4, int(rng.uniform(0, 400) * hour), 1.0, 2.0, float(k), 300.0, "D", "s", 0.5, "s", "d") for k in range(300)]
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, 20) * hour)
+    too_late = (900, 1, 2 * hour, 1.0, 2.0, 9.0, 300.0, "D", "s", 0.5, "s", "d")
+    end = (901, 99, 9000 * hour, 1.0, 2.0, 9.0, 300.0, "D", "s", 0.5, "s", "d")
+    source = str(tmp_path / "in")
+    for part in (*[rows[k : k + 60] for k in range(0, 300, 60)], [too_late], [end], [(902, *end[1:])]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times, which have seconds
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    whole = spark.createDataFrame(rows, SCHEMA)
+    for name, made in (("sessions", lambda x: sessions(x, "1 day", "6 hours")), ("slides", lambda x: windowed_counts(x, "1 day", "12 hours", "4 hours"))):
+        query = made(stream()).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = sorted(tuple(r) for r in spark.table(name).collect() if r.site_id != 99)
+        assert got == sorted(tuple(r) for r in made(whole).collect())
+        assert late_rows(query) == (1 if name == "sessions" else 3)  # a row lies in three sliding windows
+
+
 def test_limit_over_many_batches(spark):
     """One recipient with most rows, ties in time, several Arrow batches; a row without recipient or time is never sent."""
     rng = random.Random(4)
@@ -202,9 +258,9 @@ def test_limit_over_many_batches(spark):
 
 
 def test_limit_as_a_stream(spark, tmp_path):
-    rows = [(1, k, at) for k, at in enumerate([0, 100, 299, 300, 650])]
+    rows = [(1, k, at) for k, at in enumerate([0, 100, 299, 300, 650])] + [(None, 7, 5), (1, 8, None)]
     schema = "recipient long, id long, at long"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     query = limited_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 300).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {r.id: r.sent for r in spark.table("limited").collect()} == {0: True, 1: False, 2: False, 3: True, 4: True}
+    assert {r.id: r.sent for r in spark.table("limited").collect()} == {0: True, 1: False, 2: False, 3: True, 4: True, 7: False, 8: False}
