@@ -7,7 +7,8 @@ Queries go to the tasks in waves of bounded size, each over all candidates where
 
 Components x become floor(scale * x). Vectors that are null or hold null or non-finite components, or components
 beyond 2**62 after scaling, take no part, nor do rows without vec_id. Vectors are compared with those of their own
-length only. A vec_id that is repeated is never a candidate for itself. Scores beyond a long are clipped.
+length only. Of rows that repeat a query's vec_id, the one that can take part and whose vector a hash puts first asks; as candidates all of them
+count, but none for a query of their own vec_id. Scores beyond a long are clipped.
 """
 
 from __future__ import annotations
@@ -117,7 +118,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
     Queries that fit in one wave are searched as the result is read. With more, each wave is searched and written before the
     next is gathered, so that the driver, the executors and a plan hold one wave whatever their number.
     """
-    queries = queries.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < 2.0**62))
+    queries = queries.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null").filter(usable)
+    first = F.min(F.struct(F.xxhash64("embedding").alias("h"), "embedding")).alias("first")
+    queries = queries.groupBy("vec_id").agg(first).select("vec_id", "first.embedding")
     size = queries.agg(F.sum(F.size("embedding") * 8 + 8)).first()[0] or 0
     waves = -(-size // WAVE_BYTES)
     if waves > 1:

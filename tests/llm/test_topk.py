@@ -36,3 +36,15 @@ def test_large_components_and_few_rows(spark):
     got = topk.top_k(frame, frame.filter("vec_id = 0"), 5).collect()
     assert sorted(tuple(r) for r in got) == sorted(brute(rows, lambda q: q == 0, 5))
     assert topk.top_k(frame, frame.filter("vec_id > 9"), 5).count() == 0
+
+
+def test_repeated_query_rows(spark):
+    """Of a vec_id's rows one asks, whatever the order of the rows, and one that can."""
+    rows = [(50, [1.0, 0.0]), (50, [None, 1.0]), (50, [0.0, 2.0]), (50, None), (1, [3.0, 1.0]), (2, [1.0, 4.0]), (3, [-1.0, float("inf")]), (4, [0.5, 0.25])]
+    answers = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(4)
+        answers.add(tuple(sorted(tuple(r) for r in topk.top_k(frame, frame.filter("vec_id = 50"), 5).collect())))
+    (got,) = answers
+    score = lambda q: sorted(((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(q, v)), i) for i, v in ((1, [3.0, 1.0]), (2, [1.0, 4.0]), (4, [0.5, 0.25]))))
+    assert got in {tuple((50, k + 1, i, -s) for k, (s, i) in enumerate(score(q))) for q in ([1.0, 0.0], [0.0, 2.0])}
