@@ -6,10 +6,10 @@ excess is shared again by weight. To meet a target, documents are counted by exa
 documents in proportion, what remains of the budget is filled from the longest lengths down, and the last part by a
 bounded knapsack over the lengths left. That part is at least twice the longest document (documents are given back for it if
 need be), so that few long documents are combined anew rather than left as the proportion had them. Which documents of a
-length are taken follows a seeded hash of doc_id.
+length are taken follows a seeded hash of doc_id and text.
 
 A document's length is its number of words; null text has none. A source without words has target 0. Rows that
-repeat a doc_id count each and are taken alike only by chance; a row without doc_id counts as well.
+repeat a doc_id count each; a row without doc_id counts as well.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from emberline.session import stored
 
 WEIGHTS, SHARE, LIMIT, SEED = (5, 2, 1), 1.5, 2, 17
-#: Words of a budget that are left to the knapsack at least, and bytes that its steps may hold.
+#: Words of a budget that are left to the knapsack at least, and bytes that its steps may hold. Lengths are divided by what divides them all first; if
+#: the steps don't suffice, what is left is filled from the longest length that fits down.
 KNAPSACK, KNAPSACK_BYTES = 1 << 13, 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,23 +76,33 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             taken[k] -= fewer
             left += fewer * size
     # Reachable sums as the bits of an integer; each step adds a power of two of one size's items.
-    mask, bits, steps, held = (1 << (left + 1)) - 1, 1, [], 0
-    for k in np.flatnonzero((sizes > 0) & (sizes <= left) & (counts > taken)).tolist():
+    usable = np.flatnonzero((sizes > 0) & (sizes <= left) & (counts > taken)).tolist()
+    unit = int(np.gcd.reduce(sizes[usable])) if usable else 1
+    most, of = left // unit, {k: int(sizes[k]) // unit for k in usable}
+    mask, bits, steps, held = (1 << (most + 1)) - 1, 1, [], 0
+    for k in usable:
         spare, piece = int(min(counts[k] - taken[k], left // sizes[k])), 1
-        while spare and not bits >> left & 1:
+        while spare and not bits >> most & 1:
             piece = min(piece, spare)
-            grown = (bits | bits << piece * int(sizes[k])) & mask
+            grown = (bits | bits << piece * of[k]) & mask
             if grown != bits:
                 held += bits.bit_length() // 8
                 steps.append((bits, k, piece))
             bits, spare, piece = grown, spare - piece, piece * 2
-        if bits >> left & 1 or held > KNAPSACK_BYTES:
+            if held > KNAPSACK_BYTES:
+                break
+        if bits >> most & 1 or held > KNAPSACK_BYTES:
             break
     at = bits.bit_length() - 1
+    left -= at * unit
     for old, k, piece in reversed(steps):
         if not old >> at & 1:
             taken[k] += piece
-            at -= piece * int(sizes[k])
+            at -= piece * of[k]
+    for k in usable:
+        more = min(int(counts[k] - taken[k]), left // int(sizes[k]))
+        taken[k] += more
+        left -= more * int(sizes[k])
     out = np.empty_like(taken)
     out[order] = taken
     return out
@@ -109,8 +120,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     """(doc_id, source, size, source_size, target, copies) for each row of ``docs``: copies are 0 to ``limit``.
 
     ``carry``: columns of ``docs`` that are returned as well."""
-    each = stored(docs.select("doc_id", F.col("source").cast("string"), n_words().alias("size"), *carry), "sizes")
-    carried = each.columns[3:]
+    drawn = F.xxhash64(F.lit(seed), "doc_id", "text").alias("drawn")
+    each = stored(docs.select("doc_id", F.col("source").cast("string"), n_words().alias("size"), drawn, *carry), "sizes")
+    carried = each.columns[4:]
     counts = stored(each.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(totals, weights, share, limit)
@@ -121,11 +133,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     plan = stored(plan, "plan").withColumnsRenamed({"source": "_source", "size": "_size"})
     # A length's documents are ranked in salts of near the square root of their number, so that no task ranks them all.
     salts = F.ceil(F.col("n") / F.greatest(F.lit(200.0), F.sqrt("n"))).cast("int")
-    drawn = F.xxhash64(F.lit(seed), "doc_id")
     placed = stored(
         each.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
         .drop("_source", "_size")
-        .withColumn("drawn", drawn)
         .withColumn("salt", F.pmod(F.xxhash64("drawn"), salts)),
         "placed",
     )

@@ -86,3 +86,26 @@ def test_mix(spark):
     assert mixed.columns == docs.columns
     assert mixed.filter("doc_id is not null").count() == sum(r.copies for r in got if r.doc_id is not None)
     assert mix(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_long_documents_beyond_the_knapsack(monkeypatch):
+    """Many long lengths: by their common divisor the sums fit; where they don't, little more than the shortest document is missed."""
+    rng = np.random.default_rng(3)
+    sizes = np.unique(rng.integers(5_000, 10_000, 300)) * 1000
+    counts = rng.integers(1, 3, len(sizes))
+    budget = int((sizes * counts).sum() * 0.43)
+    taken = subset_counts(sizes, counts, budget)
+    assert (taken <= counts).all() and 0 <= budget - int((sizes * taken).sum()) < 1000
+    odd = sizes + rng.integers(0, 1000, len(sizes))
+    monkeypatch.setattr("emberline.llm.mixing.KNAPSACK_BYTES", 1 << 12)
+    budget = int((odd * counts).sum() * 0.43)
+    taken = subset_counts(odd, counts, budget)
+    assert (taken <= counts).all() and 0 <= budget - int((odd * taken).sum()) < int(odd.min())
+
+
+def test_rows_without_doc_id_spread(spark):
+    """Their draw depends on the text as well, so that no salt holds all of them."""
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('w', id, ' x') as text", "'s' as source")
+    copies = mix(rows, share=0.5).collect()
+    assert sum(r.copies for r in copies) == 2000 and len({r.size for r in copies}) == 1
+    assert rows.select(F.xxhash64(F.lit(17), "doc_id", "text")).distinct().count() == 4000
