@@ -227,7 +227,8 @@ def _context_units(docs: DataFrame, contexts: DataFrame, unit: str, windows: Win
                 end = begin + counts[mine] - 1 + windows.width
                 cut = [raw[a * size : b * size] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 doc, version = ids[lo:hi][row].astype(np.int64), versions[lo:hi][row]
-                salt = (mix(doc.view(U64) ^ version.view(U64)) % salts[mine].astype(U64)).astype(np.int32)
+                # the place counts as well: one long document can have very many contexts of a fingerprint
+                salt = (mix(doc.view(U64) ^ version.view(U64) ^ mix(starts[mine].astype(U64))) % salts[mine].astype(U64)).astype(np.int32)
                 yield pa.record_batch(
                     [fps[mine], salt, salts[mine], doc, version, starts[mine], counts[mine], pa.array(cut, pa.binary())],
                     names=["fp", "salt", "salts", "doc_id", "version", "start", "count", "units"],

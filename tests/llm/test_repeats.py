@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from emberline.llm import fingerprint_index, repeats, suffix_dedup
+from pyspark.sql import functions as F
 
 
 def brute(docs, width, split, join):
@@ -123,3 +124,14 @@ def test_suffix_order(alphabet):
 def test_digest_of_kept(spark):
     frame = spark.createDataFrame([(1, "a b  c")], "doc_id long, text string")
     assert hashlib.sha256(b"a b c").hexdigest() == hashlib.sha256(fingerprint_index.deduplicate(frame).first().kept.encode()).hexdigest()
+
+
+def test_contexts_of_one_document_spread(spark):
+    """One long text with very many contexts of one fingerprint: its place decides the salt as well."""
+    width, n, salts = 20, 3000, 8
+    docs = spark.createDataFrame([(1, 0, "abcde fghij " * 20_000)], "doc_id long, version long, text string")
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.lit(7).cast("long").alias("fp"), F.lit(salts).alias("salts"), (k * 30).cast("int").alias("start"), F.lit(5).alias("count")))
+    contexts = docs.select("doc_id", "version", at.alias("at"))
+    found = repeats._context_units(docs, contexts, "byte", repeats.Windows(width=width, gram=8))
+    sizes = [r["count"] for r in found.groupBy("salt").count().collect()]
+    assert len(sizes) == salts and sum(sizes) == n and max(sizes) < 2 * n / salts
