@@ -8,6 +8,9 @@ sample is held back to calibrate: one temperature makes the probability given to
 is right, each language counting by its share of all documents. Trained, the two layers fold into one table of a score for each bucket and
 language, so that scoring adds up table rows over the whole text where the text lies.
 
+At most ``LANGUAGES`` languages are learned, those with the most labelled documents (ties: the first by name): the model has a column for each. Labels
+beyond that, such as the typing errors of a column, are never predicted; their texts are still scored.
+
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there was nothing to learn from.
 """
 
@@ -24,7 +27,7 @@ from emberline.llm.blocks import LOWER, ROLLING, U64, map_batches, mix, text_blo
 
 UNKNOWN = "und"
 #: Labelled documents that are learned from, in expectation; a quarter of them calibrates. And the least of a language.
-SAMPLE, LEAST = 2400, 60
+SAMPLE, LEAST, LANGUAGES = 2400, 60, 256
 BUCKET_BITS, SIZE, EPOCHS, RATE, SEED = 15, 16, 6, 0.5, 5
 GRAMS = (3, 4)
 #: A calibrated probability under this rejects a document: it is likelier wrong than right.
@@ -104,10 +107,10 @@ def bags(docs: DataFrame) -> DataFrame:
 
 
 def drawn_by_language(docs: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
-    """(lang, drawn, text) of about ``sample`` labelled documents, and how many each language has. The languages are gathered on
-    the driver, as the model holds a row for each; a text that repeats under one doc_id and language is drawn once."""
+    """(lang, drawn, text) of about ``sample`` labelled documents, and how many each of the LANGUAGES learned has, on the driver; a text that repeats under one doc_id and language is drawn once."""
     known = docs.filter("lang is not null and text is not null").withColumn("drawn", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     each = max(LEAST, -(-sample // max(len(sizes), 1)))
     share = F.lit(0.0)
     if sizes:

@@ -5,7 +5,7 @@ doc_id) shallow trees are grown by boosting; every path from a root to a node is
 regression with an L1 penalty, fitted by proximal gradient steps and with the penalty chosen on rows set aside, keeps
 few of them; and what it keeps is compiled to one Spark column expression over the statistics.
 
-Null text counts as empty. With no labels of both kinds the score is the share of label 1, or 0.5 without labels.
+Null text counts as empty. Of rows that repeat a doc_id one teaches, the least by its statistics; all are scored. With no labels of both kinds the score is the share of label 1, or 0.5 without labels.
 """
 
 from __future__ import annotations
@@ -203,6 +203,7 @@ def learn(stats: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Rule
     labels = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     n = labels.count()
     drawn = labels.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(max(n, 1))) < labelled)
-    rows = stats.join(drawn, "doc_id").orderBy("doc_id").select("label", *STATISTICS).toArrow()
+    met = stats.join(drawn, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s"), F.first("label").alias("label"))
+    rows = met.orderBy("doc_id").select("label", "s.*").toArrow()
     columns = [c.to_numpy() for c in rows.columns]
     return fit(np.stack(columns[1:], axis=1), columns[0])

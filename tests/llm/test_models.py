@@ -129,3 +129,24 @@ def test_quality_without_labels(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, label int")
     assert stats.select(rule_quality.learn(stats, one).score()).first()[0] > 0.9
     assert rule_quality.statistics(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_repeated_doc_id_teaches_once(spark, monkeypatch):
+    """400 rows of each doc_id: no more come to the driver than there are labelled documents."""
+    seen = []
+    fit = rule_quality.fit
+    monkeypatch.setattr(rule_quality, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    rows = [(k % 20, f"word{k} " * (k % 30 + 1)) for k in range(8000)]
+    stats = rule_quality.statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    rule_quality.learn(stats, spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int"))
+    assert seen == [20]
+
+
+def test_a_dirty_language_column(spark, monkeypatch):
+    """Only the most frequent languages are gathered and learned; rows of the others are scored all the same."""
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = language_docs(600, 7) + [(1000 + k, "the and of", f"x{k}", "s", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int")
+    _, sizes = langid.drawn_by_language(docs, 600)
+    assert set(sizes) == set(WORDS)
+    assert {r.lang_pred for r in langid.identify(docs).collect()} <= set(WORDS)
