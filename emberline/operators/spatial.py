@@ -82,3 +82,15 @@ def event_spatial_features(events: DataFrame, facilities: DataFrame, polygons: D
         "point_id", F.least("m.km", "_to_industrial").alias("dist_nearest_industrial_km"), *fields.values(), "dist_settlement_km", F.col("m.feature_id").alias("nearest_facility_id"), F.col("m.what").alias("nearest_facility_type"),
         *within, F.col("_to_forest").alias("dist_forest_km"), F.col("_to_agriculture").alias("dist_agriculture_km"), *inside, *part,
     )
+
+
+def reference_audit(events: DataFrame, areas: DataFrame, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the reference layers say about each event (point_id, lat, lon): (point_id, kind, at_centroid, full_circle) for each kind that ``coverage`` (kind, rings) was
+    surveyed for, and (point_id, feature_ids) of the areas (feature_id, rings) that it lies in, in order; an event in none has an empty list."""
+    kinds = coverage.select("kind").distinct()
+    seen = shapes.cover(events, coverage.select("kind", "rings"), "kind")
+    asked = events.select("point_id").join(F.broadcast(kinds))  # a handful of kinds
+    rows = asked.join(seen, ["point_id", "kind"], "left").select("point_id", "kind", F.coalesce("inside", F.lit(False)).alias("at_centroid"), F.coalesce(F.col("fraction") >= 1 - 1e-9, F.lit(False)).alias("full_circle"))
+    within = shapes.covering(events.select("point_id", "lat", "lon"), shapes.index(areas.select("feature_id", "rings"))).groupBy("point_id").agg(F.array_sort(F.collect_set("feature_id")).alias("feature_ids"))
+    empty = F.array().cast(within.schema["feature_ids"].dataType)
+    return rows, events.select("point_id").join(within, "point_id", "left").select("point_id", F.coalesce("feature_ids", empty).alias("feature_ids"))

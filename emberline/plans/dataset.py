@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.temporal import patterns
-from emberline.operators import anomaly, dataset, spatial, training
+from emberline.operators import anomaly, artifacts, dataset, spatial, training
 from emberline.operators import events as ops
 from emberline.operators.radius import KM_A_DEGREE
 from emberline.plans.events import _GROUPS, _HIST, event_tables, on_events, splittable
@@ -26,7 +28,7 @@ def spatial_fields(spark, d) -> DataFrame:
 
 
 def _spatial_fields(spark, d) -> DataFrame:
-    events = event_tables(spark, d)[1].select(F.col("component").alias("point_id"), "lat", "lon")
+    events = _event_points(spark, d)
     facilities = fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id")
     return spatial.event_spatial_features(events, facilities, fixtures.land_polygons(spark, d), fixtures.surveyed(spark)).withColumnRenamed("point_id", "component")
 
@@ -136,20 +138,95 @@ def orc_13(spark, d):
     return dataset.schema_rows(spark).join(counted, "name")
 
 
-@query("agg_31_checks", on_events(f"SELECT unnest(['id_missing', 'id_repeated', 'time_range', 'coordinates', 'no_detection', 'not_finite', 'not_a_share']) AS \"check\", 0::BIGINT AS n FROM (SELECT count(*) FROM ev)"))
+_BROKEN = {"id_missing": "component % 7 = 0", "time_range": "component % 11 = 0", "coordinates": "component % 13 = 0", "no_detection": "component % 17 = 0", "not_finite": "component % 19 = 0", "not_a_share": "component % 23 = 0"}
+
+
+@query("agg_31_checks", on_events("SELECT unnest([" + ", ".join(f"{{'check': '{name}', 'n': count(*) FILTER (WHERE {bad})}}" for name, bad in _BROKEN.items()) + ", {'check': 'id_repeated', 'n': count(*) FILTER (WHERE component % 7 <> 0 AND component % 29 = 0)}], recursive := true) FROM ev"))
 def agg_31(spark, d):
-    """What the checks of the typed table count: nothing."""
-    return dataset.problems(event_table(spark, d))
+    """What the checks of the typed table count in one that is broken on purpose, each kind in other rows, some events twice."""
+    rows = event_table(spark, d).join(event_tables(spark, d)[1].select("component", "event_id"), "event_id")
+    bad = {name: F.expr(x) for name, x in _BROKEN.items()}
+    twice = rows.filter("component % 7 <> 0 and component % 29 = 0").withColumn("component", F.lit(1).cast("long"))
+    sound = rows.withColumns({
+        "event_id": F.when(~bad["id_missing"], F.col("event_id")), "end_time": F.when(bad["time_range"], F.col("start_time") - F.expr("interval 1 hour")).otherwise(F.col("end_time")),
+        "centroid_latitude": F.when(bad["coordinates"], 95.0).otherwise(F.col("centroid_latitude")), "detection_count": F.when(bad["no_detection"], 0).otherwise(F.col("detection_count")),
+        "mean_frp": F.when(bad["not_finite"], float("nan")).otherwise(F.col("mean_frp")), "night_ratio": F.when(bad["not_a_share"], 1.5).otherwise(F.col("night_ratio")),
+    })
+    return dataset.problems(dataset.typed(sound.unionByName(twice)))
+
+
+@query("agg_31_coverage", on_events(f"""SELECT kind, count(*) FILTER (WHERE coalesce(at_centroid, false)) AS at_centroid, count(*) FILTER (WHERE coalesce(share, 0) >= 1 - 1e-9) AS full_circle, count(*) AS events
+FROM ev JOIN (SELECT DISTINCT kind FROM survey) ON true LEFT JOIN (SELECT component, kind, bool_or({_IN}) AS at_centroid FROM ev, survey GROUP BY ALL) USING (component, kind) LEFT JOIN whole USING (component, kind) GROUP BY kind""", _SPATIAL))
+def agg_31_coverage(spark, d):
+    """How many events each surveyed kind covers: at the centroid, and all of the kilometre around it."""
+    rows, _ = spatial.reference_audit(_event_points(spark, d), fixtures.administrative(spark), fixtures.surveyed(spark))
+    return rows.groupBy("kind").agg(F.count_if("at_centroid").alias("at_centroid"), F.count_if("full_circle").alias("full_circle"), F.count("*").alias("events"))
+
+
+@query("agg_31_administrative", on_events("SELECT event_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (WHERE c_lat BETWEEN y AND y + 7 AND c_lon BETWEEN x AND x + 7), '') AS areas FROM ev, (SELECT id, 7e0 + (id // 5) * 6 AS y, 67e0 + (id % 5) * 6 AS x FROM range(20) t(id)) GROUP BY event_id"))
+def agg_31_administrative(spark, d):
+    """The administrative areas that each event lies in: all of them, borders included."""
+    _, rows = spatial.reference_audit(_event_points(spark, d), fixtures.administrative(spark), fixtures.surveyed(spark))
+    named = rows.join(event_tables(spark, d)[1].select(F.col("component").alias("point_id"), "event_id"), "point_id")
+    return named.select("event_id", F.array_join(F.transform("feature_ids", lambda x: x.cast("string")), ",").alias("areas"))
 
 
-@query("snk_01_write", on_events("SELECT count(*) AS rows, true AS same FROM ev"))
+def _event_points(spark, d) -> DataFrame:
+    return event_tables(spark, d)[1].select(F.col("component").alias("point_id"), "lat", "lon")
+
+
+@query("snk_01_write", on_events("SELECT event_id, start_us, detection_count, round(max_frp, 6) AS max_frp, satellite, true AS same FROM ev"))
 def snk_01(spark, d):
-    """The typed table written and read back: the content hash of both is the same."""
+    """The typed table written, and its rows as read back; their content hash is the written table's whatever the partitions, and not that of other rows."""
     rows = event_table(spark, d)
     path = scratch_path(spark, "typed-events")
-    back = dataset.write(rows, path)
-    again = dataset.content_hash(spark.read.parquet(path).repartition(3)).select(F.col("digest").alias("again"))
-    return back.crossJoin(again).select("rows", (F.col("digest") == F.col("again")).alias("same"))  # one row each
+    said = dataset.write(rows, path).first().digest
+    back = spark.read.parquet(path)
+    other = back.withColumn("detection_count", F.when(F.col("event_id") == back.agg(F.min("event_id")).first()[0], F.col("detection_count") + 1).otherwise(F.col("detection_count")))
+    same = dataset.content_hash(back.repartition(3)).first().digest == said != dataset.content_hash(other).first().digest
+    return back.select("event_id", F.unix_micros("start_time").alias("start_us"), "detection_count", F.round("max_frp", 6).alias("max_frp"), "satellite", F.lit(same).alias("same"))
+
+
+def artifact_parts(spark, d, keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, membership, typed events) of the events whose component a condition keeps."""
+    member, event = event_tables(spark, d)
+    ids = member.filter(keep).join(event.select("component", "event_id"), "component")
+    named = F.concat(F.lit("d"), F.col("det_id").cast("string")).alias("detection_id")
+    clean = fixtures.detections(spark, d).join(ids.select("det_id"), "det_id").select(named, "acq_us", "lat", "lon", "frp", "brightness")
+    return clean, ids.select(named, "event_id"), event_table(spark, d).join(event.filter(keep).select("event_id"), "event_id", "left_semi")
+
+
+def event_store(spark, d) -> str:
+    """Where two artifacts were imported, the first of them twice: those of even components, then the others."""
+
+    def run() -> str:
+        store = scratch_path(spark, "event-store")
+        reference = fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id")
+        for keep in ("component % 2 = 0", "component % 2 = 0", "component % 2 = 1"):
+            folder = scratch_path(spark, "artifact")
+            artifacts.build(spark, folder, *artifact_parts(spark, d, keep), reference, {"clustering": {"km": 1.0, "hours": 24.0}})
+            artifacts.import_events(spark, folder, store)
+        return store
+
+    return remembered(spark, d, "event-store", lambda: spark.createDataFrame([(run(),)], "place string")).first().place
+
+
+@query("snk_09_imported", on_events("SELECT event_id, detection_count, detection_count AS observations, round(max_frp, 6) AS max_frp FROM ev"))
+def snk_09_imported(spark, d):
+    """The events in the store after all imports, with the observations that came with them: each once, whatever was imported twice."""
+    store = event_store(spark, d)
+    seen = artifacts.imported(spark, store, "observations").groupBy("event_id").agg(F.count("*").alias("observations"))
+    return artifacts.imported(spark, store, "events").join(seen, "event_id").select("event_id", "detection_count", "observations", F.round("max_frp", 6).alias("max_frp"))
+
+
+@query("snk_03_manifest", on_events("""SELECT unnest([{'part': 'clean', 'rows': (SELECT count(*) FROM det)}, {'part': 'membership', 'rows': (SELECT count(*) FROM comp)}, {'part': 'events', 'rows': (SELECT count(*) FROM ev)}, {'part': 'reference', 'rows': (SELECT count(*) FROM supplier)}], recursive := true), true AS sound"""))
+def snk_03(spark, d):
+    """What the manifest of all events' artifact says: each part's rows, and whether the parts are what it says."""
+    folder = scratch_path(spark, "artifact")
+    reference = fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id")
+    made = artifacts.build(spark, folder, *artifact_parts(spark, d, "component is not null"), reference)
+    sound = artifacts.verify(spark, folder) == []
+    return spark.createDataFrame([(p, said["rows"], sound) for p, said in made["parts"].items()], "part string, rows long, sound boolean")
 
 
 # Training ---------------------------------------------------------------------------------------------------
@@ -223,6 +300,31 @@ def mlx_06(spark, d):
     return training.readiness(labelled(spark, d), 5)
 
 
+_KIND = "CASE WHEN label IN ('Gas Flare', 'Wildfire') THEN label ELSE 'Other' END"
+_GATE = f"""{_GROUPS}, {_LABEL}, tr AS (SELECT ev.event_id, {_KIND} AS kind, grp FROM ev JOIN grp USING (component) JOIN lab ON lab.event_key = component),
+{_RANKED.replace('FROM grp)', 'FROM tr)')}, sp AS (SELECT kind, CASE WHEN k <= {_CUT} THEN 'TRAIN' WHEN k <= least(n - 1, greatest({_CUT} + 1, floor(n * 0.8e0))) THEN 'VALIDATION' ELSE 'TEST' END AS split FROM tr JOIN ranked USING (grp)),
+cl AS (SELECT unnest(['Gas Flare', 'Wildfire', 'Other']) AS kind)"""
+
+
+@query("mlx_06_gate", on_events("""SELECT unnest(['REPRESENTATIVENESS_NOT_REVIEWED', 'REFERENCES_NOT_REVIEWED', 'CLUSTERING_NOT_REVIEWED']) AS blocker
+UNION ALL SELECT 'MINIMUM_CLASS_SUPPORT_NOT_MET' WHERE (SELECT min(n) FROM (SELECT count(sp.kind) AS n FROM cl LEFT JOIN sp USING (kind) GROUP BY cl.kind)) < 30
+UNION ALL SELECT 'LOW_CLASS_SUPPORT_' || s FROM (SELECT s, cl.kind, count(sp.kind) AS n FROM (SELECT unnest(['TRAIN', 'VALIDATION', 'TEST']) AS s) JOIN cl ON true LEFT JOIN sp ON sp.kind = cl.kind AND sp.split = s GROUP BY ALL) GROUP BY s HAVING min(n) < 5""", _GATE))
+def mlx_06_gate(spark, d):
+    """What still blocks training on the labelled events: one review is there, those of other domains are missing, stale or not approved, and labels may be too few."""
+    folder = scratch_path(spark, "artifact")
+    reference = fixtures.facilities(spark, d).withColumnRenamed("facility_id", "feature_id")
+    digest = artifacts.build(spark, folder, *artifact_parts(spark, d, "component is not null"), reference)["parts"]["events"]["sha256"]
+    named = F.when(F.col("label").isin("Gas Flare", "Wildfire"), F.col("label")).otherwise("Other")
+    events = splittable(spark, d)
+    labels = latest_annotations(spark, d).select(F.col("event_key").alias("component"), named.alias("label")).join(events.select("component", "event_id"), "component").drop("component")
+    groups = ops.leakage_groups(events).join(events.select("component", "event_id"), "component").drop("component")
+    at = datetime(2024, 1, 1)
+    reviews = [("temporal_history", True, "r", digest, at, ["note"]), ("clustering", False, "r", digest, at, ["note"]), ("references", True, "r", "older", at, ["note"])]
+    reviews = spark.createDataFrame(reviews, "domain string, approved boolean, reviewer string, event_sha256 string, reviewed_at timestamp, evidence array<string>")
+    made = artifacts.prepare(spark, folder, labels, reviews, groups, scratch_path(spark, "training"), ("Gas Flare", "Wildfire", "Other"), datetime(2024, 6, 1))
+    return spark.createDataFrame([(b,) for b in made["blockers"]], "blocker string")
+
+
 def selected(spark, d):
     rows = labelled(spark, d)
     return training.select_model(rows, sorted(r["feature"] for r in training.usable_features(rows).collect()))

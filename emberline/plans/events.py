@@ -275,6 +275,58 @@ def agg_22(spark, d):
     )
 
 
+def zone_detail(spark, d, zone_id: int) -> DataFrame:
+    """A zone by its id: what lies within 1 and 5 km, its history and alerts, and how it is to be watched. An error if there is no such zone."""
+    zone = fixtures.facilities(spark, d).filter(F.col("category").isin(*ZONES) & (F.col("facility_id") == zone_id))
+    if zone.isEmpty():
+        raise LookupError(f"no zone {zone_id}")
+    alerts = fixtures.alerts(spark, d).groupBy("site_id").agg(F.count("*").alias("alerts"))
+    near = zone_hotspots(spark, d).filter(F.col("zone_id") == zone_id).join(alerts, "site_id", "left")
+    sums = near.groupBy("zone_id").agg(
+        F.count_if(F.col("distance_km") <= 1).alias("within_1km"), F.count_if(F.col("distance_km") <= 5).alias("within_5km"), F.sum(F.when(F.col("distance_km") <= 5, F.col("n_detections"))).alias("history"),
+        F.sum(F.when(F.col("distance_km") <= 5, F.col("alerts"))).alias("alerts"), F.max("risk").alias("gravest"),
+    )
+    rows = zone.select(F.col("facility_id").alias("zone_id"), "name", "category").join(sums, "zone_id", "left").fillna(0, ["within_1km", "within_5km", "history", "alerts"])
+    level = F.when(F.col("gravest").isNotNull(), scoring.risk_level("gravest")).otherwise("LOW")
+    monitoring = F.when(level.isin("CRITICAL", "HIGH"), "INTENSIVE").when(level == "ELEVATED", "ELEVATED").otherwise("ROUTINE")
+    access = F.when(monitoring == "INTENSIVE", "Restricted access possible").otherwise("Good")
+    return rows.select("zone_id", "name", "category", "within_1km", "within_5km", "history", "alerts", level.alias("level"), monitoring.alias("monitoring"), access.alias("road_access"))
+
+
+_FIRST_ZONE = f"(SELECT min(s_suppkey) FROM fac JOIN supplier ON s_suppkey = facility_id WHERE category IN {_ZONE_LIST})"
+
+
+@query("orc_09_zone", on_scored(f"""SELECT z.facility_id AS zone_id, z.name, z.category, coalesce(w1, 0) AS within_1km, coalesce(w5, 0) AS within_5km, coalesce(h, 0)::BIGINT AS history, coalesce(al, 0)::BIGINT AS alerts,
+coalesce(level, 'LOW') AS level, CASE WHEN level IN ('CRITICAL', 'HIGH') THEN 'INTENSIVE' WHEN level = 'ELEVATED' THEN 'ELEVATED' ELSE 'ROUTINE' END AS monitoring,
+CASE WHEN level IN ('CRITICAL', 'HIGH') THEN 'Restricted access possible' ELSE 'Good' END AS road_access
+FROM fac z LEFT JOIN zl ON zl.zone_id = z.facility_id LEFT JOIN (SELECT facility_id, count(*) FILTER (WHERE km <= 1) AS w1, count(*) FILTER (WHERE km <= 5) AS w5, sum(n_detections) FILTER (WHERE km <= 5) AS h, sum(alerts) FILTER (WHERE km <= 5) AS al FROM zk GROUP BY facility_id) c ON c.facility_id = z.facility_id
+WHERE z.facility_id = {_FIRST_ZONE}""").replace("\nSELECT", f", {_ZI}, {_ZR.split(f'{_ZH}, ')[1]}\nSELECT", 1))
+def orc_09(spark, d):
+    """The detail of the zone of smallest id."""
+    first = fixtures.facilities(spark, d).filter(F.col("category").isin(*ZONES)).agg(F.min("facility_id")).first()[0]
+    return zone_detail(spark, d, first)
+
+
+def zone_report(spark, d) -> DataFrame:
+    """(zone_id, place, code, classification, risk, distance): the table of each zone's report, its 25 gravest hotspots in order."""
+    w = Window.partitionBy("zone_id").orderBy(F.desc("risk"), "site_id")
+    facts = scored(spark, d).select("site_id", "code", "classification", "risk_level")
+    rows = zone_hotspots(spark, d).withColumn("place", F.row_number().over(w)).filter("place <= 25").join(facts, "site_id")
+    return rows.select("zone_id", "place", "code", "classification", F.format_string("%.0f %s", "risk", "risk_level").alias("risk"), F.format_string("%.2f", "distance_km").alias("distance"))
+
+
+@query("snk_07_zone_report", on_scored("SELECT facility_id AS zone_id, k AS place, printf('HX-%04d', site_id) AS code, classification, printf('%.0f %s', risk, risk_level) AS risk, printf('%.2f', km) AS distance FROM (SELECT zh.*, classification, row_number() OVER (PARTITION BY facility_id ORDER BY zh.risk DESC, site_id)::INT AS k FROM zh JOIN (SELECT site_id, classification FROM scored) USING (site_id)) WHERE k <= 25").replace("\nSELECT", f", {_ZH}\nSELECT", 1))
+def snk_07_zone(spark, d):
+    """The tabular part of all zones' reports."""
+    return zone_report(spark, d)
+
+
+@query("orc_11_activity", on_scored("SELECT facility_id AS zone_id, 'report.zone' AS action, 'zone:' || facility_id AS target, least(count(*), 25) AS lines FROM zh GROUP BY facility_id").replace("\nSELECT", f", {_ZH}\nSELECT", 1))
+def orc_11_activity(spark, d):
+    """The activity that the reports leave: a row for each, with how many hotspots it lists."""
+    return zone_report(spark, d).groupBy("zone_id").agg(F.count("*").alias("lines")).select("zone_id", F.lit("report.zone").alias("action"), F.concat(F.lit("zone:"), F.col("zone_id").cast("string")).alias("target"), "lines")
+
+
 @query("srt_02_zone_lex", on_scored("SELECT zone_id, level FROM zl ORDER BY level DESC, zone_id LIMIT 10").replace("\nSELECT", f", {_ZR}\nSELECT"))
 def srt_02(spark, d):
     """The ten first zones by level as text, from MODERATE down to CRITICAL: the order of the letters."""

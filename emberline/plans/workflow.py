@@ -9,6 +9,7 @@ from emberline.functions import explain, scoring
 from emberline.operators import events as ops
 from emberline.operators import workflow as flow
 from emberline.operators.metrics import average_precision, probability_scores
+from emberline.operators.numbering import numbered
 from emberline.plans.events import _GROUPS, _HIST, _SPLIT, event_tables, on_events, splittable
 from emberline.plans.model import on_scored
 from emberline.plans.records import _LAST, _PICK, _PRED, judged, latest_annotations
@@ -235,12 +236,18 @@ def evi_03(spark, d):
     return decisions(spark, d).select("event_id", "decision", "confidence", "mode", "priority", F.size("reasons").alias("n_reasons"))
 
 
-@query("orc_07_reanalyze", on_events(f"SELECT event_id, decision, n FROM ({_DECIDED}) JOIN (SELECT 2::BIGINT AS n) ON true", _HIST))
+@query("orc_07_reanalyze", on_events(f"""SELECT event_id, decision, n + 1 AS n, first + row_number() OVER (ORDER BY event_id) AS prediction_id FROM ({_DECIDED}) JOIN (SELECT event_id AS e, component FROM ev) ON e = event_id
+LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = component JOIN (SELECT max(l_orderkey * 8 + l_linenumber) AS first FROM lineitem) ON true WHERE n IS NOT NULL""", _HIST))
 def orc_07(spark, d):
-    """A new analysis appended to the predictions of each event: the history keeps both, the latest counts."""
-    now = decisions(spark, d).select("event_id", F.lit(2).alias("prediction_id"), "decision")
-    before = now.select("event_id", F.lit(1).alias("prediction_id"), F.lit("Unknown").alias("decision"))
-    return before.unionByName(now).groupBy("event_id").agg(F.max_by("decision", "prediction_id").alias("decision"), F.count("*").alias("n"))
+    """A new analysis appended to the predictions of each event that has some: numbered after all there are, in the order of the events; the history keeps them all,
+    the latest counts."""
+    held = fixtures.predictions(spark, d).select("prediction_id", F.col("event_key").alias("component"), F.col("predicted").alias("decision")).dropDuplicates(["prediction_id"])
+    event = event_tables(spark, d)[1].select("component", "event_id")
+    last = held.agg(F.max("prediction_id")).first()[0] or 0
+    named = held.join(event, "component").select("event_id", "prediction_id", "decision")
+    due = decisions(spark, d).select("event_id", "decision").join(named.select("event_id").distinct(), "event_id")
+    new = numbered(due, [F.col("event_id")]).select("event_id", (F.col("number") + last).alias("prediction_id"), "decision")
+    return named.unionByName(new).groupBy("event_id").agg(F.max_by("decision", "prediction_id").alias("decision"), F.count("*").alias("n"), F.max("prediction_id").alias("prediction_id"))
 
 
 @query("agg_26_leaks", on_events(f"""SELECT reason, n FROM (SELECT 'GROUP_LEAKAGE' AS reason, count(*) AS n FROM (SELECT grp FROM sp GROUP BY grp HAVING count(DISTINCT split) > 1) UNION ALL

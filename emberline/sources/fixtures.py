@@ -103,6 +103,12 @@ def surveyed(spark: SparkSession) -> DataFrame:
     return land_cover(spark).select("kind", *edges).unionByName(region).select("kind", F.array(ring).alias("rings"))
 
 
+def administrative(spark: SparkSession) -> DataFrame:
+    """(feature_id, rings): areas of seven by seven degrees, which overlap by one, south and west of 36 degrees and 96."""
+    cell = spark.range(20).select(F.col("id").alias("feature_id"), (F.lit(7.0) + F.floor(F.col("id") / 5) * 6.0 + 3.5).alias("lat_r"), (F.lit(67.0) + F.col("id") % 5 * 6.0 + 3.5).alias("lon_r"))
+    return _boxes(cell, 3.5, 0.0, "feature_id")
+
+
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest detection of each site that has brightness and FRP; ``n_history`` counts the site's detections before it."""
     det = detections(spark, sf_dir)

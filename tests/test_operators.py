@@ -128,3 +128,12 @@ def test_rate_limit(spark):
     rows = [(1, k, at) for k, at in enumerate([0, 100, 250, 299, 300, 650])] + [(2, 9, 5)]
     got = {r.id: r.sent for r in limited_batch(spark.createDataFrame(rows, "recipient long, id long, at long"), 300).collect()}
     assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: True, 9: True}
+
+
+def test_zone_by_id(spark):
+    """A zone that isn't one, or doesn't exist, is an error."""
+    from emberline.plans.events import zone_detail
+
+    for zone in (10**12, -1):
+        with pytest.raises(LookupError, match="no zone"):
+            zone_detail(spark, "/root/testdata/sf0.001", zone)
