@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.temporal import patterns
-from emberline.operators import anomaly, artifacts, dataset, spatial, training
+from emberline.operators import anomaly, artifacts, attribution, dataset, spatial, training
 from emberline.operators import events as ops
 from emberline.operators.radius import KM_A_DEGREE
 from emberline.plans.events import _GROUPS, _HIST, event_tables, on_events, splittable
@@ -343,6 +343,16 @@ def mlx_10(spark, d):
     return training.permutation_importance(split, model)
 
 
+@query("mlx_08_contributions")
+def mlx_08(spark, d):
+    """What each feature adds to the selected model's probability of the label it predicts, for each event of the test split."""
+    _, model, split = selected(spark, d)
+    named = F.element_at(F.array(*map(F.lit, split.labels)), F.col("prediction").cast("int") + 1)
+    said = model.predicted(split.test).select("event_id", named.alias("label"))
+    found = attribution.contributions(split.test, model, attribution.background(split.train), split.features, split.labels)
+    return found.join(said, ["event_id", "label"])
+
+
 def _normal(spark, d) -> tuple[DataFrame, DataFrame]:
     """(all labelled events, the training split's that reviewers took for normal operation: neither flare nor wildfire)."""
     rows = labelled(spark, d)

@@ -279,3 +279,54 @@ def test_typed_table_and_its_hash(spark, tmp_path):
     for change in ({"mean_frp": 2.6}, {"mean_frp": None}):
         assert dataset.content_hash(typed_rows(spark, [{}, {"day_ratio": None}, change])).first().digest != first.digest
     assert dataset.content_hash(rows.unionByName(rows)).first().digest != first.digest
+
+
+class Formula:
+    """Two labels; the first one's probability has effects of single features and of pairs of them."""
+
+    def predicted(self, rows):
+        v = [F.col("inputs")[2 * k] + F.col("inputs")[2 * k + 1] for k in range(4)]
+        p = F.lit(0.3) + 0.1 * v[0] - 0.05 * v[1] + 0.2 * v[0] * v[1] + 0.07 * v[2] * v[3] - 0.03 * v[1] * v[3]
+        return rows.withColumn("probabilities", F.array(p, 1 - p))
+
+
+def test_contributions_are_exact_for_pairs(spark):
+    from itertools import permutations
+
+    from emberline.operators import attribution
+
+    rng = random.Random(3)
+    f = lambda v: 0.3 + 0.1 * v[0] - 0.05 * v[1] + 0.2 * v[0] * v[1] + 0.07 * v[2] * v[3] - 0.03 * v[1] * v[3]
+    asked = [(f"e{k}", [x for _ in range(4) for x in (rng.random(), float(rng.random() < 0.3))]) for k in range(12)]
+    held = [(f"b{k}", [x for _ in range(4) for x in (rng.random(), 0.0)]) for k in range(5)]
+    schema = "event_id string, inputs array<double>"
+    against = attribution.background(spark.createDataFrame(held, schema), 5)
+    got = attribution.contributions(spark.createDataFrame(asked, schema), Formula(), against, list("wxyz"), ["yes", "no"]).collect()
+    value = {(r.event_id, r.label, r.feature): r for r in got}
+    assert len(value) == 12 * 4 * 2
+    fold = lambda i: [i[2 * k] + i[2 * k + 1] for k in range(4)]
+    for name, inputs in asked:
+        x, bs = fold(inputs), [fold(i) for _, i in held]
+        mean = lambda s, x=x, bs=bs: np.mean([f([x[k] if k in s else b[k] for k in range(4)]) for b in bs])
+        for k, feature in enumerate("wxyz"):
+            exact = np.mean([mean(set(order[: order.index(k) + 1])) - mean(set(order[: order.index(k)])) for order in permutations(range(4))])
+            r = value[name, "yes", feature]
+            assert r.contribution == pytest.approx(exact) and value[name, "no", feature].contribution == pytest.approx(-exact)
+            assert r.base == pytest.approx(mean(set())) and r.probability == pytest.approx(f(x))
+        assert sum(value[name, "yes", c].contribution for c in "wxyz") == pytest.approx(f(x) - mean(set()))
+    with pytest.raises(ValueError):
+        attribution.background(spark.createDataFrame(held, schema), 1000)
+
+
+def test_contributions_of_a_model(fitted):
+    from emberline.operators import attribution
+
+    _, split, model = fitted
+    rows = split.test.limit(15)
+    got = attribution.contributions(rows, model, attribution.background(split.train), split.features, split.labels).collect()
+    said = {r.event_id: r.probabilities for r in model.predicted(rows).collect()}
+    sums = {}
+    for r in got:
+        assert r.probability == pytest.approx(said[r.event_id][split.labels.index(r.label)])
+        sums[r.event_id, r.label] = sums.get((r.event_id, r.label), r.base) + r.contribution
+    assert all(s == pytest.approx(said[e][split.labels.index(c)]) for (e, c), s in sums.items()) and len(sums) == 45
