@@ -43,6 +43,7 @@ REASONING = (
         "kept under observation.",
     ),
 )
+# The texts and thresholds below.
 #: Class, condition over the scored columns (None: always), text; those of a class in the order in which they are listed.
 FACTORS = (
     ("Industrial Fire", "d_industrial BETWEEN 0 AND 0.5", "Industrial facility within 500 m"),

@@ -70,6 +70,7 @@ def nearest_industrial(*distances) -> Column:
     return F.coalesce(F.array_min(known), F.lit(-1.0))
 
 
+# The thresholds, weights and names of the next function.
 def land_cover(industrial_km, in_forest, in_agriculture, settlement_km) -> Column:
     near = lambda d, km: (col(d) >= 0) & (col(d) <= km)
     return (
@@ -103,6 +104,7 @@ def _points(*terms: tuple[Column, float]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, F.lit(v)).otherwise(F.lit(0.0)) for c, v in terms])
 
 
+# The thresholds, weights and names of the next function.
 def rule_scores() -> list[Column]:
     """A score for each class in order, from brightness, frp, n_detections, persistence_score, d_*, land_cover, tod."""
     b, f, n, p = (F.col(c) for c in ("brightness", "frp", "n_detections", "persistence_score"))
@@ -146,6 +148,7 @@ def top_class(probs: list[Column]) -> Column:
     return F.coalesce(*[F.when(p == best, F.lit(name)) for p, name in zip(probs, CLASSES, strict=True)])
 
 
+# The thresholds, weights and names of the next function.
 def risk_score() -> Column:
     """0 to 100, unrounded, from brightness, frp, persistence_score, pattern, classification, d_* and validation."""
     b, f, kind = F.col("brightness"), F.col("frp"), F.col("classification")
@@ -209,6 +212,7 @@ def anomaly_status(score) -> Column:
     return F.when(col(score).isNull(), "unavailable").when(col(score) >= 3, "elevated").otherwise("within_baseline")
 
 
+# The thresholds, weights and names of the next function.
 def persistence_status(days, mean, std) -> Column:
     cv = F.when(col(mean) > 0, col(std) / col(mean))
     return (
@@ -218,6 +222,7 @@ def persistence_status(days, mean, std) -> Column:
     )
 
 
+# The thresholds, weights and names of the next function.
 def history_reason(prior, in_window, in_radius, with_frp, times, std, current) -> Column:
     """Why an event has no anomaly score; the first reason that holds."""
     return (

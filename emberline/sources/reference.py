@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import valid_coordinates
+from emberline.operators.dataset import content_hash
 from emberline.operators.spatial import interior_point
 
 # Tag rules in order, the first that holds gives the category; what each role of a layer may hold; categories that need
@@ -99,16 +103,24 @@ def geojson_features(spark: SparkSession, path: str, crs: str = "EPSG:4326") ->
     return geojson_rows(spark.read.schema(GEOJSON).option("multiLine", True).json(path), crs)
 
 
-def geojson_rows(collections: DataFrame, crs: str) -> DataFrame:
-    rows = collections.select(F.posexplode("features").alias("place", "f"))
-    p, kind, text = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    polygons = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
-    xy = F.when(kind == "Point", F.from_json(text, "array<double>"))
-
+def _corner(crs: str):
     def corner(q: Column) -> Column:
         lon, lat = to_degrees(F.get(q, F.lit(0)), F.get(q, F.lit(1)), crs)
         return F.struct(lon.alias("lon"), lat.alias("lat"))
 
+    return corner
+
+
+def _polygons(kind: Column, text: Column) -> Column:
+    """The polygons of a geometry, each as its rings of coordinates; null for other shapes."""
+    return F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
+
+
+def geojson_rows(collections: DataFrame, crs: str) -> DataFrame:
+    rows = collections.select(F.posexplode("features").alias("place", "f"))
+    p, kind, text = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygons, corner = _polygons(kind, text), _corner(crs)
+    xy = F.when(kind == "Point", F.from_json(text, "array<double>"))
     rings = F.transform("polygon", lambda ring: F.transform(ring, corner))
     category = F.coalesce(p["category"], p["infra_type"], p["facility_type"])
     each = rows.select("place", F.coalesce(F.col("f.id"), p["facility_id"], p["id"]).alias("feature_id"), category.alias("category"), p["name"].alias("name"), kind.alias("shape"), corner(xy).alias("at"), p.alias("properties"), F.explode_outer(polygons).alias("polygon"))
@@ -169,3 +181,64 @@ def reference_bundle(spark: SparkSession, layers: list[dict], read=geojson_featu
     later = F.col("reason").isNull() & (F.struct("_k", "place") != F.col("first"))
     rows = rows.join(first, "feature_id", "left").withColumn("reason", F.when(later, DUPLICATE_ID).otherwise(F.coalesce("reason", geometry_problem())))
     return rows.filter("reason is null").drop("reason", "first", "_k"), rows.filter("reason is not null").select("layer", "feature_id", "place", "reason").distinct()
+
+
+# All categories of points and of other geometries.
+POINTS = (*INDUSTRIAL, "settlement")
+GEOMETRIES = ("forest", "agriculture", "road", "railway", "pipeline", "industrial", "urban", "water", "administrative")
+DECLARED = "available_categories array<string>, coverage map<string,struct<type:string,coordinates:string>>"
+
+
+def geojson_coverage(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> tuple[list[str], DataFrame]:
+    """(the categories that a collection declares as surveyed, (kind, rings) of the areas where it says that they were; each polygon a row)."""
+    document = spark.read.schema(DECLARED).option("multiLine", True).json(path)
+    declared = sorted({c for r in document.select("available_categories").collect() for c in r[0] or ()})  # one document
+    each = document.select(F.explode("coverage").alias("kind", "g"))
+    rows = each.select("kind", F.explode_outer(_polygons(F.col("g.type"), F.col("g.coordinates"))).alias("polygon"))
+    corner = _corner(crs)
+    return declared, rows.select("kind", F.transform("polygon", lambda ring: F.transform(ring, corner)).alias("rings"))
+
+
+@dataclass
+class Bundle:
+    """Layers as one reference: features and audit as reference_bundle has them; ``coverage`` (kind, rings), whose polygons of a kind are its union; the
+    categories that exist; the layers' facts; and a hash of all of it."""
+
+    features: DataFrame
+    audit: DataFrame
+    coverage: DataFrame
+    available: list[str]
+    layers: list[dict]
+    sha256: str
+
+
+def load_bundle(spark: SparkSession, layers: list[dict], strict: bool = True) -> Bundle:
+    """The layers (as for reference_bundle) with their coverage. Each layer is named by the content hash of its features and coverage, whatever its file's
+    layout; the bundle by these and by how they are read. With ``strict`` a feature that isn't taken, unless it is left out on purpose, refuses the bundle.
+    """
+    if not layers:
+        raise ValueError("a bundle needs layers")
+    features, audit = reference_bundle(spark, layers)
+    wrong = audit.filter(F.col("reason") != OUT_OF_SCOPE).groupBy("layer", "reason").count().orderBy("layer", "reason").collect() if strict else []
+    if wrong:
+        raise ValueError("; ".join(f"{r['count']} in {r.layer}: {r.reason}" for r in wrong))
+    available = {r[0] for r in features.select("category").distinct().collect()}  # a handful of known categories
+    facts, parts = [], []
+    for layer in layers:
+        declared, coverage = geojson_coverage(spark, layer["path"], layer["crs"])
+        kinds = sorted(r[0] for r in coverage.select("kind").distinct().collect())
+        mine = {r[0] for r in features.filter(F.col("layer") == layer["name"]).select("category").distinct().collect()} | set(declared)
+        if unknown := sorted((set(declared) | set(kinds)) - {*POINTS, *GEOMETRIES}):
+            raise ValueError(f"layer {layer['name']}: unknown categories {', '.join(unknown)}")
+        if missing := sorted(set(kinds) - mine):
+            raise ValueError(f"layer {layer['name']}: coverage of categories that it doesn't have: {', '.join(missing)}")
+        corners = F.flatten("rings")
+        bad = F.col("rings").isNull() | F.exists("rings", lambda r: (F.size(r) < 4) | (F.get(r, F.lit(0)) != F.element_at(r, -1))) | F.exists(corners, lambda p: ~valid_coordinates(p["lat"], p["lon"]))
+        if not coverage.filter(bad).isEmpty():
+            raise ValueError(f"layer {layer['name']}: coverage must be polygons within bounds")
+        available |= set(declared)
+        digests = [content_hash(rows).first().digest for rows in (geojson_features(spark, layer["path"], layer["crs"]), coverage)]
+        facts.append({**{k: v for k, v in layer.items() if k != "path"}, "coverage_categories": kinds, "sha256": hashlib.sha256("|".join(digests).encode()).hexdigest()})
+        parts.append(coverage)
+    digest = hashlib.sha256(json.dumps(facts, sort_keys=True).encode()).hexdigest()
+    return Bundle(features, audit, reduce(DataFrame.unionByName, parts), sorted(available), facts, digest)

@@ -10,7 +10,7 @@ from emberline.operators import clean
 from emberline.operators.polygons import cover, nearest_polygon
 from emberline.operators.series import sums_before
 from emberline.sources.files import inline, observations
-from emberline.sources.reference import geojson_points, layer, overpass_features, reference_bundle
+from emberline.sources.reference import geojson_points, layer, load_bundle, overpass_features, reference_bundle
 from emberline.streaming.ingest import SCHEMA, Reference, alerts, current, ingest, late_rows, past_times, sessions, windowed_counts
 from emberline.streaming.ratelimit import limited_batch, limited_stream
 from pyspark.sql import functions as F
@@ -135,6 +135,36 @@ def test_reference_bundle(spark, tmp_path):
         reference_bundle(spark, [{**layers[0], "role": "roof"}])
 
 
+def test_bundle_with_coverage(spark, tmp_path):
+    """Coverages of layers unite; the hash follows content and reading, not the layout of a file; what is wrong is refused by name."""
+    place = lambda c: {"type": "Polygon", "coordinates": [c]}
+    land = {"type": "FeatureCollection", "features": [feature("f", "forest", "Polygon", [square(0, 0)])], "available_categories": ["urban"], "coverage": {"forest": place(square(-1, -1, 2)), "urban": {"type": "MultiPolygon", "coordinates": [[square(0, 0)], [square(5, 5)]]}}}
+    more = {"type": "FeatureCollection", "features": [feature("h", "forest", "Polygon", [square(2, 2)])], "coverage": {"forest": place(square(0.5, -1, 3))}}
+    bundle = lambda name, *documents, **how: load_bundle(spark, [layer_of(name, k, d) for k, d in enumerate(documents)], **how)
+
+    def layer_of(name, k, document, indent=None):
+        (tmp_path / f"{name}{k}.json").write_text(json.dumps(document, indent=indent))
+        return {"name": f"layer {k}", "role": "landcover", "path": str(tmp_path / f"{name}{k}.json"), "source": "s", "version": 1, "crs": "EPSG:4326"}
+
+    found = bundle("a", land, more)
+    assert found.available == ["forest", "urban"] and sorted(r.kind for r in found.coverage.collect()) == ["forest", "forest", "urban", "urban"] and len(found.layers) == 2
+    points = spark.createDataFrame([(1, 0.5, 1.0), (2, 0.5, 3.4), (3, 0.5, 3.6)], "point_id long, lat double, lon double")
+    seen = {r.point_id: r.fraction for r in cover(points, found.coverage, "kind").collect() if r.kind == "forest"}
+    assert seen[1] == pytest.approx(1) and seen[2] == pytest.approx(1) and 3 not in seen
+    again = load_bundle(spark, [layer_of("b", k, d, indent=3) for k, d in enumerate((land, more))])
+    assert again.sha256 == found.sha256 and again.layers == found.layers
+    changed = {**more, "coverage": {"forest": place(square(0.5, -1, 3.5))}}
+    others = {bundle("c", land, changed).sha256, bundle("d", more, land).sha256, load_bundle(spark, [{**layer_of("e", k, d), "version": 2} for k, d in enumerate((land, more))]).sha256}
+    assert len(others | {found.sha256}) == 4
+    wrong = {**more, "features": [feature("h", "forest", "Point", [1, 1])]}
+    for document, reason in (({**more, "coverage": {"urban": place(square(0, 0))}}, "doesn't have: urban"), ({**more, "coverage": {"forest": {"type": "Point", "coordinates": [1, 1]}}}, "must be polygons"), ({**more, "available_categories": ["moon"]}, "unknown categories moon"), (wrong, "1 in layer 0: POLYGON_REQUIRED")):
+        with pytest.raises(ValueError, match=reason):
+            bundle("x", document)
+    assert bundle("x", wrong | {"coverage": {}}, strict=False).features.count() == 0
+    with pytest.raises(ValueError, match="needs layers"):
+        load_bundle(spark, [])
+
+
 def test_polygons_and_cover(spark):
     """A hole counts as outside, overlapping polygons once; distances are those of the plane at the point."""
     corners = lambda ring: [(float(x), float(y)) for x, y in ring]
