@@ -69,9 +69,10 @@ def grf_02(spark, d):
 _EV_COLS = ("duration_minutes", "mean_frp", "max_frp", "min_frp", "std_frp", "mean_brightness", "max_brightness", "day_ratio", "night_ratio", "unknown_ratio")
 
 
-@query("agg_12_events", on_events("SELECT event_id, start_us, end_us, detection_count, satellite, " + ", ".join(f"round({c}, 6) AS {c}" for c in _EV_COLS) + " FROM ev"))
+@query("agg_12_events", on_events("SELECT event_id, start_us, end_us, detection_count, satellite, " + ", ".join(f"round({c}, 9) AS {c}" for c in _EV_COLS) + " FROM ev"))
 def agg_12(spark, d):
-    return event_tables(spark, d)[1].select("event_id", "start_us", "end_us", "detection_count", "satellite", *r6(*_EV_COLS))
+    """Events as their detections describe them; nine decimals, as means of values with two have ties at six, which the order of summing decides."""
+    return event_tables(spark, d)[1].select("event_id", "start_us", "end_us", "detection_count", "satellite", *[F.round(c, 9).alias(c) for c in _EV_COLS])
 
 
 @query("agg_13_centroids", on_events("SELECT event_id, round(c_lat, 6) AS lat, round(c_lon, 6) AS lon, round(spatial_radius_km, 5) AS spatial_radius_km FROM ev"))
