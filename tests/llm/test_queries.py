@@ -96,6 +96,8 @@ def test_pipeline(spark, tables):
     assert set(mixed) <= set(clean)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, tables).collect()
     assert len(last) == docs.count() and min(r.start for r in last) == 0
+    whole = corpus_pipeline.run(spark, tables).collect()
+    assert sorted(tuple(r) for r in whole) == sorted(tuple(r) for r in last)
     empty = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, tables).count() == 0, name
