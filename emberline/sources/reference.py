@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import valid_coordinates
 from emberline.operators.dataset import content_hash
 from emberline.operators.spatial import interior_point
+from emberline.sources.collections import FEATURE, feature_rows
 
 # Tag rules in order, the first that holds gives the category; what each role of a layer may hold; categories that need
 # polygons or lines; reasons of rejection.
@@ -36,7 +37,6 @@ UNKNOWN_TYPE, OPEN_WAY, NO_GEOMETRY = "UNKNOWN_FACILITY_TYPE", "OPEN_WAY_REQUIRE
 NO_ID, DUPLICATE_ID, WRONG_CATEGORY, OUT_OF_SCOPE = "MISSING_STABLE_FEATURE_ID", "DUPLICATE_FEATURE_ID", "UNKNOWN_OR_WRONG_ROLE_CATEGORY", "EXPLICIT_OUT_OF_SCOPE_MAPPING"
 MERCATOR_M = 20037508.342789244
 
-GEOJSON = "features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 OVERPASS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,geometry:array<struct<lat:double,lon:double>>,tags:map<string,string>>>"
 
 
@@ -52,7 +52,7 @@ def to_degrees(x: Column, y: Column, crs: str) -> tuple[Column, Column]:
 
 def geojson_points(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
     """(feature_id, category, name, lon, lat) of a collection's points; features of other shapes or without category are left out."""
-    rows = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    rows = feature_rows(spark, path)
     p = F.col("f.properties")
     xy = F.from_json("f.geometry.coordinates", "array<double>")
     lon, lat = to_degrees(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)), crs)
@@ -100,7 +100,7 @@ def geojson_features(spark: SparkSession, path: str, crs: str = "EPSG:4326") ->
     A point has lon and lat, a polygon its rings (the outer one, then holes), each polygon of a MultiPolygon a row. A facility's
     polygon also has a point inside it as lon and lat. Lines have neither.
     """
-    return geojson_rows(spark.read.schema(GEOJSON).option("multiLine", True).json(path), crs)
+    return geojson_rows(feature_rows(spark, path), crs)
 
 
 def _corner(crs: str):
@@ -116,8 +116,7 @@ def _polygons(kind: Column, text: Column) -> Column:
     return F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
 
 
-def geojson_rows(collections: DataFrame, crs: str) -> DataFrame:
-    rows = collections.select(F.posexplode("features").alias("place", "f"))
+def geojson_rows(rows: DataFrame, crs: str) -> DataFrame:
     p, kind, text = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     polygons, corner = _polygons(kind, text), _corner(crs)
     xy = F.when(kind == "Point", F.from_json(text, "array<double>"))
@@ -136,7 +135,7 @@ def layer(spark: SparkSession, path: str, role: str, crs: str = "EPSG:4326") ->
     """
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return geojson_rows(spark.createDataFrame([], GEOJSON), crs)
+        return geojson_rows(spark.createDataFrame([], f"place int, f {FEATURE}"), crs)
     return geojson_features(spark, path, crs).filter(F.col("category").isin(*ROLES[role]) & geometry_problem().isNull())
 
 
