@@ -27,14 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.blocks import BLANKS, ROLLING, U64, map_batches, mix, ranges, text_blocks
+from emberline.llm.blocks import BLANKS, ROLLING, U64, byte_set, map_batches, mix, ranges, text_blocks
 from emberline.session import scratch_path, stored
 
 MAGIC = b"TOKREC"
 #: Bytes of records after which a new file is begun, and that a task reads at once.
 FILE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Pieces of text whose ids a worker remembers, with 8 ids each on average at most; bytes of text that it encodes at once.
+REMEMBERED, ENCODED_BYTES = 2_000_000, 1 << 20
+#: Bytes that end a letter or a digit (of two-byte letters those from U+00C0 to U+00FF, which begin with LATIN), and the symbols that no token joins to it.
+ALNUM, LATIN = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)), 0xC3
+LATIN_ENDS = byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+SYMBOLS = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: Bytes of Unicode white space outside ASCII, and ASCII separators that aren't blanks: these rows are encoded whole.
 OTHER_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80"] + [
     b"\xe2\x80" + bytes([k]) for k in range(0x80, 0x8B)
@@ -43,10 +47,11 @@ OTHER_SPACE += [bytes([k]) for k in range(0x1C, 0x20)]
 
 
 class Encoder:
-    """Encodes blocks of texts with a tokenizer, word by word where that gives the same ids.
+    """Encodes blocks of texts with a tokenizer, piece by piece where that gives the same ids.
 
     A byte-level tokenizer with the usual splitting rule never joins what stands on the two sides of the place before
-    a run of white space. So a text is cut there, and each distinct piece is encoded once and remembered.
+    a run of white space, or between a letter or digit and a symbol after it. So a text is cut there, and each distinct
+    piece is encoded once and remembered: a word is learnt once whatever marks follow it.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -60,8 +65,10 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        added = [t["content"] for t in spec.get("added_tokens") or []]  # one that holds white space might arise where pieces are strung together
+        self.by_word &= self.tokenizer.token_to_id("\u010a") is not None and not any(c.isspace() for t in added for c in t)
         # Rows that hold one of these are encoded whole: they aren't split like other text.
-        self.marks = OTHER_SPACE + [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
+        self.marks = OTHER_SPACE + [t.encode() for t in added if t]
         # Bytes of each id's token: a byte-level token has one character for each byte.
         self.lengths = np.zeros(max(self.tokenizer.get_vocab_size(), 1), np.int64)
         for token, id_ in self.tokenizer.get_vocab().items():
@@ -74,24 +81,30 @@ class Encoder:
         self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, f"u{self.width}")
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        """Encodes new pieces: those of white space and a word strung together as one text, which is cut by the tokens'
-        lengths, the others one by one."""
-        plain = [k for k, piece in enumerate(pieces) if BLANKS[piece[0]] and not BLANKS[piece[-1]]]
-        rest = sorted(set(range(len(pieces))) - set(plain))
-        ids = np.array(self.tokenizer.encode(b"".join([pieces[k] for k in plain]).decode(), add_special_tokens=False).ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(pieces[k]) for k in plain]), "left") + 1
-        counts = np.diff(np.concatenate(([0], ends))) if plain else np.zeros(0, np.int64)
-        single = [self.tokenizer.encode(pieces[k].decode(), add_special_tokens=False).ids for k in rest]
-        counts = np.concatenate((counts, np.array([len(x) for x in single], np.int64)))
-        ids = np.concatenate((ids, np.array([i for x in single for i in x], np.uint32)))
-        slot = np.empty(len(keys), np.int32)
-        slot[plain + rest] = np.arange(len(self.count), len(self.count) + len(keys))
-        at = np.searchsorted(self.known, keys)
-        self.known, self.slot = np.insert(self.known, at, keys), np.insert(self.slot, at, slot)
-        self.start = np.concatenate((self.start, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32)))
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encodes new pieces: strung together as one text, which is cut by the tokens' lengths, and those that end in white
+        space one by one. In the string a line break, which is a token of its own there, stands before a piece without white space
+        at its front, so that nothing joins it to the piece before."""
+        alone = BLANKS[data[end - 1]]
+        order = np.concatenate((np.flatnonzero(~alone), np.flatnonzero(alone)))
+        keys, begin, end, n = keys[order], begin[order], end[order], int(len(keys) - alone.sum())
+        sizes, breaks = (end - begin)[:n], (~BLANKS[data[begin]])[:n]
+        strung = np.insert(data[ranges(begin[:n], sizes)], (np.cumsum(sizes) - sizes)[breaks], 0x0A)
+        ids = self._ids(strung.tobytes().decode())
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes + breaks), "left") + 1
+        starts = np.concatenate(([0], ends[:-1])) + breaks if n else ends
+        single = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(begin[n:].tolist(), end[n:].tolist(), strict=True)]
+        more = np.array([len(x) for x in single], np.int64)
+        starts, counts = np.concatenate((starts, len(ids) + np.cumsum(more) - more)), np.concatenate((ends - starts, more))
+        ranked = np.argsort(keys)
+        at = np.searchsorted(self.known, keys[ranked])
+        self.known, self.slot = np.insert(self.known, at, keys[ranked]), np.insert(self.slot, at, (len(self.count) + ranked).astype(np.int32))
+        self.start = np.concatenate((self.start, (len(self.flat) + starts).astype(np.int32)))
         self.count = np.concatenate((self.count, counts.astype(np.int32)))
-        self.flat = np.concatenate((self.flat, ids.astype(self.flat.dtype)))
+        self.flat = np.concatenate((self.flat, *[x.astype(self.flat.dtype) for x in (ids, *single)]))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row."""
@@ -100,8 +113,9 @@ class Encoder:
         if not self.by_word:
             whole[:] = True
         else:
+            held = np.bincount(data, minlength=256) > 0
             for mark in self.marks:
-                at = raw.find(mark)
+                at = raw.find(mark) if held[list(mark)].all() else -1
                 while at >= 0:
                     row = int(np.searchsorted(offsets, at, "right")) - 1
                     whole[row] = True
@@ -109,6 +123,9 @@ class Encoder:
         blank = BLANKS[data]
         cut = blank.copy()
         cut[1:] &= ~blank[:-1]
+        alnum = ALNUM[data]
+        alnum[1:] |= LATIN_ENDS[data[1:]] & (data[:-1] == LATIN)
+        cut[1:] |= alnum[:-1] & SYMBOLS[data[1:]]
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(data))
@@ -117,20 +134,19 @@ class Encoder:
             begin, end = begin[pieces], end[pieces]
         keys = mix(ROLLING.spans(ROLLING.prefix(data), begin, end) + (end - begin).astype(U64))
         distinct, first, each = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > REMEMBERED or len(self.flat) + len(data) > 8 * REMEMBERED:
             self._forget()
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            self._learn(distinct[new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            self._learn(distinct[new], data, begin[first[new]], end[first[new]])
         slot = self.slot[np.searchsorted(self.known, distinct)]
         start, count = self.start[slot][each].astype(np.int64), self.count[slot][each].astype(np.int64)
         ids = self.flat[ranges(start, count)]
         bounds = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(begin, offsets)]
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for row in np.flatnonzero(whole).tolist():
-            text = raw[offsets[row] : offsets[row + 1]].decode()
-            out[row] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            out[row] = self._ids(raw[offsets[row] : offsets[row + 1]].decode())
         return out
 
 
@@ -186,7 +202,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int =
         size, code = 0, encoder(tokenizer_json)
         for batch in batches:
             docs_, known = batch.column(0).fill_null(0).to_numpy(), np.asarray(batch.column(0).is_valid())
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            for lo, hi, data, offsets in text_blocks(batch.column(1), ENCODED_BYTES):
                 if size >= FILE_BYTES:
                     yield None
                     size = 0

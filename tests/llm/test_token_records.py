@@ -129,6 +129,16 @@ def test_empty(spark):
     assert token_records.round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_long_pieces_are_forgotten(monkeypatch):
+    """What a worker remembers is bounded by ids too, for texts without white space."""
+    monkeypatch.setattr(token_records, "REMEMBERED", 1000)
+    code = plain_encoder()
+    for k in range(40):
+        text = "".join(chr(0x4E00 + (k * 400 + i * 7) % 5000) for i in range(400))
+        assert encoded(code, [text]) == [tokenizer().encode(text, add_special_tokens=False).ids]
+        assert len(code.flat) <= 8000
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(token_records, "REMEMBERED", 5)
     with open(tokenizer_path()) as f:
@@ -137,3 +147,50 @@ def test_forgetting(monkeypatch):
         raw = (text or "").encode()
         ids = code.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
         assert [*ids.tolist(), 0] == reference(text)
+
+
+def plain_encoder():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        return token_records.Encoder(f.read())
+
+
+def encoded(code, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    return [x.tolist() for x in code.encode(data, np.cumsum([0] + [len(t.encode()) for t in texts]))]
+
+
+def test_words_are_learnt_once():
+    """Whatever marks follow a word, and over more of them than 500,000."""
+    code, marks = plain_encoder(), ["", ".", ",", "!!", "***", "'s", ")", "&&&"]
+    words = [f" w{chr(97 + k % 26)}{chr(97 + k // 26)}{end}" for k in range(260) for end in ("o", "\u00e9", "7")]
+    texts = [word + mark for word in words for mark in marks]
+    assert encoded(code, texts) == [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(code.known) == len(words) + len(marks) - 1
+    code.tokenizer = None  # nothing is left to encode
+    assert encoded(code, ["".join(texts[::-1])]) == [tokenizer().encode("".join(texts[::-1]), add_special_tokens=False).ids]
+    assert token_records.REMEMBERED > 1_000_000
+
+
+def test_cuts_at_symbols():
+    """Letters, digits, marks and what only looks like them, in any order, at the ends of rows too; known pieces as new ones."""
+    rng, code = random.Random(5), plain_encoder()
+    parts = ["a", "Zz", "s", "ll", "\u00e9", "\u00ff", "\u00c0", "\u00d7", "\u00f7", "\u0416", "\u0308", "\u00aa", "\u00bd", "1", "42", "'", "'s", "'ll", ".", "***", "<|", "|>"]
+    parts += [" ", "  ", "\n", "\t", "\r\n", "\u65e5", "\x00", "\x7f", "\x1b", "\U0001f642", "_", "\u0660", "\u00a1"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(6000)]
+    want = [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        for k in range(0, len(texts), 500):
+            assert encoded(code, texts[k : k + 500]) == want[k : k + 500]
+
+
+def test_added_tokens_with_white_space():
+    """Pieces strung together must not make one."""
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "b c"})
+    code = token_records.Encoder(json.dumps(spec))
+    whole = Tokenizer.from_str(json.dumps(spec))
+    texts = [" ab", " bb", " cb", " db", " c", "a b c"]
+    assert encoded(code, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
