@@ -150,3 +150,18 @@ def test_a_dirty_language_column(spark, monkeypatch):
     _, sizes = langid.drawn_by_language(docs, 600)
     assert set(sizes) == set(WORDS)
     assert {r.lang_pred for r in langid.identify(docs).collect()} <= set(WORDS)
+
+
+def test_language_sample_goes_packed(spark):
+    """What goes to the driver is under half of two ints a bucket, and holds the same buckets and counts, however often one comes."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(3000)) for _ in range(40)] + ["ab " * 5000, "a" * 70000, "ab", ""]
+    rows = langid.bags(spark.createDataFrame([("aa", k, text) for k, text in enumerate(texts)], "lang string, drawn long, text string")).toArrow()
+    total = 0
+    for drawn, bag in zip(rows.column("drawn").to_pylist(), rows.column("bag").to_pylist(), strict=True):
+        data = np.frombuffer(texts[drawn].encode(), np.uint8)
+        ids, counts = np.unique(np.concatenate([b for b, _ in langid.subwords(data, np.array([0, len(data)]))]), return_counts=True)
+        got = langid.unpacked(bag)
+        assert np.array_equal(got[0], ids) and np.array_equal(got[1], counts)
+        total += len(ids)
+    assert len(rows) == len(texts) and rows.nbytes < 4 * total
