@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import centroid, haversine_km
 from emberline.operators.digest import ordered_digests
 from emberline.operators.graph import components
+from emberline.operators.linking import groups
 from emberline.operators.radius import radius_join
 from emberline.session import stored
 
@@ -36,21 +37,9 @@ def edges(det: DataFrame, how: Clustering = Clustering()) -> DataFrame:
     return pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.col("us") - F.col("us_r")) <= width)).select("a", "b", "distance_km")
 
 
-def thinned(det: DataFrame, how: Clustering = Clustering()) -> tuple[DataFrame, DataFrame]:
-    """(chains, rest): detections at the very same place that follow each other closely enough, as edges, and one detection of
-    each place and time. The edges of ``rest`` and the chains connect what the edges of all detections connect."""
-    same = Window.partitionBy("lat", "lon").orderBy("acq_us", "det_id")
-    rows = det.withColumn("before", F.lag("det_id").over(same)).withColumn("gap", F.col("acq_us") - F.lag("acq_us").over(same))
-    double = F.coalesce(F.col("gap") == 0, F.lit(False))
-    chains = rows.filter(F.col("gap") <= int(how.hours * HOUR_US)).select(F.col("before").alias("a"), F.col("det_id").alias("b"))
-    return chains, rows.filter(~double).drop("before", "gap")
-
-
 def members(det: DataFrame, how: Clustering = Clustering()) -> DataFrame:
     """(det_id, component): each detection's event, named by its smallest det_id; one without a partner is its own."""
-    chains, rest = thinned(det.select("det_id", "lat", "lon", "acq_us"), how)
-    found = components(edges(rest, how).select("a", "b").unionByName(chains))
-    return det.select("det_id").join(found, F.col("det_id") == F.col("id"), "left").select("det_id", F.coalesce("component", "det_id").alias("component"))
+    return groups(det, how.km, int(how.hours * HOUR_US))
 
 
 def describe(det: DataFrame, member: DataFrame, how: Clustering = Clustering()) -> DataFrame:
