@@ -12,7 +12,7 @@ from emberline.operators.digest import ordered_digests
 from emberline.operators.graph import components
 from emberline.operators.linking import groups
 from emberline.operators.radius import radius_join
-from emberline.session import stored
+from emberline.session import discard, stored
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
@@ -44,7 +44,7 @@ def members(det: DataFrame, how: Clustering = Clustering()) -> DataFrame:
 
 def describe(det: DataFrame, member: DataFrame, how: Clustering = Clustering()) -> DataFrame:
     """A row for each event: identity by its content, times, centroid, extent, and what its detections measured."""
-    rows = stored(det.join(member, "det_id"), "members")
+    rows = stored(det.select("det_id", "lat", "lon", "acq_us", "frp", "brightness", "daynight", "satellite").join(member, "det_id"), "members")
     lat, lon = centroid("lat", "lon")
     share = lambda c: F.count_if(c) / F.count("*")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
@@ -71,7 +71,9 @@ def describe(det: DataFrame, member: DataFrame, how: Clustering = Clustering())
     events = named.join(events, "component")
     middle = events.select("component", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     extent = rows.join(middle, "component").groupBy("component").agg(F.max(haversine_km("c_lat", "c_lon", "lat", "lon")).alias("spatial_radius_km"))
-    return stored(events.join(extent, "component"), "events")
+    out = stored(events.join(extent, "component"), "events")
+    discard(rows, ids)
+    return out
 
 
 def prior(events: DataFrame, det: DataFrame, km: float = 1.0, days: int = 90) -> DataFrame:

@@ -53,3 +53,17 @@ def test_a_repeated_id_is_one_detection_at_several_places(spark):
     rows = [(1, 10.0, 70.0, 0), (2, 10.0, 70.001, 0), (2, 30.0, 80.0, 0), (3, 30.0, 80.001, HOUR), (4, None, 80.0, HOUR), (5, float("nan"), 80.0, HOUR), (6, 30.0, 80.0, None), (7, 30.0, 80.0, 49 * HOUR)]
     found = events.members(spark.createDataFrame(rows, "det_id long, lat double, lon double, acq_us long"), Clustering())
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
+
+
+def test_described_events_leave_no_detections_behind(spark):
+    """What ``describe`` stores on its way, rows as many as detections, is deleted when the events are there."""
+    import glob
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    rows = [(*r, 10.0, 300.0, "D", "A") for r in crowd(200)]
+    det = spark.createDataFrame(rows, "det_id long, lat double, lon double, acq_us long, frp double, brightness double, daynight string, satellite string")
+    member = events.members(det)
+    before = set(glob.glob(f"{root}/*"))
+    out = events.describe(det, member)
+    assert {p.removeprefix("file://") for p in [out.stored_at]} == set(glob.glob(f"{root}/*")) - before
+    assert out.first().detection_count == 200
