@@ -35,6 +35,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes an artifact that was imported: the store has its own rows."""
+    fs, place = _files(spark, folder)
+    fs.delete(place, True)
+
+
 def _write_json(spark: SparkSession, path: str, value: dict) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

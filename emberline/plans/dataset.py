@@ -16,7 +16,7 @@ from emberline.plans.model import BOX_SQL, FAC_SQL, sql_km
 from emberline.plans.records import latest_annotations
 from emberline.plans.registry import query, remembered
 from emberline.plans.workflow import _LABEL
-from emberline.session import scratch_path
+from emberline.session import free_shuffles, scratch_path
 from emberline.sources import fixtures
 
 K = repr(KM_A_DEGREE)
@@ -206,6 +206,8 @@ def event_store(spark, d) -> str:
             folder = scratch_path(spark, "artifact")
             artifacts.build(spark, folder, *artifact_parts(spark, d, keep), reference, {"clustering": {"km": 1.0, "hours": 24.0}})
             artifacts.import_events(spark, folder, store)
+            artifacts.delete(spark, folder)
+            free_shuffles(spark)
         return store
 
     return remembered(spark, d, "event-store", lambda: spark.createDataFrame([(run(),)], "place string")).first().place
