@@ -258,8 +258,8 @@ def mlx_02_temporal(spark, d):
 def labelled(spark, d) -> DataFrame:
     """Typed events with label (of three kinds) and split, for those that are annotated."""
     named = F.when(F.col("label").isin("Gas Flare", "Wildfire"), F.col("label")).otherwise("Other")
-    label = latest_annotations(spark, d).select(F.col("event_key").alias("component"), named.alias("label"))
     rows = splittable(spark, d)
+    label = latest_annotations(spark, d, rows.select(F.col("component").alias("event_key"))).select(F.col("event_key").alias("component"), named.alias("label"))
     sides = training.group_split(rows.select("component", "event_id"), ops.leakage_groups(rows)).join(label, "component")
     return event_table(spark, d).join(sides.drop("component"), "event_id")
 

@@ -9,7 +9,7 @@ from emberline.functions import scoring
 from emberline.operators import clean
 from emberline.plans.model import DET_SQL, on_scored
 from emberline.plans.registry import query, scored
-from emberline.session import table
+from emberline.session import stored, table
 from emberline.sources import fixtures
 
 DAY = fixtures.DAY_US
@@ -92,9 +92,12 @@ _LAST = f"{_ANN}, last AS (SELECT * FROM ann JOIN (SELECT event_key, max(revisio
 _PICK = "SELECT event_key, revision, min(label) AS label, min(review_status) AS review_status, min(quality) AS quality, round(min(confidence), 6) AS confidence FROM last GROUP BY event_key, revision"
 
 
-def latest_annotations(spark, d) -> DataFrame:
-    """Each event's annotation of the highest revision; fields of equal revisions are resolved to the least."""
+def latest_annotations(spark, d, of: DataFrame | None = None) -> DataFrame:
+    """Each event's annotation of the highest revision; fields of equal revisions are resolved to the least. ``of``: the events (event_key) that are asked for, so that
+    no other annotation is shuffled."""
     rows = fixtures.annotations(spark, d)
+    if of is not None:
+        rows = stored(rows.join(of, "event_key", "left_semi"), "annotations")
     last = rows.groupBy("event_key").agg(F.max("revision").alias("revision"))
     kept = rows.join(last, ["event_key", "revision"])
     return kept.groupBy("event_key", "revision").agg(*[F.min(c).alias(c) for c in ("label", "review_status", "quality")], F.round(F.min("confidence"), 6).alias("confidence"))

@@ -51,6 +51,13 @@ def crowded(spark, tmp_path_factory):
     return d, max(most)
 
 
+def test_annotations_of_the_events_asked_for(spark):
+    asked = spark.range(0, 900, 7).select(F.col("id").alias("event_key"))
+    got = latest_annotations(spark, SF, asked)
+    want = latest_annotations(spark, SF).join(asked, "event_key", "left_semi")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_imported_artifacts_are_deleted(spark):
     before = scratch(spark, "artifact")
     event_store(spark, SF)
