@@ -63,3 +63,8 @@ def test_imported_artifacts_are_deleted(spark):
     event_store(spark, SF)
     assert scratch(spark, "artifact") == before
     same_as_sql(spark, SF, "snk_09_imported")
+
+
+def test_features_on_crowded_places(spark, crowded):
+    same_as_sql(spark, crowded[0], "mlx_01_features")
+    assert crowded[1] < 8000
