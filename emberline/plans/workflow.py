@@ -14,7 +14,7 @@ from emberline.plans.events import _GROUPS, _HIST, _SPLIT, event_tables, on_even
 from emberline.plans.model import on_scored
 from emberline.plans.records import _LAST, _PICK, _PRED, judged, latest_annotations
 from emberline.plans.registry import query, scored
-from emberline.session import table
+from emberline.session import stored, table
 from emberline.sources import fixtures
 
 NOW, DAY = fixtures.NOW_US, fixtures.DAY_US
@@ -241,10 +241,11 @@ LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n
 def orc_07(spark, d):
     """A new analysis appended to the predictions of each event that has some: numbered after all there are, in the order of the events; the history keeps them all,
     the latest counts."""
-    held = fixtures.predictions(spark, d).select("prediction_id", F.col("event_key").alias("component"), F.col("predicted").alias("decision")).dropDuplicates(["prediction_id"])
+    held = fixtures.predictions(spark, d).select("prediction_id", F.col("event_key").alias("component"), F.col("predicted").alias("decision"))
     event = event_tables(spark, d)[1].select("component", "event_id")
     last = held.agg(F.max("prediction_id")).first()[0] or 0
-    named = held.join(event, "component").select("event_id", "prediction_id", "decision")
+    # events first: predictions of other keys are never shuffled; what an event has twice counts once
+    named = stored(held.join(event, "component").dropDuplicates(["event_id", "prediction_id"]).select("event_id", "prediction_id", "decision"), "held")
     due = decisions(spark, d).select("event_id", "decision").join(named.select("event_id").distinct(), "event_id")
     new = numbered(due, [F.col("event_id")]).select("event_id", (F.col("number") + last).alias("prediction_id"), "decision")
     return named.unionByName(new).groupBy("event_id").agg(F.max_by("decision", "prediction_id").alias("decision"), F.count("*").alias("n"), F.max("prediction_id").alias("prediction_id"))

@@ -58,6 +58,19 @@ def test_annotations_of_the_events_asked_for(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_an_appended_analysis_counts_the_predictions_of_its_event(spark, tmp_path):
+    """Ids of predictions of different events may be equal: line 8 of an event and line 0 of the next one."""
+    for t in os.listdir(SF):
+        if t != "lineitem.parquet":
+            os.symlink(f"{SF}/{t}", f"{tmp_path}/{t}")
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    more = line.limit(1).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    first = more.withColumn("l_orderkey", F.col("k").cast("long")).withColumn("l_linenumber", F.lit(8))
+    then = more.withColumn("l_orderkey", F.col("k").cast("long") + 1).withColumn("l_linenumber", F.lit(0))
+    line.unionByName(first.drop("k")).unionByName(then.drop("k")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    same_as_sql(spark, str(tmp_path), "orc_07_reanalyze")
+
+
 def test_imported_artifacts_are_deleted(spark):
     before = scratch(spark, "artifact")
     event_store(spark, SF)
