@@ -51,6 +51,12 @@ def crowded(spark, tmp_path_factory):
     return d, max(most)
 
 
+def test_typed_events_on_crowded_places(spark, crowded):
+    d, most = crowded
+    same_as_sql(spark, d, "prj_10_typed")
+    assert most < 8000
+
+
 def test_annotations_of_the_events_asked_for(spark):
     asked = spark.range(0, 900, 7).select(F.col("id").alias("event_key"))
     got = latest_annotations(spark, SF, asked)
