@@ -57,6 +57,11 @@ def test_typed_events_on_crowded_places(spark, crowded):
     assert most < 8000
 
 
+def test_schema_of_crowded_places(spark, crowded):
+    nulls = {r["name"]: r.nulls for r in __spark_entry__.queries()["orc_13_schema"](spark, crowded[0]).collect()}
+    assert len(nulls) == 69 and nulls["event_id"] == 0 and crowded[1] < 8000
+
+
 def test_annotations_of_the_events_asked_for(spark):
     asked = spark.range(0, 900, 7).select(F.col("id").alias("event_key"))
     got = latest_annotations(spark, SF, asked)
