@@ -179,7 +179,11 @@ _SITE_EV = "sites AS (SELECT component, min(det.site_id) AS site_id, max(spatial
 
 
 def splittable(spark, d):
-    """Events with place, extent and the facility they belong to: the site, for every third one."""
+    """Events with place, extent and the facility they belong to: the site, for every third one. Made once a session and input, as it is read many times."""
+    return remembered(spark, d, "splittable", lambda: _splittable(spark, d))
+
+
+def _splittable(spark, d) -> DataFrame:
     member, event = event_tables(spark, d)
     site = fixtures.detections(spark, d).join(member, "det_id").groupBy("component").agg(F.min("site_id").alias("site_id"))
     facility = F.when(F.col("site_id") % 3 == 0, F.col("site_id") % 20)

@@ -51,6 +51,13 @@ def crowded(spark, tmp_path_factory):
     return d, max(most)
 
 
+@pytest.mark.parametrize("name", ["mlx_02_splits"])
+def test_queries_on_crowded_places(spark, crowded, name):
+    d, most = crowded
+    same_as_sql(spark, d, name)
+    assert most < 8000  # there are over 30,000 pairs of the 4000 detections
+
+
 def test_typed_events_on_crowded_places(spark, crowded):
     d, most = crowded
     same_as_sql(spark, d, "prj_10_typed")
@@ -62,6 +69,11 @@ def test_schema_of_crowded_places(spark, crowded):
     assert len(nulls) == 69 and nulls["event_id"] == 0 and crowded[1] < 8000
 
 
+def test_splits_read_a_stored_table(spark):
+    """Detections and members are joined once, however often a split looks at its events."""
+    assert all("/splittable-" in f for f in plans.splittable(spark, SF).inputFiles())
+
+
 def test_annotations_of_the_events_asked_for(spark):
     asked = spark.range(0, 900, 7).select(F.col("id").alias("event_key"))
     got = latest_annotations(spark, SF, asked)
