@@ -51,7 +51,7 @@ def crowded(spark, tmp_path_factory):
     return d, max(most)
 
 
-@pytest.mark.parametrize("name", ["join_08_lineage", "agg_14_history", "mlx_02_splits"])
+@pytest.mark.parametrize("name", ["grf_02_event_ids", "agg_13_centroids", "join_08_lineage", "orc_06_status", "agg_14_history", "mlx_02_splits"])
 def test_queries_on_crowded_places(spark, crowded, name):
     d, most = crowded
     same_as_sql(spark, d, name)
